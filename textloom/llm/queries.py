@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._spark import table
 from .exact_dedup import exact_groups
+from .line_dedup import dedup_lines
 from .url_filter import judge_urls, rule
 
 URL_RULES = [
@@ -25,7 +27,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op2_url_filter": r"""
@@ -44,4 +51,16 @@ ORACLES = {
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept,
             sha256(coalesce(text, '')) as text_sha256
         from documents window same as (partition by coalesce(text, ''))""",
+    "op10_line_dedup": r"""
+        with split as (
+            select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+            from documents),
+        keyed as (
+            select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from split),
+        shared as (select key, max(doc_id) as keep from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+        marked as (select k.doc_id, k.line, k.i, coalesce(k.doc_id < s.keep, false) as lost from keyed k left join shared s on k.key = s.key)
+        select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by i) filter (not lost), '')) as kept_sha256
+        from marked group by doc_id""",
 }
