@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ._spark import table
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
+from .ngram_join import near_duplicates
 from .url_filter import judge_urls, rule
 
 URL_RULES = [
@@ -32,7 +33,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup, op10_line_dedup)}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup, op8_ngram_join, op10_line_dedup)}
 
 ORACLES = {
     "op2_url_filter": r"""
