@@ -102,10 +102,11 @@ def shingles(hashes: np.ndarray, of_text: np.ndarray, size: int = 5) -> tuple[np
     runs = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     offsets = np.concatenate(([0], np.cumsum(runs)))
     first = np.arange(offsets[-1]) + np.repeat(of_text[:-1] - offsets[:-1], runs)
-    padded = np.concatenate((hashes, np.zeros(size, U64)))
+    rounds = max(size, 5)  # a run's hash depends on its own words alone, however long others may be
+    padded = np.concatenate((hashes, np.zeros(rounds, U64)))
     length = np.repeat(np.minimum(n, size), runs)
     out = length.astype(U64) * U64(0x8EBC6AF09C88C6E3)
-    for j in range(size):
+    for j in range(rounds):
         out = (out ^ (out >> U64(32))) * U64(0xD6E8FEB86659FD93) + np.where(length > j, padded[first + j], U64(0))
     return mix(out), offsets, first
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
@@ -37,7 +38,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup, op8_ngram_join, op10_line_dedup)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
 
 ORACLES = {
     "op2_url_filter": r"""
