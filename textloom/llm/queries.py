@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import table
+from .bpe import Tokenizer, decode, encode
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
@@ -42,7 +43,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
+def byte_bpe() -> Tokenizer:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return Tokenizer(file.read())
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = byte_bpe()
+    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    return decode(ids, tokenizer).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_bpe, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
 
 ORACLES = {
     "op2_url_filter": r"""
