@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
 from .url_filter import judge_urls, rule
+from .warc import resolve_revisits
 
 URL_RULES = [
     rule("allow", "com/"),
@@ -22,6 +23,26 @@ URL_RULES = [
 ]
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Three records for every page: its response, a revisit that names an ETag, and one before it that names a date."""
+    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.md5(F.coalesce("html", F.lit(""))).alias("tag"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    at = F.col("page_id") * 10
+    response = F.concat(F.lit("HTTP-Date: none\r\nContent-Type: text/html\r\nContent-Length: "), F.col("size"), F.lit('\r\nETag: "'), F.col("tag"), F.lit('"\r\nLast-Modified: rev '), F.col("page_id") % 7, F.lit("\r\nCache-Control: max-age=60"))
+    later = F.concat(F.lit('ETag: W/"'), F.when(F.col("page_id") % 3 == 0, "other").otherwise(F.col("tag")), F.lit('"\r\nContent-Length: 0\r\nCache-Control: max-age=600\r\nCache-Control: max-age=900'))
+    earlier = F.concat(F.lit("Last-Modified: rev "), F.col("page_id") % 7, F.lit("\r\nX-Seen: again"))
+    made = F.array(
+        F.struct((F.col("page_id") * 4).alias("record_id"), "url", at.alias("date"), F.lit("response").alias("kind"), F.lit(200).alias("http_status"), response.alias("headers")),
+        F.struct((F.col("page_id") * 4 + 1).alias("record_id"), F.concat("url", F.lit("#part")).alias("url"), (at + 5).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("http_status"), later.alias("headers")),
+        F.struct((F.col("page_id") * 4 + 2).alias("record_id"), "url", (at - 5).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("http_status"), earlier.alias("headers")),
+    )
+    return p.select(F.inline(made))
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    return found.withColumns({"headers": F.array_join("headers", "\n"), "original_id": F.coalesce("original_id", F.lit(-1)), "original_date": F.coalesce("original_date", F.lit(-1))})
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -61,9 +82,40 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_bpe, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op4_bpe, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
 
 ORACLES = {
+    "op1_warc_revisits": r"""
+        with p as (select page_id, coalesce(url, '') as url, md5(coalesce(html, '')) as tag, strlen(coalesce(html, '')) as size from pages),
+        cut as (
+            select *, regexp_matches(url, '(?is)^[a-z][a-z0-9+.-]*://') as ok,
+                regexp_extract(url, '(?is)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)([?][^#]*)?', ['host', 'path', 'query']) as u
+            from p),
+        canon as (
+            select *, case when ok then
+                regexp_replace(regexp_replace(translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':(?:80|443)?$', ''), '^www\d?\.', '')
+                || regexp_replace(u.path, '/$', '')
+                || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end as c
+            from (select *, list_sort(list_filter(string_split(substr(u.query, 2), '&'), lambda x: x <> '' and not regexp_matches(x, '(?i)^(?:utm_[a-z]+|gclid|fbclid|sessionid|jsessionid|phpsessid)=[^&]*$'))) as params from cut)),
+        revisits as (
+            select page_id * 4 + 1 as record_id, c, page_id * 10 + 5 as date, 'W/"' || case when page_id % 3 = 0 then 'other' else tag end || '"' as etag, null as since,
+                'cache-control: max-age=900' as cache, null as seen, 'content-length: 0' as length from canon
+            union all
+            select page_id * 4 + 2, c, page_id * 10 - 5, null, 'rev ' || (page_id % 7), null, 'x-seen: again', null from canon),
+        latest as (
+            select r.record_id, any_value(r.c) as c, any_value(r.date) as date, any_value(r.etag) as etag, any_value(r.since) as since, any_value(r.cache) as cache, any_value(r.seen) as seen, any_value(r.length) as length,
+                arg_max(o.page_id * 4, o.page_id) as original_id, max(o.page_id) * 10 as original_date, arg_max(o.tag, o.page_id) as tag, arg_max(o.size, o.page_id) as size
+            from revisits r left join canon o on o.c = r.c and o.page_id * 10 < r.date group by r.record_id),
+        judged as (
+            select *, case when original_id is null then 'no_original'
+                when etag is not null then case when replace(etag, 'W/', '') = '"' || tag || '"' then 'resolved' else 'mismatch' end
+                when since = 'rev ' || ((original_id // 4) % 7) then 'resolved' else 'mismatch' end as status from latest)
+        select record_id, c as canonical_url, date, status, coalesce(original_id, -1) as original_id, coalesce(original_date, -1) as original_date,
+            case when status = 'resolved' then array_to_string(list_sort(list_filter([
+                coalesce(cache, 'cache-control: max-age=60'), 'content-length: ' || size, 'content-type: text/html', 'etag: ' || coalesce(etag, '"' || tag || '"'),
+                'http-date: none', 'last-modified: ' || coalesce(since, 'rev ' || ((original_id // 4) % 7)), seen], lambda x: x is not null)), chr(10))
+            else array_to_string(list_sort(list_filter([cache, length, 'etag: ' || etag, 'last-modified: ' || since, seen], lambda x: x is not null)), chr(10)) end as headers
+        from judged""",
     "op2_url_filter": r"""
         with parts as (
             select page_id,
