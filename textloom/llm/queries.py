@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_crf
 from ._spark import table
 from .bpe import Tokenizer, decode, encode
 from .decontaminate import contaminated
@@ -64,6 +65,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def held_out(parts: int):
+    return F.crc32(F.col("doc_id").cast("string")) % parts == 0
+
+
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(5)))
+    found = line_crf.score(docs, model).drop("text")
+    return found.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def byte_bpe() -> Tokenizer:
     import public_tokenizers
 
@@ -82,7 +94,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op4_bpe, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_line_crf, op4_bpe, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
 
 ORACLES = {
     "op1_warc_revisits": r"""
