@@ -11,9 +11,10 @@ enough share something within their first shingles, their prefixes:
   exceeds that of the second, in list entries.
 
 Links form components. Sets that are linked already need no further proof, so
-near copies are linked to one of their group first and only sets of different
-components are compared afterwards. Nothing is capped: every pair that could
-still join two components is verified on the whole sets.
+the sets of each list are compared with one of them first, the one with the
+fewest shingles of its own, and only sets of different components are compared
+afterwards. Nothing is capped: every pair that could still join two components
+is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -31,19 +32,12 @@ from ._numpy import U64, distinct, list_array, mix, shingles, slices, words
 from ._spark import staged, text_of
 
 SIZE, NUM, DEN = 5, 75, 100
-#: Min-wise keys of BAND values each, which suggest first links.
-BANDS, BAND = 10, 3
 #: A shingle counts as frequent from so many counted sightings on; the MOST_FREQUENT of them are sorted last.
 FREQUENT, MOST_FREQUENT = 12, 1 << 18
 #: Sets beyond this size are never light.
 LIGHT_AT_MOST = 48
 
 
-def needed(n: np.ndarray) -> np.ndarray:
-    """The least intersection with any similar set of a set of ``n``."""
-    return -(-n * NUM // DEN)
-
-
 def overlap(a: Column, b: Column) -> Column:
     """The least intersection of similar sets of ``a`` and ``b``: 100 i >= 75 (a + b - i)."""
     return F.ceil((F.lit(NUM) * (a + b)) / F.lit(NUM + DEN))
@@ -80,10 +74,9 @@ def _batches(batch: pa.RecordBatch, i: int) -> Iterator[tuple[pa.RecordBatch, pa
 
 
 def _sketches(rows: DataFrame, id_type: str, seed: int) -> DataFrame:
-    """Kind 0: a document's size, signature and band keys. Kind 1: a shingle seen in several sets of one slice. Kind 2: sums over a slice's sets of one size."""
+    """Kind 0: a document's size and signature. Kind 1: a shingle seen in several sets of one slice. Kind 2: sums over a slice's sets of one size."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix(np.arange(1, BANDS * BAND + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
         count: dict[str, list] = {"h": [], "n": []}
         before: set[int] = set()
         for batch in batches:
@@ -91,12 +84,7 @@ def _sketches(rows: DataFrame, id_type: str, seed: int) -> DataFrame:
                 sets, offsets = _sets(texts)
                 n = np.diff(offsets)
                 a, b = _signatures(sets, offsets, seed)
-                keys = np.zeros((len(n), BANDS), dtype=U64)
-                for k in range(BANDS):
-                    for j in range(BAND):
-                        keys[:, k] = mix(keys[:, k] + U64(k + 1) + _per_text((sets ^ seeds[k * BAND + j]) * U64(0xD6E8FEB86659FD93), offsets, np.minimum))
-                flat = np.where(n[:, None] > 0, keys, U64(0)).ravel()
-                yield _sketch_rows(0, part.column(0), n, a, b, list_array(_long(flat), np.arange(len(n) + 1) * BANDS))
+                yield _sketch_rows(0, part.column(0), n, a, b)
                 # Frequencies count each different set once per task.
                 fresh = np.array([s not in before for s in a.tolist()], dtype=bool)
                 fresh[fresh] = [i == 0 for i in _repeats(a[fresh])]
@@ -110,25 +98,24 @@ def _sketches(rows: DataFrame, id_type: str, seed: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(h)))
             many = times > 1
-            yield _sketch_rows(1, None, times[many], h[first][many], None, None)
+            yield _sketch_rows(1, None, times[many], h[first][many], None)
             small = size <= LIGHT_AT_MOST
             entries, others = np.bincount(size[small], minlength=LIGHT_AT_MOST + 1), np.bincount(size[small], weights=(np.repeat(times, times) - 1)[small], minlength=LIGHT_AT_MOST + 1)
             use = np.flatnonzero(entries)
-            yield _sketch_rows(2, None, use, entries[use].astype(U64), others[use].astype(U64), None)
+            yield _sketch_rows(2, None, use, entries[use].astype(U64), others[use].astype(U64))
 
     def _repeats(x: np.ndarray) -> list[int]:
         seen: dict[int, int] = {}
         return [seen.setdefault(v, -1) + 1 if v not in seen else 1 for v in x.tolist()]
 
-    def _sketch_rows(kind: int, ids, n, a, b, keys) -> pa.RecordBatch:
+    def _sketch_rows(kind: int, ids, n, a, b) -> pa.RecordBatch:
         size = len(n)
         ids = pa.nulls(size, id_arrow) if ids is None else ids
         b = np.zeros(size, U64) if b is None else b
-        keys = pa.nulls(size, pa.list_(pa.int64())) if keys is None else keys
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), ids, pa.array(n.astype(np.int64)), _long(a), _long(b), keys], names=["kind", "id", "n", "a", "b", "keys"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), ids, pa.array(n.astype(np.int64)), _long(a), _long(b)], names=["kind", "id", "n", "a", "b"])
 
     id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    return rows.mapInArrow(sketch, f"kind int, id {id_type}, n long, a long, b long, keys array<long>")
+    return rows.mapInArrow(sketch, f"kind int, id {id_type}, n long, a long, b long")
 
 
 def _light_boundary(sums: DataFrame) -> int:
@@ -149,7 +136,7 @@ def _light_boundary(sums: DataFrame) -> int:
 
 
 def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataFrame:
-    """Keys of each set: (key, set, size); list entries have even keys, 2-subsets odd ones."""
+    """Keys of each set: (key, sig, n, pos). List entries have even keys and their place in the order, 2-subsets odd ones."""
     order = np.argsort(frequent)
     known = rows.sparkSession.sparkContext.broadcast((frequent[order], order.astype(U64)))
 
@@ -169,7 +156,7 @@ def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataF
                     j = np.minimum(np.searchsorted(value, sets[at]), len(value) - 1)
                     same = value[j] == sets[at]
                     ranked[at[same]] = U64(1 << 63) + rank[j[same]]
-                keys, of = [], []
+                keys, of, pos = [], [], []
                 for i, (a, b, s) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), sig.tolist(), strict=True)):
                     if a == b or s in before:
                         continue
@@ -181,16 +168,18 @@ def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataF
                     if size > light * NUM // DEN:
                         keys.append(own[:p] & ~U64(1))
                         of.append(np.full(p, i))
+                        pos.append(np.arange(p, dtype=np.int32))
                     if 2 < size <= light:
                         x, y = np.triu_indices(min(p + 1, size), 1)
                         pair = mix(np.minimum(own[x], own[y]) * U64(3) + np.maximum(own[x], own[y])) | U64(1)
                         keys.append(pair)
                         of.append(np.full(len(pair), i))
+                        pos.append(np.zeros(len(pair), dtype=np.int32))
                 if keys:
                     of = np.concatenate(of)
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), _long(sig[of]), pa.array(n[of])], names=["key", "sig", "n"])
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), _long(sig[of]), pa.array(n[of]), pa.array(np.concatenate(pos))], names=["key", "sig", "n", "pos"])
 
-    return rows.select("t").mapInArrow(prefix, "key long, sig long, n long")
+    return rows.select("t").mapInArrow(prefix, "key long, sig long, n long, pos int")
 
 
 def _whole_sets(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -226,35 +215,54 @@ def _verified(rows: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     return staged(both.filter(F.size(F.array_intersect("mu", "mv")) >= overlap(F.col("nu"), F.col("nv"))).select("u", "v"), "links")
 
 
-def _first_pairs(nodes: DataFrame) -> DataFrame:
-    """Each set with the smallest and the largest set of every band that it shares."""
-    bands = nodes.select("sig", "n", F.explode(F.array_distinct("keys")).alias("band"))
-    ends = staged(bands.groupBy("band").agg(F.min(F.struct("sig", "n")).alias("lo"), F.max(F.struct("sig", "n")).alias("hi")).filter("lo.sig <> hi.sig"), "bands")
-    pairs = bands.join(ends, "band").select("sig", "n", F.explode(F.array("lo", "hi")).alias("e")).filter("sig <> e.sig")
-    return _alike(pairs.select(F.greatest("sig", F.col("e.sig")).alias("u"), F.least("sig", F.col("e.sig")).alias("v"), F.col("n").alias("nu"), F.col("e.n").alias("nv"))).select("u", "v").distinct()
+def _ratio(a: Column, b: Column) -> Column:
+    """Sizes alone don't rule out a link."""
+    return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
+
+
+def _ranked(entries: DataFrame) -> DataFrame:
+    """With each list entry's rank among its set's entries, which are those that can be shared at all."""
+    of = Window.partitionBy("sig").orderBy("listed", "pos", "key")
+    return entries.withColumn("listed", F.col("key").bitwiseAND(F.lit(1)) == 0).withColumn("rank", F.row_number().over(of) - F.sum((~F.col("listed")).cast("int")).over(Window.partitionBy("sig")) - 1)
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """Drop pairs whose sizes alone rule out a link."""
-    return pairs.filter(F.least("nu", "nv") * DEN >= F.greatest("nu", "nv") * NUM)
+def _may_link(x: str, y: str) -> Column:
+    """The sets of two entries of a key can be similar.
+
+    What they share before the key is among the ranked entries of both, and
+    what they share behind it is behind it in both.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    most = F.least(c(x, "rank"), c(y, "rank")) + 1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) - 1
+    return _ratio(c(x, "n"), c(y, "n")) & (~c(x, "listed") | (most >= overlap(c(x, "n"), c(y, "n"))))
 
 
-def _rest(n: str) -> Column:
-    """How many of a set's shingles stand behind its prefix."""
-    return F.ceil(F.col(n) * F.lit(NUM) / F.lit(DEN)) - 1
+def _first_pairs(entries: DataFrame) -> DataFrame:
+    """All sets of a list with that one of them which has the fewest unshared shingles before the key."""
+    ranked = staged(_ranked(entries), "ranked")
+    heads = staged(ranked.groupBy("key").agg(F.min(F.struct((F.col("pos") - F.col("rank")).alias("own"), "sig", "n", "pos", "rank", "listed")).alias("p")).select("key", "p.*"), "heads")
+    met = ranked.alias("x").join(heads.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sig") != F.col("y.sig")) & _may_link("x", "y"))
+    return met.select(F.greatest("x.sig", "y.sig").alias("u"), F.least("x.sig", "y.sig").alias("v")).distinct()
 
 
 def _last_pairs(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Sets of different components that share keys enough to be similar."""
-    placed = staged(entries.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root")), "placed")
+    """Sets of different components that share keys enough to be similar.
+
+    Of two sets the smaller one is found by its first shingles alone: as many
+    as a set that has to share six sevenths of itself cannot all do without.
+    """
+    placed = staged(entries.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", "n", "pos", F.coalesce("root", "sig").alias("root")), "placed")
     mixed = staged(placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "mixed")
-    open_ = staged(placed.join(mixed, "key", "left_semi"), "open")
-    a = open_.select("key", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    b = open_.select("key", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    met = _alike(a.join(b, (a["key"] == b["key"]) & (F.col("ru") < F.col("rv"))).select(a["key"], "u", "v", "nu", "nv", "ru", "rv"))
-    counted = met.groupBy("u", "v", "nu", "nv").agg(F.sum((F.col("key").bitwiseAND(F.lit(1)) == 0).cast("long")).alias("shared"), F.max(F.col("key").bitwiseAND(F.lit(1))).alias("subset"))
-    likely = (F.col("subset") == 1) | (F.col("shared") + F.greatest(_rest("nu"), _rest("nv")) >= overlap(F.col("nu"), F.col("nv")))
-    return counted.filter(likely).select("u", "v")
+    open_ = staged(_ranked(placed.join(mixed, "key", "left_semi")), "open")
+    behind = F.ceil(F.col("n") * F.lit(2 * NUM) / F.lit(NUM + DEN)) - 1  # shingles behind the first ones
+    x, y = open_.alias("x"), open_.filter(~F.col("listed") | (F.col("pos") < F.col("n") - behind)).withColumn("behind", behind).alias("y")
+    larger = F.struct("x.n", "x.sig") > F.struct("y.n", "y.sig")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & larger & _may_link("x", "y"))
+    counted = met.groupBy(F.col("x.sig").alias("u"), F.col("y.sig").alias("v")).agg(
+        F.first("x.n").alias("nu"), F.first("y.n").alias("nv"), F.first("behind").alias("behind"), F.sum(F.col("x.listed").cast("long")).alias("shared"), F.max(~F.col("x.listed")).alias("subset")
+    )
+    rest = F.greatest(F.ceil(F.col("nu") * F.lit(NUM) / F.lit(DEN)) - 1, F.col("behind"))
+    return counted.filter(F.col("subset") | (F.col("shared") + rest >= overlap(F.col("nu"), F.col("nv")))).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         sketch = staged(_sketches(rows, id_type, seed), "sketch")
         texts = sketch.filter("kind = 0")
-        nodes = staged(texts.filter("n > 0").groupBy(F.col("a").alias("sig")).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("b").alias("b"), F.max("b").alias("b2"), F.min("id").alias("first"), F.first("keys").alias("keys")), "nodes")
+        nodes = staged(texts.filter("n > 0").groupBy(F.col("a").alias("sig")).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("b").alias("b"), F.max("b").alias("b2"), F.min("id").alias("first")), "nodes")
         if nodes.filter("n <> most or b <> b2").isEmpty():
             break
         seed += 1  # two sets have one signature: others are taken
@@ -282,11 +290,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = sketch.filter("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
     frequent = often["h"].to_numpy().view(U64)[::-1].copy()
 
-    first = components(_verified(rows, _first_pairs(nodes.select("sig", "n", "keys")), seed))
     key = Window.partitionBy("key")
-    entries = _keys(rows, frequent, light, seed).withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).filter("lo <> hi").select("key", "sig", "n").distinct()
-    first = staged(first, "first")
-    links = _verified(rows, _last_pairs(staged(entries, "entries"), first), seed)
+    entries = _keys(rows, frequent, light, seed).withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).filter("lo <> hi").select("key", "sig", "n", "pos")
+    entries = staged(entries, "entries")
+    first = staged(components(_verified(rows, _first_pairs(entries), seed)), "first")
+    links = _verified(rows, _last_pairs(entries, first), seed)
 
     # Links between components make components of components.
     root = lambda end: F.coalesce(F.col(f"r{end}.root"), F.col(end)).alias(end)
