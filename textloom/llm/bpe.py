@@ -1,7 +1,7 @@
 """Byte-level BPE through a table of distinct words.
 
-Texts are split into words by Spark. Words that occur more than once are
-encoded once each, in a table. Frequent ones, a bounded number, are looked up
+Texts are split into words, batch by batch, as arrays. Words that occur more
+than once are encoded once each, in a table. Frequent ones, a bounded number, are looked up
 where the texts are; the other words of the table join back by document and
 position. A word that occurs once in all texts (a filter of those seen twice
 says so) is encoded at its one place. Decoding looks ids up in the id-to-piece
@@ -11,25 +11,27 @@ table, which is as small as the vocabulary.
 from __future__ import annotations
 
 import json
+import os
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import bits_for, gathered, maybe
-from ._numpy import raw, span_hashes
+from ._numpy import raw, slices, span_hashes
 from ._spark import staged, text_of
 
-#: The byte-level pattern, with Unicode white space spelled out.
-_WS = r"\p{IsWhite_Space}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|{_WS}+(?!\P{{IsWhite_Space}})|{_WS}+"
 #: At most so many words, of so many bytes at most, are looked up in place: some 40 MB a worker.
 FREQUENT, FREQUENT_BYTES = 1 << 19, 48
-#: Words are taken in slices of about so many.
-SLICE_WORDS = 1 << 19
+_LETTER, _NUMBER, _OTHER, _SPACE = range(4)
+_WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
 
 
 class Tokenizer:
@@ -58,8 +60,6 @@ class Tokenizer:
         return np.frombuffer(b"".join(table), dtype=np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
     def load(self):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -69,45 +69,109 @@ class Tokenizer:
         return made
 
 
-def split_words(text: Column, added: list[str]) -> Column:
-    """The words of ``text``; added tokens are words of their own.
-
-    Null where a character is newer than the JVM's Unicode tables: such texts
-    are split by the tokenizer's own rules.
-    """
-    def words(x):
-        return F.regexp_extract_all(x, F.lit(PATTERN), F.lit(0))
-
-    plain = words(text)
-    if added:
-        quoted = "|".join(r"\Q" + a + r"\E" for a in sorted(added, key=len, reverse=True))
-        marks = F.regexp_extract_all(text, F.lit(f"({quoted})"), F.lit(0))
-        mixed = F.flatten(F.transform(F.split(text, quoted), lambda s, i: F.when(i > 0, F.concat(F.array(F.element_at(marks, i)), words(s))).otherwise(words(s))))
-        plain = F.when(text.rlike(quoted), mixed).otherwise(plain)
-    return F.when(~text.rlike(r"\p{Cn}"), plain)
+def char_classes() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, _OTHER, dtype=np.uint8)
+    for cp in range(0x110000):
+        kind = unicodedata.category(chr(cp))[0]
+        if kind in "LN":
+            out[cp] = _LETTER if kind == "L" else _NUMBER
+    out[_WHITE] = _SPACE
+    return out
 
 
-def _slow_split(text: str, tokenizer, added: list[str]) -> list[str]:
-    import regex
+def _chars(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of valid UTF-8 begin, and their classes."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    head = data[at]
+    kind = classes[head]
+    for low, high, size, mask in ((0xC0, 0xE0, 2, 0x1F), (0xE0, 0xF0, 3, 0x0F), (0xF0, 0x100, 4, 0x07)):
+        which = np.flatnonzero((head >= low) & (head < high))
+        cp = (head[which] & mask).astype(np.int64)
+        for j in range(1, size):
+            cp = (cp << 6) | (data[at[which] + j] & 0x3F)
+        kind[which] = classes[cp]
+    return at, kind
 
-    out: list[str] = []
-    for i, part in enumerate(regex.split("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")", text) if added else [text]):
-        out += [part] if i % 2 else [part[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(part)]
-    return out
 
+def word_starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where words begin in the texts ``data[offsets[i]:offsets[i + 1]]``; a word ends where the next one begins.
 
-def _flat(batch: pa.RecordBatch, column: pa.Array, texts: pa.Array, state: dict, tokenizer: Tokenizer) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
-    """Slices of a batch: its rows, the offsets of their words, and all words as one array."""
-    if column.null_count:
-        if "slow" not in state:
-            state["slow"] = tokenizer.load()
-        column = pa.array([_slow_split(t, state["slow"], tokenizer.added) if w is None else w for w, t in zip(column.to_pylist(), texts.to_pylist(), strict=True)], pa.list_(pa.string()))
-    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_WORDS, side="right")) - 1)
-        yield batch.slice(at, to - at), ends[at : to + 1] - ends[at], column.values.slice(ends[at], ends[to] - ends[at])
-        at = to
+    Words are maximal runs of letters, of numbers, of white space, or of
+    anything else. A space before a run of another kind belongs to it; of white
+    space before such a run the last character is a word of its own, if it is
+    no space; and an apostrophe that begins a word takes a contraction's letters.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    at, kind = _chars(data, classes)
+    n = len(at)
+    head = np.zeros(n + 1, dtype=bool)  # a text begins
+    head[np.searchsorted(at, offsets[offsets < len(data)])] = True
+    head[n] = True
+    run = head[:n].copy()
+    run[1:] |= kind[1:] != kind[:-1]
+    blank = data[at] == 32
+    white = kind == _SPACE
+    after_blank = np.zeros(n, dtype=bool)
+    after_blank[1:] = blank[:-1] & ~head[1:n]
+    start = run.copy()
+    led = run & ~white & after_blank  # takes the space before it
+    start[led] = False
+    start[np.flatnonzero(led) - 1] = True
+    ends = np.flatnonzero(white[:-1] & run[1:] & ~head[1:n]) if n > 1 else np.zeros(0, np.int64)
+    start[ends[~blank[ends]]] = True  # the last white space before something else
+
+    lone = np.flatnonzero(run & (data[at] == 39) & ~after_blank)
+    lone = lone[(lone + 1 < n)]
+    lone = lone[run[lone + 1] & ~head[lone + 1] & (kind[lone + 1] == _LETTER)]
+    padded = np.concatenate((data, np.zeros(4, np.uint8)))
+    for short in _CONTRACTIONS:
+        fits = np.ones(len(lone), dtype=bool)
+        for j, byte in enumerate(short):
+            fits &= padded[at[lone] + j] == byte
+        i = lone[fits]
+        end = i + len(short)
+        # All its letters are ASCII and in this text: no text begins among them.
+        for j in range(2, len(short)):
+            inside = ~head[np.minimum(i + j, n)]
+            i, end = i[inside], end[inside]
+        start[i + 1] = False
+        start[end[end < n]] = start[end[end < n]] | ~white[end[end < n]] | head[end[end < n]]
+    return at[start]
+
+
+def _words(texts: pa.Array, classes: np.ndarray, added: list[str]) -> tuple[np.ndarray, pa.Array]:
+    """All words of the texts as one array, and the offsets of each text's."""
+    special = [a for a in added if pc.any(pc.match_substring(texts, a)).as_py()]
+    if not special:
+        data, offsets = raw(texts)
+        starts = word_starts(data, offsets, classes)
+        ends = np.append(starts, len(data)).astype(np.int32)
+        return np.searchsorted(starts, offsets), pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+    parts, owner = [], []
+    for i, text in enumerate(texts.to_pylist()):
+        for part in cut.split(text):
+            if part:
+                parts.append(part)
+                owner.append(i)
+    data, offsets = raw(pa.array(parts, pa.string()))
+    starts = word_starts(data, offsets, classes)
+    part_of = np.searchsorted(offsets, starts, side="right") - 1
+    whole = np.array([p in special for p in parts], dtype=bool)
+    starts = starts[~whole[part_of] | (starts == offsets[part_of])]
+    of = np.searchsorted(starts, offsets)
+    first = np.searchsorted(np.array(owner, dtype=np.int64), np.arange(len(texts) + 1))
+    ends = np.append(starts, len(data)).astype(np.int32)
+    return of[first], pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _flat(batch: pa.RecordBatch, place: int, classes: np.ndarray, added: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Slices of a batch, the offsets of their texts' words, and all words as one array."""
+    for a, b in slices(batch.column(place)):
+        rows = batch.slice(a, b - a)
+        yield rows, *_words(rows.column(place), classes, added)
 
 
 def ragged(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -138,19 +202,18 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "ids"]
     text = text_of(text_col)
-    split = split_words(text, tokenizer.added)
+    classes = spark.sparkContext.broadcast(char_classes())
     key = [F.xxhash64(F.lit(salt), text, *[F.col(f"`{c}`").cast("string") for c in columns if c != text_col]).alias(f"__k{salt}") for salt in (1, 2)]
-    scan = docs.select(split.alias("__words"), F.when(split.isNull(), text).alias("__slow"), *key)
+    scan = docs.select(text.alias("__text"), *key)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
         parts: list[pa.Table] = []
 
         def summed(parts: list[pa.Table]) -> pa.Table:
             return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
         for batch in batches:
-            for _, _, words in _flat(batch, batch.column(0), batch.column(1), state, tokenizer):
+            for _, _, words in _flat(batch, 0, classes.value, tokenizer.added):
                 counted = words.value_counts()
                 parts.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
                 if sum(map(len, parts[1:])) > 1 << 20:
@@ -169,7 +232,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
                 ids = _ids_of(made, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(_word_hashes(part.column(0)).view(np.int64))], names=["word", "n", "ids", "h"])
 
-    counts = scan.select("__words", "__slow").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = scan.select("__text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     table = staged(counts.mapInArrow(encode_words, "word string, n long, ids array<int>, h long"), "words")
 
     by_count = table.filter(F.octet_length("word") <= FREQUENT_BYTES).groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(2.0, F.floor(F.log2("n"))).cast("long")).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
@@ -204,21 +267,21 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            for rows, ends, words in _flat(batch, batch.column(0), batch.column(1), state, tokenizer):
+            for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
                 code, of, each, once = coded(words, state)
                 open_ = np.flatnonzero(code < 0)
                 row = np.searchsorted(ends, open_, side="right") - 1
                 place = np.arange(len(open_)) - np.searchsorted(row, row)
                 join = ~once[of[open_]]
                 row, place, which = row[join], place[join], of[open_][join]
-                yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(row)), rows.column(3).take(pa.array(row)), pa.array(place.astype(np.int32)), each.take(pa.array(which))], names=["k1", "k2", "place", "word"])
+                yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row)), rows.column(2).take(pa.array(row)), pa.array(place.astype(np.int32)), each.take(pa.array(which))], names=["k1", "k2", "place", "word"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole rows with the codes of their words: a frequent word's number, or from there on its place among the row's others."""
         state: dict = {"zstd": zstandard.ZstdCompressor(level=1)}
         made = tokenizer.load()
         for batch in batches:
-            for rows, ends, words in _flat(batch, batch.column(0), batch.column(1), state, tokenizer):
+            for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
                 code, of, each, once = coded(words, state)
                 open_ = np.flatnonzero(code < 0)
                 row = np.searchsorted(ends, open_, side="right") - 1
@@ -234,13 +297,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
                     bytes_ = np.ascontiguousarray(small[a:b].view(np.uint8).reshape(-1, 4).T).tobytes()
                     packed.append(state["zstd"].compress(bytes_))
                     inline.append([{"place": int(place[alone[j]]), "ids": own[j]} for j in range(at[i], at[i + 1])])
-                yield pa.RecordBatch.from_arrays([*rows.columns[2:], pa.array(packed, pa.binary()), pa.array(inline, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))])))], names=[*rows.schema.names[2:], "__codes", "__inline"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(packed, pa.binary()), pa.array(inline, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))])))], names=[*rows.schema.names[1:], "__codes", "__inline"])
 
     entry = "array<struct<place:int,ids:array<int>>>"
     back = scan.mapInArrow(rare, "k1 long, k2 long, place int, word string").join(table.filter(~is_frequent).select("word", "ids"), "word", "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))).alias("__joined"))
     passed = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns and c != text_col)
     others = [c for c in columns if c != text_col]
-    light = docs.select(split.alias("__words"), F.when(split.isNull(), text).alias("__slow"), *key, *[F.col(f"`{c}`") for c in others])
+    light = docs.select(text.alias("__text"), *key, *[F.col(f"`{c}`") for c in others])
     left = light.mapInArrow(codes, "__k1 long, __k2 long" + (f", {passed}" if passed else "") + f", __codes binary, __inline {entry}")
     whole = left.join(back, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*[F.col(f"`{c}`") for c in others], "__codes", "__inline", "__joined")
 
