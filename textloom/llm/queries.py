@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf
-from ._spark import table
+from . import line_crf, maxent_lm
+from ._spark import table, text_of
 from .bpe import Tokenizer, decode, encode
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
@@ -57,6 +57,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = maxent_lm.fit(docs.filter(~held_out(10)).select(text_of().alias("text")))
+    found = maxent_lm.score(docs, model, counts)
+    return found.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -94,7 +101,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_line_crf, op4_bpe, op6_exact_dedup, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_line_crf, op4_bpe, op6_exact_dedup, op7_maxent_lm, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
 
 ORACLES = {
     "op1_warc_revisits": r"""
