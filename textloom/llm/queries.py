@@ -12,6 +12,7 @@ from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
 from .ngram_join import near_duplicates
+from .pii import KINDS, find_spans, listed
 from .url_filter import judge_urls, rule
 from .warc import resolve_revisits
 
@@ -48,6 +49,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def _is_kind(k: int):
+    return lambda s: F.when(s["kind"] == k, 1)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.array_compact(F.transform("base", _is_kind(k)))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -101,7 +112,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_line_crf, op4_bpe, op6_exact_dedup, op7_maxent_lm, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_url_filter, op3_line_crf, op4_bpe, op5_pii, op6_exact_dedup, op7_maxent_lm, op8_ngram_join, op9_decontaminate, op10_line_dedup)}
 
 ORACLES = {
     "op1_warc_revisits": r"""
