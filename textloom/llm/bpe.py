@@ -27,7 +27,7 @@ from ._bloom import bits_for, gathered, maybe
 from ._numpy import raw, slices, span_hashes
 from ._spark import staged, text_of
 
-#: At most so many words, of so many bytes at most, are looked up in place: some 40 MB a worker.
+#: At most so many words, of so many bytes at most, are looked up in place: some 20 MB a worker.
 FREQUENT, FREQUENT_BYTES = 1 << 19, 48
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -216,19 +216,21 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
             for _, _, words in _flat(batch, 0, classes.value, tokenizer.added):
                 counted = words.value_counts()
                 parts.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
-                if sum(map(len, parts[1:])) > 1 << 20:
+                if sum(map(len, parts[1:])) > 1 << 19:
                     parts = [summed(parts)]
-                    if len(parts[0]) > 1 << 20:  # what a task holds stays bounded
-                        yield from parts[0].combine_chunks().to_batches(100_000)
+                    if len(parts[0]) > 1 << 19:  # what a task holds stays bounded
+                        yield from parts[0].combine_chunks().to_batches(20_000)
                         parts = []
         if parts:
-            yield from summed(parts).combine_chunks().to_batches(100_000)
+            yield from summed(parts).combine_chunks().to_batches(20_000)
+        del parts
+        pa.default_memory_pool().release_unused()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer.load()
         for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                part = batch.slice(at, 10_000)
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
                 ids = _ids_of(made, part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(_word_hashes(part.column(0)).view(np.int64))], names=["word", "n", "ids", "h"])
 
@@ -248,27 +250,31 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
     flat = listed.flatten().to_numpy().astype(np.int32)
     offsets = np.concatenate(([0], np.cumsum(np.asarray(listed.value_lengths()).astype(np.int64)))) if len(frequent) else np.zeros(1, np.int64)
     n_frequent = len(frequent)
-    held = spark.sparkContext.broadcast((frequent["word"].combine_chunks().cast(pa.string()), gathered(table.select("h", F.lit(1).alias("n")), bits_for(table.count()))))
+    names = frequent["word"].combine_chunks().cast(pa.string())
+    hashes = _word_hashes(names)
+    order = np.argsort(hashes)
+    held = spark.sparkContext.broadcast((hashes[order], order, names, gathered(table.select("h", F.lit(1).alias("n")), bits_for(table.count()))))
     ids_held = spark.sparkContext.broadcast((flat, offsets))
 
-    def coded(words: pa.Array, state: dict) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    def coded(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """For all words the code, and which distinct one each is; the distinct words; which of these surely occur once only."""
-        if "codes" not in state:
-            state["codes"] = {w: i for i, w in enumerate(held.value[0].to_pylist())}
+        hashes, order, names, repeated = held.value
         known = words.dictionary_encode()
         of, each = known.indices.to_numpy(), known.dictionary
-        get = state["codes"].get
-        code = np.fromiter((get(w, -1) for w in each.to_pylist()), dtype=np.int64, count=len(each))
-        once = np.zeros(len(each), dtype=bool)
-        rare = np.flatnonzero(code < 0)
-        once[rare] = ~maybe(held.value[1], _word_hashes(each.take(pa.array(rare))))
+        h = _word_hashes(each)
+        code = np.full(len(each), -1, dtype=np.int64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            near = np.flatnonzero(hashes[at] == h)
+            same = pc.equal(names.take(pa.array(order[at[near]])), each.take(pa.array(near))).to_numpy(zero_copy_only=False)
+            code[near[same]] = order[at[near[same]]]
+        once = (code < 0) & ~maybe(repeated, h)
         return code[of], of, each, once
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
         for batch in batches:
             for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
-                code, of, each, once = coded(words, state)
+                code, of, each, once = coded(words)
                 open_ = np.flatnonzero(code < 0)
                 row = np.searchsorted(ends, open_, side="right") - 1
                 place = np.arange(len(open_)) - np.searchsorted(row, row)
@@ -278,11 +284,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole rows with the codes of their words: a frequent word's number, or from there on its place among the row's others."""
-        state: dict = {"zstd": zstandard.ZstdCompressor(level=1)}
+        zstd = zstandard.ZstdCompressor(level=1)
         made = tokenizer.load()
         for batch in batches:
             for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
-                code, of, each, once = coded(words, state)
+                code, of, each, once = coded(words)
                 open_ = np.flatnonzero(code < 0)
                 row = np.searchsorted(ends, open_, side="right") - 1
                 first = np.searchsorted(row, np.arange(rows.num_rows + 1))
@@ -295,7 +301,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
                 small = code.astype("<u4")
                 for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                     bytes_ = np.ascontiguousarray(small[a:b].view(np.uint8).reshape(-1, 4).T).tobytes()
-                    packed.append(state["zstd"].compress(bytes_))
+                    packed.append(zstd.compress(bytes_))
                     inline.append([{"place": int(place[alone[j]]), "ids": own[j]} for j in range(at[i], at[i + 1])])
                 yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(packed, pa.binary()), pa.array(inline, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))])))], names=[*rows.schema.names[1:], "__codes", "__inline"])
 
