@@ -2,9 +2,308 @@
 
 from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import analysis, lex
+from ..operators import filters
+from ..operators import query as Q
+from ..operators.filters import QueryFilter, RangeFilter
+from ..operators.index import SearchIndex, with_doc_ids
+from ..operators.planner import Planner
+from ..operators.schema import FieldInfos
+from ..operators.search import Searcher, SortField
+from ..sources import store
+
+Run = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Run] = {}
+ORACLES: dict[str, str] = {}
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def build(docs: DataFrame, **options) -> SearchIndex:
+    infos = FieldInfos()
+    for name in ("lang", "source", "n_chars"):
+        infos.add_field(name, index="untokenized")
+    return SearchIndex.build(docs, infos, analysis.letter_analyzer(), **options)
+
+
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The index of ``documents``; a session keeps it while it works on one folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        for old in _INDEXES.values():
+            if old.spark.sparkContext.applicationId == key[0]:
+                old.postings.unpersist()
+                old.norms.unpersist()
+        _INDEXES.clear()
+        _INDEXES[key] = build(documents(spark, sf_dir)).cached()
+    return _INDEXES[key]
+
+
+def searcher(spark: SparkSession, sf_dir: str) -> Searcher:
+    return Searcher(index(spark, sf_dir))
+
+
+#: Tokens, postings and weights, as DuckDB sees them.
+PRELUDE = r"""
+with tok as (
+    select doc_id, 'text' as field, unnest(t) as term, generate_subscripts(t, 1) - 1 as pos from (select doc_id, regexp_extract_all(lower(text), '\p{L}+') as t from documents)
+    union all select doc_id, 'lang', lang, 0 from documents where lang is not null
+    union all select doc_id, 'source', source, 0 from documents where source is not null
+    union all select doc_id, 'n_chars', cast(n_chars as varchar), 0 from documents where n_chars is not null),
+len as (select field, doc_id, count(*) as n, 1 / sqrt(count(*)) as v from tok group by 1, 2),
+nrm as (select field, doc_id, n as length, floor(4 * v / pow(2, floor(log2(v)))) / 4 * pow(2, floor(log2(v))) as norm from len),
+p as (select t.*, norm from (select field, term, doc_id, count(*) as freq, list(pos order by pos) as positions from tok group by 1, 2, 3) t join nrm using (field, doc_id)),
+nd as (select cast(max(doc_id) + 1 as double) as total from documents),
+w as (select field, term, count(*) as df, cast(sum(freq) as bigint) as total_freq, ln(any_value(total) / (count(*) + 1)) + 1 as idf from p, nd group by 1, 2)
+"""
+
+
+def register(name: str, run: Run, sql: str | None = None, prelude: bool = True) -> None:
+    QUERIES[name] = run
+    if sql is not None:
+        ORACLES[name] = (PRELUDE + ("" if sql.lstrip().startswith(",") else "\n") + sql) if prelude else sql
+
+
+def rounded(hits: DataFrame) -> DataFrame:
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+def scored(name: str, q: Q.Query, sql: str | None = None) -> None:
+    register(name, lambda spark, d: rounded(Planner(index(spark, d)).hits(q)), sql)
+
+
+def term(t: str, field: str = "text", boost: float = 1.0) -> Q.TermQuery:
+    return Q.TermQuery(field, t, boost=boost)
+
+
+def flat(*clauses: tuple, boost: float = 1.0, coord: bool = True) -> tuple[Q.BooleanQuery, str]:
+    """A boolean query over (term, occurrence, boost) of the text, and its SQL as the CTE ``hits``."""
+    q = Q.BooleanQuery(clauses=tuple(Q.BooleanClause(term(t, boost=b), o) for t, o, b in clauses), boost=boost, coord=coord)
+    values = ", ".join(f"('{t}', '{o}', {b!r})" for t, o, b in clauses)
+    must, positive = sum(o == Q.MUST for _, o, _ in clauses), sum(o != Q.MUST_NOT for _, o, _ in clauses)
+    scale = f"(n_must + n_should) / {float(positive)!r}" if coord else "1.0"
+    return q, f""",
+    c(term, occur, boost) as (values {values}),
+    cw as (select c.*, coalesce(w.idf, ln(total) + 1) as idf from c cross join nd left join w on w.field = 'text' and w.term = c.term),
+    qn as (select 1 / sqrt({boost!r} * {boost!r} * sum(idf * boost * idf * boost)) as qn from cw where occur <> 'must_not'),
+    hits as (
+        select doc_id, round(sum(s) * {scale}, 6) as score from (
+            select doc_id, sum(case when occur <> 'must_not' then sqrt(freq) * idf * idf * boost * {boost!r} * qn * norm end) as s,
+                count(*) filter (occur = 'must') as n_must, count(*) filter (occur = 'should') as n_should, count(*) filter (occur = 'must_not') as n_not
+            from p join cw using (term) cross join qn where field = 'text' group by doc_id)
+        where n_not = 0 and n_must = {must} and n_must + n_should > 0 group by doc_id, n_must, n_should)
+    """
+
+
+# Analysis
+def tokens(analyzer: analysis.Analyzer) -> Run:
+    return lambda spark, d: documents(spark, d).select("doc_id", F.inline(analyzer.column(F.col("text"))))
+
+
+_SPLIT = "select doc_id, unnest(t) as term, cast(generate_subscripts(t, 1) - 1 as integer) as pos from (select doc_id, {} as t from documents)"
+register("tok_whitespace", tokens(analysis.whitespace_analyzer()), _SPLIT.format(r"regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')"), False)
+register("tok_letter", tokens(analysis.letter_analyzer(lower=False)), _SPLIT.format(r"regexp_extract_all(text, '\p{L}+')"), False)
+register("tok_lower", tokens(analysis.letter_analyzer()), _SPLIT.format(r"regexp_extract_all(lower(text), '\p{L}+')"), False)
+_STOP = analysis.Analyzer(analysis.LETTER, (analysis.LowerCaseFilter(), analysis.StopFilter()))
+register("tok_stop", tokens(_STOP), f"select * from ({_SPLIT.format(r"regexp_extract_all(lower(text), '\p{L}+')")}) where term not in ({', '.join(repr(x) for x in analysis.stopwords.ENGLISH)})", False)
+register("tok_regexp", tokens(analysis.regexp_analyzer("[a-z]{3,}")), _SPLIT.format("regexp_extract_all(lower(text), '[a-z]{3,}')"), False)
+register("tok_whole", tokens(analysis.Analyzer(analysis.WHOLE, ())), "select doc_id, text as term, 0 as pos from documents where length(text) > 0", False)
+register("tok_standard", tokens(analysis.standard_analyzer()))
+register("tok_hyphen", tokens(analysis.Analyzer(analysis.WHITESPACE, (analysis.LowerCaseFilter(), analysis.HyphenFilter()))))
+register(
+    "tok_mapping",
+    tokens(analysis.Analyzer(analysis.WHITESPACE, (analysis.MappingFilter((("th", "z"), ("e", "E"))),))),
+    "select doc_id, unnest(t) as term, cast(generate_subscripts(t, 1) - 1 as integer) as pos from (select doc_id, list_transform(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'), lambda x: replace(replace(x, 'th', 'z'), 'e', 'E')) as t from documents)",
+    False,
+)
+register("tok_stem", tokens(analysis.Analyzer(analysis.LETTER, (analysis.LowerCaseFilter(), analysis.StemFilter()))))
+register(
+    "lex_int",
+    lambda spark, d: documents(spark, d).select("doc_id", lex.int_to_lex(F.col("n_chars")).alias("up"), lex.int_to_lex(-F.col("n_chars")).alias("down"), lex.lex_to_int(lex.int_to_lex(-F.col("n_chars"))).alias("back"), lex.int_to_pad(F.col("n_chars"), 8).alias("padded")),
+    """select doc_id, lpad(cast(length(cast(n_chars as varchar)) as varchar), 4, '0') || n_chars as up,
+        case when n_chars = 0 then '00010' else '-' || lpad(cast(10000 - length(cast(n_chars as varchar)) as varchar), 4, '0') || lpad(cast(cast(pow(10, length(cast(n_chars as varchar))) as bigint) - n_chars as varchar), cast(length(cast(n_chars as varchar)) as integer), '0') end as down,
+        -n_chars as back, lpad(cast(n_chars as varchar), 8, ' ') as padded from documents""",
+    False,
+)
+register(
+    "lex_date",
+    lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", lex.time_to_lex(F.col("o_orderdate"), "day").alias("day"), lex.time_to_lex(F.col("o_orderdate"), "minute").alias("minute"), lex.time_to_lex(lex.lex_to_time(lex.time_to_lex(F.col("o_orderdate"), "month"))).alias("month_start")),
+    "select o_orderkey, strftime(o_orderdate, '%Y%m%d') as day, strftime(o_orderdate, '%Y%m%d%H%M') as minute, strftime(date_trunc('month', o_orderdate), '%Y%m%d%H%M%S') as month_start from orders",
+    False,
+)
+
+# Dictionary and postings
+register("term_stats", lambda spark, d: index(spark, d).term_stats, "select field, term, df as doc_freq, total_freq from w")
+register("doc_freq", lambda spark, d: index(spark, d).term_stats.filter(F.col("term").isin("the", "of", "de", "en")).select("field", "term", "doc_freq"), "select field, term, df as doc_freq from w where term in ('the', 'of', 'de', 'en')")
+register("term_docs", lambda spark, d: index(spark, d).term_docs("text", "the"), "select doc_id, cast(freq as integer) as freq from p where field = 'text' and term = 'the'")
+register("term_positions", lambda spark, d: index(spark, d).term_positions("text", "and"), "select doc_id, cast(pos as integer) as pos from tok where field = 'text' and term = 'and'")
+register("terms_from", lambda spark, d: index(spark, d).terms("text", "thi").limit(50), "select field, term, df as doc_freq, total_freq from w where field = 'text' and term >= 'thi' order by term limit 50")
+register("term_count", lambda spark, d: index(spark, d).term_stats.groupBy("field").agg(F.count(F.lit(1)).alias("n_terms")), "select field, count(*) as n_terms from w group by 1")
+register("term_vector", lambda spark, d: index(spark, d).term_vectors(5).select("field", "term", "freq", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")), "select field, term, cast(freq as integer) as freq, array_to_string(positions, ',') as positions from p where doc_id = 5")
+register("norms", lambda spark, d: index(spark, d).norms, "select doc_id, field, cast(length as integer) as length, norm from nrm")
+register(
+    "set_norm",
+    lambda spark, d: rounded(Planner(index(spark, d).set_norms(documents(spark, d).filter("lang = 'fr'").select("doc_id", F.lit("text").alias("field"), F.lit(0.25).alias("norm")))).hits(term("the"))),
+    "select doc_id, round(sqrt(freq) * idf * case when lang = 'fr' then 0.25 else norm end, 6) as score from p join w using (field, term) join documents using (doc_id) where field = 'text' and term = 'the'",
+)
+register("documents_range", lambda spark, d: index(spark, d).documents(10, 20).select("doc_id", "lang"), "select doc_id, lang from documents where doc_id between 10 and 29")
+
+# Leaf queries
+_ONE = "select doc_id, round(sqrt(freq) * idf * norm, 6) as score from p join w using (field, term) where field = 'text' and term = '{}'"
+scored("q_term", term("the"), _ONE.format("the"))
+_MULTI = ", t(term, b) as ({}), m as (select ln(any_value(total) / (sum(df) + 1)) + 1 as idf from t join w on w.field = 'text' and w.term = t.term, nd) select doc_id, round(sum(sqrt(freq) * b) * any_value(idf) * max(norm), 6) as score from p join t using (term), m where field = 'text' group by doc_id"
+scored("q_multi_term", Q.MultiTermQuery("text", (("the", 1.0), ("of", 0.5), ("und", 2.0))), _MULTI.format("values ('the', 1.0), ('of', 0.5), ('und', 2.0)"))
+scored("q_prefix", Q.PrefixQuery("text", "th"), _MULTI.format("select term, 1.0 from w where field = 'text' and term like 'th%' order by term limit 256"))
+scored("q_wildcard", Q.WildcardQuery("text", "th*o?", 256), _MULTI.format("select term, 1.0 from w where field = 'text' and term like 'th%o_' order by term limit 256"))
+scored(
+    "q_fuzzy",
+    Q.FuzzyQuery("text", "thation", 0.6),
+    _MULTI.format("select term, s from (select term, 1 - levenshtein(term, 'thation') / least(strlen(term), 7)::double as s from w where field = 'text' and abs(strlen(term) - 7) <= floor(0.4 * least(strlen(term), 7) + 1e-9) and levenshtein(term, 'thation') <= floor(0.4 * least(strlen(term), 7) + 1e-9)) where s > 0.6 order by s desc, term limit 256"),
+)
+scored("q_range", Q.RangeQuery("text", "sha", "shb", True, False), "select distinct doc_id, 1.0 as score from p where field = 'text' and term >= 'sha' and term < 'shb'")
+scored("q_typed_range", Q.RangeQuery("n_chars", "500", "1500", typed=True), "select doc_id, 1.0 as score from documents where n_chars between 500 and 1500")
+scored("q_match_all", Q.MatchAllQuery(boost=2.0), "select doc_id, 1.0 as score from documents", )
+scored("q_const_score", Q.ConstantScoreQuery(RangeFilter(Q.RangeQuery("lang", "en", "en"))), "select doc_id, 1.0 as score from documents where lang = 'en'")
+_PHRASE = """, s1 as (select doc_id, unnest(positions) as pos from p where field = 'text' and term in ({a})), s2 as (select doc_id, unnest(positions) - 1 as pos from p where field = 'text' and term in ({b})),
+    f as (select doc_id, count(*) as freq from s1 join s2 using (doc_id, pos) group by doc_id), i as (select sum(idf) as idf from w where field = 'text' and term in ({a}, {b}))
+    select doc_id, round(sqrt(freq) * idf * norm, 6) as score from f cross join i join nrm using (doc_id) where field = 'text'"""
+scored("q_phrase_exact", Q.PhraseQuery("text").add_term("of").add_term("the"), _PHRASE.format(a="'of'", b="'the'"))
+scored("q_phrase_alternatives", Q.PhraseQuery("text").add_term(["of", "in"]).add_term(["the", "a"]), _PHRASE.format(a="'of', 'in'", b="'the', 'a'"))
+scored("phrase_sloppy", Q.PhraseQuery("text", slop=3).add_term("of").add_term("the").add_term("and"))
+
+# Boolean queries
+for _name, _clauses, _kw in (
+    ("b_must", (("the", Q.MUST, 1.0), ("and", Q.MUST, 1.0)), {}),
+    ("b_should", (("the", Q.SHOULD, 1.0), ("und", Q.SHOULD, 1.0), ("que", Q.SHOULD, 1.0)), {}),
+    ("b_req_opt", (("the", Q.MUST, 1.0), ("of", Q.SHOULD, 1.0), ("with", Q.SHOULD, 1.0)), {}),
+    ("b_must_not", (("de", Q.MUST, 1.0), ("the", Q.MUST_NOT, 1.0)), {}),
+    ("b_boost", (("the", Q.MUST, 2.5), ("of", Q.SHOULD, 0.5)), {"boost": 3.0}),
+    ("b_no_coord", (("the", Q.SHOULD, 1.0), ("und", Q.SHOULD, 1.0)), {"coord": False}),
+    ("b_missing_term", (("the", Q.SHOULD, 1.0), ("nosuchword", Q.SHOULD, 1.0)), {}),
+):
+    _q, _sql = flat(*_clauses, **_kw)
+    scored(_name, _q, _sql + " select doc_id, score from hits")
+scored("b_only_not", Q.BooleanQuery(clauses=(Q.BooleanClause(term("the"), Q.MUST_NOT),)), "select doc_id, 1.0 as score from documents where doc_id not in (select doc_id from p where field = 'text' and term = 'the')")
+scored(
+    "b_nested",
+    Q.BooleanQuery(clauses=(Q.BooleanClause(Q.BooleanQuery(clauses=(Q.BooleanClause(term("the")), Q.BooleanClause(term("of")))), Q.MUST), Q.BooleanClause(term("and"), Q.MUST))),
+    """, i as (select term, idf from w where field = 'text' and term in ('the', 'of', 'and')), qn as (select 1 / sqrt(sum(idf * idf)) as qn from i),
+    s as (select doc_id, sum(sqrt(freq) * idf * idf * qn * norm) filter (term <> 'and') as a, count(*) filter (term <> 'and') as n, sum(sqrt(freq) * idf * idf * qn * norm) filter (term = 'and') as b from p join i using (term), qn where field = 'text' group by doc_id)
+    select doc_id, round(a * n / 2 + b, 6) as score from s where n > 0 and b is not null""",
+)
+
+# Filters
+_EN = RangeFilter(Q.RangeQuery("lang", "en", "en"))
+scored("q_filtered", Q.FilteredQuery(term("de"), _EN), _ONE.format("de") + " and doc_id in (select doc_id from documents where lang = 'en')")
+register("f_range", lambda spark, d: rounded(searcher(spark, d).hits(term("the"), RangeFilter(Q.RangeQuery("source", "src1", "src2")))), _ONE.format("the") + " and doc_id in (select doc_id from documents where source between 'src1' and 'src2')")
+register("f_typed_range", lambda spark, d: rounded(searcher(spark, d).hits(term("the"), RangeFilter(Q.RangeQuery("n_chars", "1000", typed=True, include_lower=False)))), _ONE.format("the") + " and doc_id in (select doc_id from documents where n_chars > 1000)")
+register("f_query", lambda spark, d: rounded(searcher(spark, d).hits(term("the"), QueryFilter(term("of")))), _ONE.format("the") + " and doc_id in (select doc_id from p where field = 'text' and term = 'of')")
+register("post_filter", lambda spark, d: rounded(searcher(spark, d).hits(term("the"), filter_proc=lambda doc, s: s > 0.15)), _ONE.format("the") + " and sqrt(freq) * idf * norm > 0.15")
+register("post_filter_scale", lambda spark, d: rounded(searcher(spark, d).hits(term("the"), filter_proc=lambda doc, s: F.when(s < 0.4, 0.5))), _ONE.format("the").replace("idf * norm", "idf * norm * 0.5") + " and sqrt(freq) * idf * norm < 0.4")
+
+# Order and paging
+_q, _sql = flat(("the", Q.MUST, 1.0), ("and", Q.SHOULD, 1.0), ("of", Q.SHOULD, 1.0))
+register("topk_offset", lambda spark, d, q=_q: searcher(spark, d).search(q, offset=5, limit=10).hits, _sql + " select doc_id, score from hits order by score desc, doc_id limit 10 offset 5")
+register("total_hits", lambda spark, d, q=_q: searcher(spark, d).search(q).found.agg(F.count(F.lit(1)).alias("total_hits"), F.max("score").alias("max_score")), _sql + " select count(*) as total_hits, max(score) as max_score from hits")
+register("search_each_norm", lambda spark, d, q=_q: searcher(spark, d).search_each(q, limit=25), _sql + " select doc_id, round(score / greatest((select max(score) from hits), 1), 6) as score from hits order by hits.score desc, doc_id limit 25")
+register("scan", lambda spark, d: searcher(spark, d).scan(term("the"), 20, 30), "select doc_id from p where field = 'text' and term = 'the' and doc_id >= 20 order by doc_id limit 30")
+register("sort_int_desc", lambda spark, d: searcher(spark, d).search(term("the"), limit=20, sort=[SortField("n_chars", "integer", True)]).hits, "select doc_id, score from (" + _ONE.format("the").replace("\n", " ") + ") join documents using (doc_id) order by n_chars desc, doc_id limit 20")
+register("sort_string_nulls", lambda spark, d: searcher(spark, d).search(term("the"), limit=40, sort="source, SCORE").hits, "select doc_id, score from (" + _ONE.format("the") + ") join documents using (doc_id) order by source nulls last, score desc, doc_id limit 40")
+register("sort_auto", lambda spark, d: searcher(spark, d).search(term("de"), limit=15, sort="n_chars").hits, "select doc_id, score from (" + _ONE.format("de") + ") join documents using (doc_id) order by n_chars, doc_id limit 15")
+register("search_many", lambda spark, d: searcher(spark, d).search_many({t: ("text", t) for t in ("the", "de", "und", "with")}, 5).withColumn("rank", F.col("rank").cast("long")), "select term as query, doc_id, score, rank from (select term, doc_id, score, row_number() over (partition by term order by score desc, doc_id) as rank from (select term, doc_id, round(sqrt(freq) * idf * norm, 6) as score from p join w using (field, term) where field = 'text' and term in ('the', 'de', 'und', 'with'))) where rank <= 5")
+register("parsed_query", lambda spark, d: searcher(spark, d).search("text:(+the +of -with)", limit=None).hits, flat(("the", Q.MUST, 1.0), ("of", Q.MUST, 1.0), ("with", Q.MUST_NOT, 1.0))[1] + " select doc_id, score from hits")
+
+# Spans
+_SPAN = ", i as (select sum(idf) as idf from w where field = 'text' and term in ({terms})), f as ({freq}) select doc_id, round(sqrt(freq) * idf * norm, 6) as score from f cross join i join nrm using (doc_id) where field = 'text'"
+span = Q.SpanTermQuery
+scored("span_term", span("text", "the"), _SPAN.format(terms="'the'", freq="select doc_id, freq / 2 as freq from p where field = 'text' and term = 'the'"))
+scored("span_multi_term", Q.SpanMultiTermQuery("text", ("the", "of")), _SPAN.format(terms="'the', 'of'", freq="select doc_id, sum(freq) / 2 as freq from p where field = 'text' and term in ('the', 'of') group by doc_id"))
+scored("span_first", Q.SpanFirstQuery(span("text", "the"), 10), _SPAN.format(terms="'the'", freq="select doc_id, count(*) / 2 as freq from tok where field = 'text' and term = 'the' and pos < 10 group by doc_id"))
+scored("span_or", Q.SpanOrQuery((span("text", "the"), Q.SpanFirstQuery(span("text", "of"), 20))), _SPAN.format(terms="'the', 'of'", freq="select doc_id, count(*) / 2 as freq from tok where field = 'text' and (term = 'the' or (term = 'of' and pos < 20)) group by doc_id"))
+scored("span_not", Q.SpanNotQuery(span("text", "the"), Q.SpanFirstQuery(span("text", "the"), 30)), _SPAN.format(terms="'the'", freq="select doc_id, count(*) / 2 as freq from tok where field = 'text' and term = 'the' and pos >= 30 group by doc_id"))
+scored("span_prefix", Q.SpanPrefixQuery("text", "thath"), _SPAN.format(terms="select term from w where field = 'text' and term like 'thath%' order by term limit 256", freq="select doc_id, count(*) / 2 as freq from tok where field = 'text' and term in (select term from w where field = 'text' and term like 'thath%' order by term limit 256) group by doc_id"))
+scored("span_near", Q.SpanNearQuery((span("text", "of"), span("text", "the")), 3, True))
+scored("span_near_unordered", Q.SpanNearQuery((span("text", "of"), span("text", "the"), span("text", "and")), 5))
+
+# Sets of documents
+_sets = {"and": (filters.intersection, "intersect"), "or": (filters.union, "union"), "not": (filters.difference, "except")}
+_the, _and = (lambda spark, d: index(spark, d).term_docs("text", "the")), (lambda spark, d: index(spark, d).term_docs("text", "and"))
+for _name, (_f, _op) in _sets.items():
+    register(f"bitset_{_name}", lambda spark, d, f=_f: f(_the(spark, d), _and(spark, d)), f"select doc_id from p where field = 'text' and term = 'the' {_op} select doc_id from p where field = 'text' and term = 'and'")
+register("bitset_xor", lambda spark, d: filters.symmetric_difference(_the(spark, d), _and(spark, d)), "select doc_id from p where field = 'text' and term in ('the', 'and') group by doc_id having count(*) = 1")
+
+# Changes
+register("delete_by_term", lambda spark, d: rounded(Planner(index(spark, d).delete_terms("lang", "fr")).hits(term("de"))), _ONE.format("de") + " and doc_id not in (select doc_id from documents where lang = 'fr')")
+
+
+def _query_delete(spark: SparkSession, d: str) -> DataFrame:
+    whole = index(spark, d)
+    return whole.delete_docs(Planner(whole).hits(term("the"))).docs().select("doc_id", "lang")
+
+
+def _upsert(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
+    whole = SearchIndex.build(docs, FieldInfos().add_field("key", index="untokenized"))
+    new = docs.join(documents(spark, d).filter("lang = 'es'"), "doc_id", "left_semi").withColumn("text", F.lit("replacement words"))
+    changed = whole.add(new, key=["key"])
+    return changed.docs().filter("text = 'replacement words'").select("doc_id", "key").withColumn("live", F.lit(changed.num_docs()).cast("long"))
+
+
+def _updated(spark: SparkSession, d: str) -> DataFrame:
+    whole = index(spark, d)
+    changed = whole.update(Planner(whole).hits(Q.PhraseQuery("text").add_term("of").add_term("the")), {"lang": F.lit("xx")})
+    return changed.docs().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _optimized(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d).delete_terms("lang", "en").optimize().term_stats.filter("field = 'lang' or term = 'de'").select("field", "term", "doc_freq")
+
+
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    talk = with_doc_ids(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    second = build(talk.select("doc_id", "text"))
+    return rounded(Planner(index(spark, d).merge(second)).hits(term("the")))
+
+
+def _on_disk(spark: SparkSession, d: str) -> DataFrame:
+    """Saved, loaded, searched: the table on disk stays for as long as the result may be read."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
+    path = f"{shared}/index-{uuid.uuid4().hex}"
+    store.save(index(spark, d), path)
+    return rounded(Planner(store.load(spark, path, analysis.letter_analyzer())).hits(term("the")))
+
+
+register("query_delete", _query_delete, "select doc_id, lang from documents where doc_id not in (select doc_id from p where field = 'text' and term = 'the')")
+register("upsert_key", _upsert, "select cast((select max(doc_id) + 1 from documents) + row_number() over (order by doc_id) - 1 as bigint) as doc_id, cast(doc_id as varchar) as key, (select count(*) from documents) as live from documents where lang = 'es'", False)
+register("query_update", _updated, ", h as (select distinct a.doc_id from tok a join tok b on a.field = 'text' and b.field = 'text' and a.doc_id = b.doc_id and a.term = 'of' and b.term = 'the' and b.pos = a.pos + 1) select case when h.doc_id is null then lang else 'xx' end as lang, count(*) as n from documents left join h using (doc_id) group by 1")
+register("optimize", _optimized, "select field, term, count(*) as doc_freq from p where (field = 'lang' or term = 'de') and doc_id not in (select doc_id from documents where lang = 'en') group by 1, 2")
+register(
+    "multi_index_union",
+    _both,
+    r"""with d as (select doc_id, text from documents union all select (select max(doc_id) + 1 from documents) + row_number() over (order by conv_id, turn) - 1, text from conversations),
+    t as (select doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) as term from d), l as (select doc_id, count(*) as n, 1 / sqrt(count(*)) as v from t group by 1),
+    f as (select doc_id, count(*) as freq from t where term = 'the' group by 1), i as (select ln((select cast(max(doc_id) + 1 as double) from d) / (count(*) + 1)) + 1 as idf from f)
+    select cast(doc_id as bigint) as doc_id, round(sqrt(freq) * idf * floor(4 * v / pow(2, floor(log2(v)))) / 4 * pow(2, floor(log2(v))), 6) as score from f join l using (doc_id), i""",
+    False,
+)
+register("store_roundtrip", _on_disk, _ONE.format("the"))
+register("highlight", lambda spark, d: searcher(spark, d).highlight("text:the", "text").select("doc_id", F.array_join("excerpts", "\n").alias("excerpts")))
+register("explain", lambda spark, d: spark.createDataFrame([(i, float(round(searcher(spark, d).explain(flat(("the", Q.MUST, 1.0), ("of", Q.SHOULD, 1.0))[0], i).value, 6))) for i in range(3)], "doc_id long, score double"), flat(("the", Q.MUST, 1.0), ("of", Q.SHOULD, 1.0))[1] + " select d.doc_id, coalesce(score, 0.0) as score from (select doc_id from documents where doc_id < 3) d left join hits using (doc_id)")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of a boolean query."""
+    q, _ = flat(("the", Q.MUST, 1.0), ("and", Q.SHOULD, 1.0), ("of", Q.SHOULD, 1.0))
+    return searcher(spark, sf_dir).search(q).hits
 
 
-QUERIES = {}
-ORACLES = {}
