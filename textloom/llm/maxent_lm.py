@@ -24,16 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._numpy import U64, Words, mix, slices, words
-from ._spark import staged, text_of
+from ._spark import least_count, staged, text_of
 
 FREQUENT, FREQUENT_BYTES = 1 << 18, 48
 SINGLES, BUCKETS = 12, 18
 END, REPEAT = SINGLES + BUCKETS, SINGLES + BUCKETS + 1
 CLASSES = REPEAT + 1
-ROWS, FEATURES = 1 << 14, 8
+ROWS, FEATURES, BLOCK = 1 << 14, 8, 256
 #: Training goes over every training document once, in ROUNDS parts; each gives every STRIDEth of its positions.
 ROUNDS, STRIDE, RATE, BATCH = 2, 4, 0.12, 2048
-#: Suffixes are put into buckets by what precedes them, over so many documents of at most so many bytes.
+#: Suffixes are put into buckets by what precedes them, over about so many documents of at most so many bytes.
 SUFFIX_DOCS, SUFFIX_BYTES = 2000, 20_000
 SUFFIXES = 1 << 12
 SMOOTH = 0.1
@@ -123,7 +123,7 @@ def class_probabilities(weights: np.ndarray, rows: np.ndarray, may_repeat: np.nd
 
 
 def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run over the texts once, from the model's weights; yield rows of weights, times the positions that moved them."""
+    """Run over the texts once, from the model's weights; yield blocks of rows of weights, times the positions that moved them."""
     weights = model.weights.copy()
     seen = np.zeros(ROWS, dtype=np.float32)
     for batch in batches:
@@ -146,18 +146,23 @@ def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                 total = np.add.reduceat(g[order // FEATURES], first, axis=0)
                 seen[row] += np.diff(np.append(first, len(flat)))
                 weights[row] -= RATE * total / np.sqrt(seen[row])[:, None]
-    moved = np.flatnonzero(seen)
-    for at in range(0, len(moved), 1024):
-        row = moved[at : at + 1024]
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array([x.tobytes() for x in weights[row] * seen[row][:, None]], pa.binary()), pa.array(seen[row].astype(np.float64))], names=["row", "w", "seen"])
+    weights *= seen[:, None]
+    for block in np.flatnonzero(seen.reshape(-1, BLOCK).any(axis=1)).tolist():
+        part = slice(block * BLOCK, (block + 1) * BLOCK)
+        yield _block(block, weights[part], seen[part])
+
+
+def _block(block: int, weights: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.astype(np.float64).tobytes()], pa.binary())], names=["block", "w", "seen"])
 
 
 def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(CLASSES, dtype=np.float64), 0.0
+    weights, seen = np.zeros((BLOCK, CLASSES)), np.zeros(BLOCK)
     for batch in batches:
-        total += np.frombuffer(b"".join(batch.column("w").to_pylist()), dtype=np.float32).reshape(-1, CLASSES).sum(axis=0, dtype=np.float64)
-        seen += sum(batch.column("seen").to_pylist())
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([seen])], names=["row", "w", "seen"])
+        for w, n in zip(batch.column("w").to_pylist(), batch.column("seen").to_pylist(), strict=True):
+            weights += np.frombuffer(w, dtype=np.float32).reshape(-1, CLASSES)
+            seen += np.frombuffer(n)
+    yield _block(key[0].as_py(), weights, seen)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -186,18 +191,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _threshold(counts: DataFrame) -> int:
-    """The least count of a frequent word, so that there are FREQUENT of them at most."""
-    sizes = counts.filter(F.octet_length("word") <= FREQUENT_BYTES).groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(2.0, F.floor(F.log2("n"))).cast("long")).alias("n")).agg(F.count(F.lit(1)).alias("words"))
-    least, so_far = 1 << 62, 0
-    for r in sizes.orderBy(F.desc("n")).collect():  # some 4200 rows at most
-        so_far += r["words"]
-        if so_far > FREQUENT:
-            break
-        least = r["n"]
-    return least
-
-
 def _buckets(sample: list[str], singles: np.ndarray) -> np.ndarray:
     """A bucket for every suffix: suffixes that follow the same frequent words go together (a few rounds of k-means)."""
     out = np.arange(SUFFIXES) % BUCKETS + SINGLES
@@ -229,14 +222,15 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     spark = texts.sparkSession
     counts = staged(word_counts(texts), "counts")
     n_docs = texts.count()
-    least = _threshold(counts)
+    least = least_count(counts.filter(F.octet_length("word") <= FREQUENT_BYTES), FREQUENT)
     held = counts.filter((F.col("n") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)).toArrow()
     joined = pa.array([" ".join(held["word"].to_pylist())], pa.string())
     h, n = words(joined).hashes(), held["n"].to_numpy()
     order = np.argsort(h)
     singles = h[np.lexsort((h, -n))[:SINGLES]]
     name = texts.columns[0]
-    sample = [r[0] for r in texts.filter(F.octet_length(name) <= SUFFIX_BYTES).orderBy(F.xxhash64(name), name).limit(SUFFIX_DOCS).collect()]
+    some = F.pmod(F.xxhash64(name), F.lit(1 << 30)) < int(min(1, SUFFIX_DOCS / max(1, n_docs)) * (1 << 30))
+    sample = sorted(r[0] for r in texts.filter(F.octet_length(name) <= SUFFIX_BYTES).filter(some).distinct().limit(2 * SUFFIX_DOCS).collect())
     model = Model(h[order], n[order], singles, _buckets(sample, singles), np.zeros((ROWS, CLASSES), dtype=np.float32), docs=n_docs)
     drawn = spark.sparkContext.broadcast(model)
 
@@ -259,14 +253,16 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(model)
         part = texts.filter(F.pmod(F.xxhash64(name, F.lit("round")), F.lit(ROUNDS)) == k)
-        moved = part.mapInArrow(lambda batches, now=now: _trained(now.value, batches), "row long, w binary, seen double")
-        moved = moved.withColumn("part", F.spark_partition_id() % 32)
+        blocks = "block long, w binary, seen binary"
+        moved = part.mapInArrow(lambda batches, now=now: _trained(now.value, batches), blocks).withColumn("part", F.spark_partition_id() % 32)
         # Weights are averaged by the positions that moved them; partial sums first.
-        summed = moved.groupBy("row", "part").applyInArrow(_added, "row long, w binary, seen double").groupBy("row").applyInArrow(_added, "row long, w binary, seen double").toArrow()
-        if len(summed):
-            weights = model.weights.copy()
-            weights[summed["row"].to_numpy()] = np.frombuffer(b"".join(summed["w"].to_pylist()), dtype=np.float32).reshape(-1, CLASSES) / summed["seen"].to_numpy()[:, None]
-            model = replace(model, weights=weights)
+        summed = moved.groupBy("block", "part").applyInArrow(_added, blocks).groupBy("block").applyInArrow(_added, blocks).toArrow()
+        weights = model.weights.copy()
+        for r in summed.to_pylist():
+            rows, seen = slice(r["block"] * BLOCK, (r["block"] + 1) * BLOCK), np.frombuffer(r["seen"])
+            mean = np.frombuffer(r["w"], dtype=np.float32).reshape(-1, CLASSES) / np.maximum(seen, 1)[:, None]
+            weights[rows] = np.where(seen[:, None] > 0, mean, weights[rows])
+        model = replace(model, weights=weights)
     return model, counts
 
 
