@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._bloom import bits_for, gathered, maybe
 from ._numpy import raw, slices, span_hashes
-from ._spark import staged, text_of
+from ._spark import least_count, staged, text_of
 
 #: At most so many words, of so many bytes at most, are looked up in place: some 20 MB a worker.
 FREQUENT, FREQUENT_BYTES = 1 << 19, 48
@@ -237,13 +237,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
     counts = scan.select("__text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     table = staged(counts.mapInArrow(encode_words, "word string, n long, ids array<int>, h long"), "words")
 
-    by_count = table.filter(F.octet_length("word") <= FREQUENT_BYTES).groupBy(F.when(F.col("n") < 4096, F.col("n")).otherwise(F.pow(2.0, F.floor(F.log2("n"))).cast("long")).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
-    least, words = 1 << 62, 0
-    for r in by_count:
-        words += r["words"]
-        if words > FREQUENT:
-            break
-        least = r["n"]
+    least = least_count(table.filter(F.octet_length("word") <= FREQUENT_BYTES), FREQUENT)
     is_frequent = (F.col("n") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)
     frequent = table.filter(is_frequent).select("word", "ids").toArrow().combine_chunks()
     listed = frequent["ids"].combine_chunks()

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._bloom import bits_for, gathered, maybe
 from ._components import components
 from ._numpy import U64, distinct, list_array, mix, shingles, slices, words
-from ._spark import staged, text_of
+from ._spark import least_count, staged, text_of
 
 SIZE, NUM, DEN = 5, 75, 100
 #: A shingle counts as frequent from so many counted sightings on; the MOST_FREQUENT of them are sorted last.
@@ -287,8 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seed += 1  # two sets have one signature: others are taken
 
     light = _light_boundary(sketch.filter("kind = 2"))
-    often = sketch.filter("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    frequent = often["h"].to_numpy().view(U64)[::-1].copy()
+    often = staged(sketch.filter("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "often")
+    often = often.filter(F.col("n") >= least_count(often, MOST_FREQUENT)).toArrow()
+    by_count = np.lexsort((often["h"].to_numpy(), often["n"].to_numpy()))
+    frequent = often["h"].to_numpy()[by_count].view(U64)
 
     key = Window.partitionBy("key")
     entries = _keys(rows, frequent, light, seed).withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).filter("lo <> hi").select("key", "sig", "n", "pos")
