@@ -144,12 +144,13 @@ def test_hamming_index_misses_nothing():
     assert {*zip(q.tolist(), i.tolist(), d.tolist(), strict=True)} == {(a, b, int(truth[a, b])) for a, b in zip(*np.nonzero(truth <= RADIUS), strict=True)}
 
 
-def test_bpe(spark):
+@pytest.mark.parametrize("lookup_bytes", [None, 4000, 0])
+def test_bpe(spark, lookup_bytes):
     tokenizer, library = byte_bpe(), byte_bpe().load()
     rng = random.Random(4)
     parts = ["'", "s", "'ll", " ", "  ", "\n", "a", "É", "1", "²", "!", "日本", "\t", "😀", "\x85", "<|endoftext|>", "don't", "word", None]
     rows = [(i, None if rng.random() < 0.02 else "".join(x or "" for x in rng.choices(parts, k=rng.randint(0, 20)))) for i in range(400)] + list(enumerate(ODD, 1000)) + [(5, "twice"), (5, "twice")]
-    got = [(r["doc_id"], r["ids"], r["text"]) for r in decode(encode(frame(spark, rows), tokenizer), tokenizer).collect()]
+    got = [(r["doc_id"], r["ids"], r["text"]) for r in decode(encode(frame(spark, rows), tokenizer, lookup_bytes=lookup_bytes), tokenizer).collect()]
     expected = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
     assert sorted(got, key=str) == sorted(expected, key=str)
 

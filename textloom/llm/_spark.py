@@ -51,14 +51,15 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def least_count(counts: DataFrame, most: int, n: str = "n") -> int:
-    """The least count so that ``most`` rows at most have it or a higher one; what is collected is bounded by the kinds of counts.
+def least_count(counts: DataFrame, most: int, n: str = "n", weight: Column | None = None) -> int:
+    """The least count so that ``most`` rows at most (or their weights) have it or a higher one.
 
-    Counts from 4096 on are told apart by powers of two only.
+    What is collected is bounded by the kinds of counts: from 4096 on they are
+    told apart by powers of two only.
     """
     kind = F.when(F.col(n) < 4096, F.col(n)).otherwise(F.pow(2.0, F.floor(F.log2(n))).cast("long"))
     least, so_far = 1 << 62, 0
-    for r in counts.groupBy(kind.alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("n")).collect():
+    for r in counts.groupBy(kind.alias("n")).agg(F.sum(F.lit(1) if weight is None else weight).alias("rows")).orderBy(F.desc("n")).collect():
         so_far += r["rows"]
         if so_far > most:
             break

@@ -27,8 +27,8 @@ from ._bloom import bits_for, gathered, maybe
 from ._numpy import raw, slices, span_hashes
 from ._spark import least_count, staged, text_of
 
-#: At most so many words, of so many bytes at most, are looked up in place: some 20 MB a worker.
-FREQUENT, FREQUENT_BYTES = 1 << 19, 48
+#: Words of so many bytes at most are looked up in place, the most frequent ones, as many as fit into so many bytes with their ids.
+FREQUENT_BYTES, LOOKUP_BYTES = 48, 96_000_000
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
@@ -191,8 +191,8 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])  # no word is empty
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``ids`` (array<int>), in place of one of that name.
+def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup_bytes: int | None = None) -> DataFrame:
+    """``docs`` with a column ``ids`` (array<int>) instead of its text, and in place of one of that name.
 
     The ids are those that the library gives for the whole text without adding
     special tokens; added tokens that stand in a text count as such. Null and
@@ -237,8 +237,12 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
     counts = scan.select("__text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
     table = staged(counts.mapInArrow(encode_words, "word string, n long, ids array<int>, h long"), "words")
 
-    least = least_count(table.filter(F.octet_length("word") <= FREQUENT_BYTES), FREQUENT)
+    if lookup_bytes is None:
+        lookup_bytes = LOOKUP_BYTES
+    own_bytes = F.octet_length("word") + 4 * F.size("ids") + 28
+    least = least_count(table.filter(F.octet_length("word") <= FREQUENT_BYTES), lookup_bytes, weight=own_bytes)
     is_frequent = (F.col("n") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)
+    rest = table.filter(~is_frequent)
     frequent = table.filter(is_frequent).select("word", "ids").toArrow().combine_chunks()
     listed = frequent["ids"].combine_chunks()
     flat = listed.flatten().to_numpy().astype(np.int32)
@@ -247,12 +251,15 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
     names = frequent["word"].combine_chunks().cast(pa.string())
     hashes = _word_hashes(names)
     order = np.argsort(hashes)
-    held = spark.sparkContext.broadcast((hashes[order], order, names, gathered(table.select("h", F.lit(1).alias("n")), bits_for(table.count()))))
+    held = spark.sparkContext.broadcast((hashes[order], order.astype(np.int32), names))
     ids_held = spark.sparkContext.broadcast((flat, offsets))
+    # Where the lookup has all words of the table, every other one occurs once; else a filter tells most of these.
+    all_held = rest.isEmpty()
+    repeated = None if all_held else spark.sparkContext.broadcast(gathered(table.select("h", F.lit(1).alias("n")), bits_for(table.count())))
 
     def coded(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """For all words the code, and which distinct one each is; the distinct words; which of these surely occur once only."""
-        hashes, order, names, repeated = held.value
+        hashes, order, names = held.value
         known = words.dictionary_encode()
         of, each = known.indices.to_numpy(), known.dictionary
         h = _word_hashes(each)
@@ -262,9 +269,43 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
             near = np.flatnonzero(hashes[at] == h)
             same = pc.equal(names.take(pa.array(order[at[near]])), each.take(pa.array(near))).to_numpy(zero_copy_only=False)
             code[near[same]] = order[at[near[same]]]
-        once = (code < 0) & ~maybe(repeated, h)
+        once = code < 0
+        if repeated is not None:
+            once &= ~maybe(repeated.value, h)
         return code[of], of, each, once
 
+    def joined_up(code: np.ndarray, extra: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one behind the other, and how many each word has; codes from ``n_frequent`` on count up through ``extra``."""
+        flat, offsets = ids_held.value
+        low = code < n_frequent
+        more = np.fromiter(map(len, extra), dtype=np.int64, count=len(extra))
+        sizes = np.empty(len(code), dtype=np.int64)
+        sizes[low] = offsets[code[low] + 1] - offsets[code[low]]
+        sizes[~low] = more[code[~low] - n_frequent]
+        out = np.empty(int(sizes.sum()), dtype=np.int32)
+        which = np.repeat(low, sizes)
+        out[which] = ragged(flat, offsets, code[low])
+        out[~which] = np.fromiter((y for x in extra for y in x), dtype=np.int32, count=int(more.sum()))
+        return out, sizes
+
+    passed = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns and c != text_col)
+    others = [c for c in columns if c != text_col]
+    schema = (f"{passed}, " if passed else "") + "ids array<int>"
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = tokenizer.load()
+        for batch in batches:
+            for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
+                code, of, each, _ = coded(words)
+                open_ = np.flatnonzero(code < 0)
+                code[open_] = n_frequent + np.arange(len(open_))
+                ids, sizes = joined_up(code, _ids_of(made, each.take(pa.array(of[open_])).to_pylist()))
+                bounds = np.concatenate(([0], np.cumsum(sizes)))[ends]
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], names=[*others, "ids"])
+
+    if all_held:
+        return docs.select(text.alias("__text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(in_place, schema)
+
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
@@ -300,15 +341,12 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(packed, pa.binary()), pa.array(inline, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))])))], names=[*rows.schema.names[1:], "__codes", "__inline"])
 
     entry = "array<struct<place:int,ids:array<int>>>"
-    back = scan.mapInArrow(rare, "k1 long, k2 long, place int, word string").join(table.filter(~is_frequent).select("word", "ids"), "word", "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))).alias("__joined"))
-    passed = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns and c != text_col)
-    others = [c for c in columns if c != text_col]
+    back = scan.mapInArrow(rare, "k1 long, k2 long, place int, word string").join(rest.select("word", "ids"), "word", "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))).alias("__joined"))
     light = docs.select(text.alias("__text"), *key, *[F.col(f"`{c}`") for c in others])
     left = light.mapInArrow(codes, "__k1 long, __k2 long" + (f", {passed}" if passed else "") + f", __codes binary, __inline {entry}")
     whole = left.join(back, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*[F.col(f"`{c}`") for c in others], "__codes", "__inline", "__joined")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets = ids_held.value
         unzip = zstandard.ZstdDecompressor()
         made = tokenizer.load()
         for batch in batches:
@@ -320,25 +358,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> Dat
                     code = np.ascontiguousarray(np.frombuffer(unzip.decompress(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
                     # A word without a row in the table is one that the filter took for a repeated one.
                     extra = {x["place"]: x["ids"] if x["ids"] is not None else _ids_of(made, [x["word"]])[0] for x in [*(inline or ()), *(joined or ())]}
-                    if extra:
-                        lists = [extra[i] for i in range(len(extra))]
-                        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-                        low = code < n_frequent
-                        out_sizes = np.empty(len(code), dtype=np.int64)
-                        out_sizes[low] = offsets[code[low] + 1] - offsets[code[low]]
-                        out_sizes[~low] = sizes[code[~low] - n_frequent]
-                        out = np.empty(int(out_sizes.sum()), dtype=np.int32)
-                        which = np.repeat(low, out_sizes)
-                        out[which] = ragged(flat, offsets, code[low])
-                        out[~which] = np.fromiter((y for x in lists for y in x), dtype=np.int32, count=int(sizes.sum()))
-                    else:
-                        out = ragged(flat, offsets, code)
+                    out, _ = joined_up(code, [extra[i] for i in range(len(extra))])
                     done.append(out)
                 sizes = np.fromiter(map(len, done), dtype=np.int64, count=len(done))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *done])))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], names=[*others, "ids"])
 
-    return whole.mapInArrow(assemble, (f"{passed}, " if passed else "") + "ids array<int>")
+    return whole.mapInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -353,7 +379,7 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, offsets = pieces.value
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = []
             for i in range(batch.num_rows):
                 x = batch.column(place).slice(i, 1).flatten()

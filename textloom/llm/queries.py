@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_crf, maxent_lm
-from ._spark import table, text_of
+from ._spark import staged, table, text_of
 from .bpe import Tokenizer, decode, encode
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
@@ -103,7 +103,7 @@ def byte_bpe() -> Tokenizer:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = byte_bpe()
-    ids = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    ids = staged(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer), "ids")
     return decode(ids, tokenizer).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
