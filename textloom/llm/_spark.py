@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts go to Python so many at a time; ten thousand, the default, can be hundreds of MB in every task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only a session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)

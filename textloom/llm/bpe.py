@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._bloom import bits_for, gathered, maybe
 from ._numpy import raw, slices, span_hashes
-from ._spark import least_count, staged, text_of
+from ._spark import least_count, small_batches, staged, text_of
 
 #: Words of so many bytes at most are looked up in place, the most frequent ones, as many as fit into so many bytes with their ids.
 FREQUENT_BYTES, LOOKUP_BYTES = 48, 96_000_000
@@ -200,6 +200,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
     unchanged, and an empty table stays empty.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     columns = [c for c in docs.columns if c != "ids"]
     text = text_of(text_col)
     classes = spark.sparkContext.broadcast(char_classes())
@@ -373,6 +374,7 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_
     Special tokens are written out; ids that the vocabulary lacks have no
     piece; bytes that are no UTF-8 become U+FFFD; null ids give the empty text.
     """
+    small_batches(encoded.sparkSession)
     pieces = encoded.sparkSession.sparkContext.broadcast(tokenizer.pieces())
     columns = [c for c in encoded.columns if c != text_col]
     place = columns.index(ids_col)

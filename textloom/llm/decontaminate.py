@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numpy import U64, mix, shingles, slices, words
-from ._spark import text_of
+from ._spark import small_batches, text_of
 
 SIZE, THRESHOLD = 5, 0.75
 BITS, BLOCKS = 128, 16
@@ -163,6 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     repeat match apart; rows that repeat give rows of their own; further
     columns are ignored; without items or documents the result is empty.
     """
+    small_batches(docs.sparkSession)
     id_type, item_type = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id]
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
 

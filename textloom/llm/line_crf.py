@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._numpy import lines, slices, words
-from ._spark import text_of
+from ._spark import small_batches, text_of
 
 #: The model is fitted on so many labelled documents at most (the first by a hash of their ids), and so many lines of each.
 TRAIN_DOCS, TRAIN_LINES = 8000, 256
@@ -144,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     conditional likelihood, with Adam on whole gradients. Without labelled
     documents every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     some = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     share = min(1.0, 2 * TRAIN_DOCS / max(1, some.count()))  # what can't be among the first isn't sorted
     some = some.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -202,6 +203,7 @@ def score(docs: DataFrame, model: LineCrf, text_col: str = "text") -> DataFrame:
     Null and empty texts are scored as one empty line; further columns pass
     unchanged; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c != "score"]
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ._bloom import bits_for, gathered, maybe
 from ._numpy import Lines, lines, slices, span_hashes
-from ._spark import staged, text_of
+from ._spark import small_batches, staged, text_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -46,6 +46,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns pass unchanged, even if they are named n_lines or n_dropped: these
     are then replaced.
     """
+    small_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*[text_of(text_col).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in columns])
     id_type = dict(docs.dtypes)[id_col]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._numpy import U64, Words, mix, slices, words
-from ._spark import least_count, staged, text_of
+from ._spark import least_count, small_batches, staged, text_of
 
 FREQUENT, FREQUENT_BYTES = 1 << 18, 48
 SINGLES, BUCKETS = 12, 18
@@ -220,6 +220,7 @@ def _buckets(sample: list[str], singles: np.ndarray) -> np.ndarray:
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all ``texts`` (one string column), and the table of counts (word, n)."""
     spark = texts.sparkSession
+    small_batches(spark)
     counts = staged(word_counts(texts), "counts")
     n_docs = texts.count()
     least = least_count(counts.filter(F.octet_length("word") <= FREQUENT_BYTES), FREQUENT)
@@ -274,6 +275,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     columns are ignored; an empty table stays empty. With nothing to learn from,
     every word is unknown.
     """
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), *[F.xxhash64(F.lit(s), F.col(id_col), text).alias(f"k{s}") for s in (1, 2)])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._bloom import bits_for, gathered, maybe
 from ._components import components
 from ._numpy import U64, distinct, list_array, mix, shingles, slices, words
-from ._spark import least_count, staged, text_of
+from ._spark import least_count, small_batches, staged, text_of
 
 SIZE, NUM, DEN = 5, 75, 100
 #: A shingle counts as frequent from so many counted sightings on; the MOST_FREQUENT of them are sorted last.
@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable. Rows that repeat are rows of their own, in one component;
     further columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
     seed = 0
