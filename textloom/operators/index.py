@@ -69,6 +69,22 @@ def field_tokens(docs: DataFrame, spec: FieldSpec, analyzer: Analyzer | PerField
     return F.slice(tokens, 1, max_field_length + 1)
 
 
+def _aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Columns of both that differ in type become arrays of strings, if either is an array, else strings."""
+    left, right = dict(a.dtypes), dict(b.dtypes)
+    for c in [c for c in a.columns if c in right and left[c] != right[c]]:
+        many = left[c].startswith("array") or right[c].startswith("array")
+
+        def put(df: DataFrame, kind: str, c: str = c, many: bool = many) -> DataFrame:
+            value = F.col(f"`{c}`")
+            if many and not kind.startswith("array"):
+                return df.withColumn(c, F.when(value.isNotNull(), F.array(value.cast("string"))))
+            return df.withColumn(c, value.cast("array<string>" if many else "string"))
+
+        a, b = put(a, left[c]), put(b, right[c])
+    return a, b
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     stored: DataFrame
@@ -244,11 +260,12 @@ class SearchIndex:
         def moved(df: DataFrame) -> DataFrame:
             return df.withColumn("doc_id", F.col("doc_id") + shift) if shift else df
 
+        ours, theirs = _aligned(self.stored, moved(other.stored))
         gone = [x for x in (self.deletes, moved(other.deletes) if other.deletes is not None else None) if x is not None]
         fields = FieldInfos(self.fields.default, dict(other.fields.specs | self.fields.specs))
         return replace(
             self,
-            stored=self.stored.unionByName(moved(other.stored), allowMissingColumns=True), postings=self.postings.unionByName(moved(other.postings)), norms=self.norms.unionByName(moved(other.norms)),
+            stored=ours.unionByName(theirs, allowMissingColumns=True), postings=self.postings.unionByName(moved(other.postings)), norms=self.norms.unionByName(moved(other.norms)),
             fields=fields, deletes=reduce(lambda a, b: a.unionByName(b), gone).distinct() if gone else None, max_doc_known=None, _memo={},
         )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
 from contextlib import contextmanager
@@ -129,6 +130,25 @@ def compact(spark: SparkSession, path: str, analyzer: Analyzer | PerFieldAnalyze
     return save(replace(load(spark, path, analyzer).optimize()), path, codec)
 
 
+def settled(index: SearchIndex) -> SearchIndex:
+    """The index with its tables written out and read again, so that a chain of changes makes no chain of plans.
+
+    The tables go to the folder in ``spark.checkpoint.dir``, or where that is
+    unset to a temporary one.
+    """
+    spark = index.spark
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-")
+    path = f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+    def again(df: DataFrame | None, name: str) -> DataFrame | None:
+        if df is None:
+            return None
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return replace(index, stored=again(index.stored, "stored"), postings=again(index.postings, "postings"), norms=again(index.norms, "norms"), deletes=again(index.deletes, "deletes"), _memo={})
+
+
 def export_jsonl(index: SearchIndex, path: str) -> None:
     index.docs().write.mode("overwrite").json(path)
 
