@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Precisions of dates and times, and their formats.
 FORMATS = {"year": "yyyy", "month": "yyyyMM", "day": "yyyyMMdd", "hour": "yyyyMMddHH", "minute": "yyyyMMddHHmm", "second": "yyyyMMddHHmmss"}
-_SQL_FORMATS = {"yyyy-MM-dd": "yyyy-MM-dd"}
 
 
 def int_to_lex(n: Column) -> Column:
