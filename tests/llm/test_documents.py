@@ -151,10 +151,20 @@ def test_bpe(spark, lookup_bytes):
     parts = ["'", "s", "'ll", " ", "  ", "\n", "a", "É", "1", "²", "!", "日本", "\t", "😀", "\x85", "<|endoftext|>", "don't", "word", None]
     rows = [(i, None if rng.random() < 0.02 else "".join(x or "" for x in rng.choices(parts, k=rng.randint(0, 20)))) for i in range(400)] + list(enumerate(ODD, 1000)) + [(5, "twice"), (5, "twice")]
     got = [(r["doc_id"], r["ids"], r["text"]) for r in decode(encode(frame(spark, rows), tokenizer, lookup_bytes=lookup_bytes), tokenizer).collect()]
+    fused = [(r["doc_id"], r["ids"], r["text"]) for r in encode(frame(spark, rows), tokenizer, lookup_bytes=lookup_bytes, decoded="text").collect()]
+    assert sorted(fused, key=str) == sorted(got, key=str)
     expected = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_decoding_takes_any_ids(spark):
+    tokenizer = byte_bpe()
+    lists = [[220, 50256, 0], [99999, -1, 64], [], None, [161, 64]]
+    got = {r["i"]: r["text"] for r in decode(spark.createDataFrame(list(enumerate(lists)), "i long, ids array<int>"), tokenizer).collect()}
+    library = tokenizer.load()
+    assert got == {0: library.decode(lists[0], skip_special_tokens=False), 1: "a", 2: "", 3: "", 4: library.decode(lists[4])}
+
+
 def test_pii(spark):
     rng = random.Random(6)
     parts = ["me@a.b", "x@y", "a.b@c.d.e_f@g.h", "1.2.3.4", "300.1.1.1", "0001.2.3.4.5.6", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+44", "é", "😀", " ", "call", "12", ".", "-", "+", "(212) 555-0100", "joe at mail dot com", "@"]

@@ -191,9 +191,25 @@ def _word_hashes(words: pa.Array) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])  # no word is empty
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup_bytes: int | None = None) -> DataFrame:
+def _texts_of(pieces: tuple[np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+    """The texts of several lists of ids, which lie one behind the other; ids without a piece are left out."""
+    flat, offsets = pieces
+    known = (ids >= 0) & (ids < len(offsets) - 1)
+    if not known.all():
+        bounds = np.concatenate(([0], np.cumsum(known)))[bounds]
+        ids = ids[known]
+    ids = ids.astype(np.int64)
+    raw_bytes = ragged(flat, offsets, ids).tobytes()
+    ends = np.concatenate(([0], np.cumsum(offsets[ids + 1] - offsets[ids])))[bounds].tolist()
+    return [raw_bytes[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup_bytes: int | None = None, decoded: str | None = None) -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>) instead of its text, and in place of one of that name.
 
+    With ``decoded``, a column of that name has what ``decode`` makes of the
+    ids, in the same pass over them.
+
     The ids are those that the library gives for the whole text without adding
     special tokens; added tokens that stand in a text count as such. Null and
     empty texts have no ids. Rows that repeat stay apart, further columns pass
@@ -201,8 +217,9 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = [c for c in docs.columns if c != "ids"]
+    columns = [c for c in docs.columns if c not in ("ids", decoded) or c == text_col]
     text = text_of(text_col)
+    pieces = spark.sparkContext.broadcast(tokenizer.pieces()) if decoded else None
     classes = spark.sparkContext.broadcast(char_classes())
     key = [F.xxhash64(F.lit(salt), text, *[F.col(f"`{c}`").cast("string") for c in columns if c != text_col]).alias(f"__k{salt}") for salt in (1, 2)]
     scan = docs.select(text.alias("__text"), *key)
@@ -254,6 +271,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
     order = np.argsort(hashes)
     held = spark.sparkContext.broadcast((hashes[order], order.astype(np.int32), names))
     ids_held = spark.sparkContext.broadcast((flat, offsets))
+    del frequent, listed, flat, names, hashes
+    pa.default_memory_pool().release_unused()
     # Where the lookup has all words of the table, every other one occurs once; else a filter tells most of these.
     all_held = rest.isEmpty()
     repeated = None if all_held else spark.sparkContext.broadcast(gathered(table.select("h", F.lit(1).alias("n")), bits_for(table.count())))
@@ -291,7 +310,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
 
     passed = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns and c != text_col)
     others = [c for c in columns if c != text_col]
-    schema = (f"{passed}, " if passed else "") + "ids array<int>"
+    schema = (f"{passed}, " if passed else "") + "ids array<int>" + (f", `{decoded}` string" if decoded else "")
+
+    def finished(columns: list[pa.Array], ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        made = [*columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
+        if pieces is None:
+            return pa.RecordBatch.from_arrays(made, names=[*others, "ids"])
+        return pa.RecordBatch.from_arrays([*made, pa.array(_texts_of(pieces.value, ids, bounds), pa.string())], names=[*others, "ids", decoded])
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer.load()
@@ -301,8 +326,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
                 open_ = np.flatnonzero(code < 0)
                 code[open_] = n_frequent + np.arange(len(open_))
                 ids, sizes = joined_up(code, _ids_of(made, each.take(pa.array(of[open_])).to_pylist()))
-                bounds = np.concatenate(([0], np.cumsum(sizes)))[ends]
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], names=[*others, "ids"])
+                yield finished(rows.columns[1:], ids, np.concatenate(([0], np.cumsum(sizes)))[ends])
 
     if all_held:
         return docs.select(text.alias("__text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(in_place, schema)
@@ -362,8 +386,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
                     out, _ = joined_up(code, [extra[i] for i in range(len(extra))])
                     done.append(out)
                 sizes = np.fromiter(map(len, done), dtype=np.int64, count=len(done))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *done])))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], ids], names=[*others, "ids"])
+                yield finished(part.columns[:n], np.concatenate([np.zeros(0, np.int32), *done]), np.concatenate(([0], np.cumsum(sizes))))
 
     return whole.mapInArrow(assemble, schema)
 
@@ -380,14 +403,10 @@ def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_
     place = columns.index(ids_col)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets = pieces.value
-        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            texts = []
-            for i in range(batch.num_rows):
-                x = batch.column(place).slice(i, 1).flatten()
-                ids = x.to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = ids[(ids >= 0) & (ids < len(offsets) - 1)]
-                texts.append(ragged(flat, offsets, ids).tobytes().decode("utf-8", "replace"))
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
+            lists = batch.column(place)
+            sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            texts = _texts_of(pieces.value, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, text_col])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c in columns)

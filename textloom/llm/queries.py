@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import line_crf, maxent_lm
-from ._spark import staged, table, text_of
-from .bpe import Tokenizer, decode, encode
+from ._spark import table, text_of
+from .bpe import Tokenizer, encode
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
 from .line_dedup import dedup_lines
@@ -102,9 +102,7 @@ def byte_bpe() -> Tokenizer:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = byte_bpe()
-    ids = staged(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer), "ids")
-    return decode(ids, tokenizer).select(
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe(), decoded="text").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
