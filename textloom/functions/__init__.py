@@ -1,0 +1 @@
+"""Analysis, scoring formulas and encodings, as columns."""

@@ -1,0 +1 @@
+"""The index, its queries and what is done with them."""

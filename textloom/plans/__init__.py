@@ -1,0 +1 @@
+"""The query language and the registered queries."""

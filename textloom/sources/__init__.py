@@ -1,0 +1 @@
+"""Where indexes and documents come from and go to."""
