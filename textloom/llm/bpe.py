@@ -261,13 +261,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
     least = least_count(table.filter(F.octet_length("word") <= FREQUENT_BYTES), lookup_bytes, weight=own_bytes)
     is_frequent = (F.col("n") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)
     rest = table.filter(~is_frequent)
-    frequent = table.filter(is_frequent).select("word", "ids").toArrow().combine_chunks()
+    frequent = table.filter(is_frequent).select("word", "ids", "h").toArrow().combine_chunks()
     listed = frequent["ids"].combine_chunks()
     flat = listed.flatten().to_numpy().astype(np.int32)
     offsets = np.concatenate(([0], np.cumsum(np.asarray(listed.value_lengths()).astype(np.int64)))) if len(frequent) else np.zeros(1, np.int64)
     n_frequent = len(frequent)
     names = frequent["word"].combine_chunks().cast(pa.string())
-    hashes = _word_hashes(names)
+    hashes = frequent["h"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     held = spark.sparkContext.broadcast((hashes[order], order.astype(np.int32), names))
     ids_held = spark.sparkContext.broadcast((flat, offsets))
