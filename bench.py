@@ -31,7 +31,8 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    docs = registry.documents(spark, sf).select("doc_id", "text")
+    # The table is one file with one row group: without this, one task would analyze it all.
+    docs = registry.documents(spark, sf).select("doc_id", "text").repartition(int(cpus))
     n, folder = docs.count(), tempfile.mkdtemp()
     times: dict[str, float] = {}
     extra: dict[str, float] = {}
