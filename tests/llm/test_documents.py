@@ -244,6 +244,24 @@ def test_language_model_probabilities_add_up(spark, df):
         assert p[maxent_lm.END] + p[maxent_lm.REPEAT] + (p[cls] * inside).sum() + unknown + idle == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_learns_from_every_position(spark):
+    """All positions move the weights; suffixes are counted in all texts, however long, and not across texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.llm._numpy import words
+
+    texts = ["a b c d e f g", "x y", "", "the " + "cat sat " * 5000]
+    singles = words(pa.array(["the"])).hashes()
+    seen, mass = maxent_lm.suffix_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), singles)
+    assert mass.sum() == sum(len(t.split()) for t in texts) and seen.sum() == 3
+    none = np.zeros(0, np.uint64)
+    model = maxent_lm.Model(none, none, singles, np.full(maxent_lm.SUFFIXES, maxent_lm.SINGLES), np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES), np.float32))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    moved = sum(np.frombuffer(r["seen"]).sum() for b in maxent_lm._trained(model, iter([batch])) for r in b.to_pylist())
+    assert moved == maxent_lm.FEATURES * sum(len(t.split()) + 1 for t in texts)
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "some item that has words enough")], "item_id long, text string")
     tokenizer = byte_bpe()

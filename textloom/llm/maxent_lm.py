@@ -31,11 +31,10 @@ SINGLES, BUCKETS = 12, 18
 END, REPEAT = SINGLES + BUCKETS, SINGLES + BUCKETS + 1
 CLASSES = REPEAT + 1
 ROWS, FEATURES, BLOCK = 1 << 14, 8, 256
-#: Training goes over every training document once, in ROUNDS parts; each gives every STRIDEth of its positions.
-ROUNDS, STRIDE, RATE, BATCH = 2, 4, 0.12, 2048
-#: Suffixes are put into buckets by what precedes them, over about so many documents of at most so many bytes.
-SUFFIX_DOCS, SUFFIX_BYTES = 2000, 20_000
-SUFFIXES = 1 << 12
+#: Training goes over every position of every training document once, in ROUNDS parts.
+ROUNDS, RATE, BATCH = 2, 0.12, 2048
+#: Suffixes are put into buckets by which singles stand up to so many words before them.
+SUFFIXES, NEAR = 1 << 12, 3
 SMOOTH = 0.1
 
 
@@ -112,9 +111,9 @@ def contexts(token: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def class_probabilities(weights: np.ndarray, rows: np.ndarray, may_repeat: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]].copy()
+    z = weights.take(rows[:, 0], axis=0)
     for f in range(1, FEATURES):
-        z += weights[rows[:, f]]
+        z += weights.take(rows[:, f], axis=0)
     z[~may_repeat, REPEAT] = -1e9
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
@@ -134,16 +133,16 @@ def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             rows, before = contexts(token, offsets)
             known = model.find(before) >= 0
             kind = np.where(known & (token == before) & (word >= 0), REPEAT, kind)
-            use = np.arange(int(offsets[-1] % STRIDE), len(token), STRIDE)
-            for at in range(0, len(use), BATCH):
-                i = use[at : at + BATCH]
+            for at in range(0, len(token), BATCH):
+                i = slice(at, at + BATCH)
                 g = class_probabilities(weights, rows[i], known[i])
-                g[np.arange(len(i)), kind[i]] -= 1
-                flat = rows[i].ravel()
+                g[np.arange(len(g)), kind[i]] -= 1
+                flat = rows[i].ravel().astype(np.uint16)  # numpy sorts these by radix
                 order = np.argsort(flat, kind="stable")
-                first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) != 0)))
-                row = flat[order][first]
-                total = np.add.reduceat(g[order // FEATURES], first, axis=0)
+                ordered = flat[order]
+                first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+                row = ordered[first]
+                total = np.add.reduceat(g.take(order // FEATURES, axis=0), first, axis=0)
                 seen[row] += np.diff(np.append(first, len(flat)))
                 weights[row] -= RATE * total / np.sqrt(seen[row])[:, None]
     weights *= seen[:, None]
@@ -191,18 +190,40 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _buckets(sample: list[str], singles: np.ndarray) -> np.ndarray:
+def suffix_counts(texts: DataFrame, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Over all ``texts`` (one column): how often each suffix has each single up to NEAR words before it, and occurs."""
+    order = np.argsort(singles)
+    sought, columns = singles[order], len(singles) + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SUFFIXES * columns, np.int64)
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                w = words(batch.column(0).slice(a, b - a))
+                h, end = w.hashes(), suffixes(w)
+                seen += np.bincount(end * columns + columns - 1, minlength=len(seen))
+                j = np.minimum(np.searchsorted(sought, h), columns - 2)
+                at = np.flatnonzero(sought[j] == h)
+                limit = w.of_text[np.searchsorted(w.of_text, at, side="right")]
+                for back in range(1, NEAR + 1):
+                    inside = at + back < limit
+                    seen += np.bincount(end[at[inside] + back] * columns + order[j[at[inside]]], minlength=len(seen))
+        cell = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen[cell])], names=["cell", "n"])
+
+    out = np.zeros(SUFFIXES * columns)
+    if len(singles):
+        summed = texts.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
+    out = out.reshape(SUFFIXES, columns)
+    return out[:, :-1], out[:, -1]
+
+
+def _buckets(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """A bucket for every suffix: suffixes that follow the same frequent words go together (a few rounds of k-means)."""
     out = np.arange(SUFFIXES) % BUCKETS + SINGLES
-    if not sample:
+    if not mass.any():
         return out
-    w = words(pa.array(sample, pa.string()))
-    h, end = w.hashes(), suffixes(w)
-    seen = np.zeros((SUFFIXES, len(singles) + 1))
-    for back in (1, 2, 3):
-        for k, single in enumerate(singles):
-            np.add.at(seen, (end[back:][h[:-back] == single], k), 1)
-    mass = np.bincount(end, minlength=SUFFIXES)
     common = np.argsort(-mass, kind="stable")[:512]
     share = seen[common] + seen.sum(axis=0) / max(1, seen.sum()) * 4
     share = np.sqrt(share / np.maximum(share.sum(axis=1, keepdims=True), 1e-9))
@@ -230,9 +251,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     order = np.argsort(h)
     singles = h[np.lexsort((h, -n))[:SINGLES]]
     name = texts.columns[0]
-    some = F.pmod(F.xxhash64(name), F.lit(1 << 30)) < int(min(1, SUFFIX_DOCS / max(1, n_docs)) * (1 << 30))
-    sample = sorted(r[0] for r in texts.filter(F.octet_length(name) <= SUFFIX_BYTES).filter(some).distinct().limit(2 * SUFFIX_DOCS).collect())
-    model = Model(h[order], n[order], singles, _buckets(sample, singles), np.zeros((ROWS, CLASSES), dtype=np.float32), docs=n_docs)
+    model = Model(h[order], n[order], singles, _buckets(*suffix_counts(texts, singles)), np.zeros((ROWS, CLASSES), dtype=np.float32), docs=n_docs)
     drawn = spark.sparkContext.broadcast(model)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
