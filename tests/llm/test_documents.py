@@ -262,6 +262,23 @@ def test_language_model_learns_from_every_position(spark):
     assert moved == maxent_lm.FEATURES * sum(len(t.split()) + 1 for t in texts)
 
 
+def test_language_model_scores_do_not_depend_on_the_lookup(spark, docs, df, monkeypatch):
+    """Words repeat whether they are looked up or joined: frequent, rare, long and unknown ones."""
+    long = "z" * 60
+    more = [(900, f"{long} {long} w3 w3 {long}"), (901, "q1 q1 q1 q2 q2 w5"), (902, "w79 w79 and and"), (903, "unseen unseen unseen w1")]
+    every = df.unionByName(frame(spark, more)).repartition(3).cache()
+    train = every.filter("doc_id <> 903").select(F.coalesce("text", F.lit("")).alias("text"))
+    got = []
+    for frequent, size in ((1 << 18, 48), (40, 48), (1 << 18, 1 << 20)):
+        monkeypatch.setattr(maxent_lm, "FREQUENT", frequent)
+        monkeypatch.setattr(maxent_lm, "FREQUENT_BYTES", size)
+        model, counts = maxent_lm.fit(train)
+        got.append({r["doc_id"]: r["score"] for r in maxent_lm.score(every, model, counts).collect()})
+    assert got[1] == pytest.approx(got[0], rel=1e-6) and got[2] == pytest.approx(got[0], rel=1e-6)
+    rare = maxent_lm.score(frame(spark, [(1, "unseen unseen unseen"), (2, "unseen other strange")]), model, counts).collect()
+    assert len({r["base_score"] for r in rare}) == 1 and len({r["score"] for r in rare}) == 2
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "some item that has words enough")], "item_id long, text string")
     tokenizer = byte_bpe()

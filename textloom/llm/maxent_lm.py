@@ -10,7 +10,8 @@ with one for all unknown ones, have probability 1.
 
 Word counts are a table of all training documents. Frequent words, a bounded
 number, are looked up where the texts are; what depends on other words' counts
-joins that table and is added per document.
+joins that table and is added per document. Which words are looked up changes
+no score: any word that follows itself may be a repeat.
 """
 
 from __future__ import annotations
@@ -131,11 +132,11 @@ def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             h = w.hashes()
             token, kind, word, offsets = sequences(w, h, model.classes(w, h))
             rows, before = contexts(token, offsets)
-            known = model.find(before) >= 0
-            kind = np.where(known & (token == before) & (word >= 0), REPEAT, kind)
+            may_repeat = before != 0
+            kind = np.where(may_repeat & (token == before) & (word >= 0), REPEAT, kind)
             for at in range(0, len(token), BATCH):
                 i = slice(at, at + BATCH)
-                g = class_probabilities(weights, rows[i], known[i])
+                g = class_probabilities(weights, rows[i], may_repeat[i])
                 g[np.arange(len(g)), kind[i]] -= 1
                 flat = rows[i].ravel().astype(np.uint16)  # numpy sorts these by radix
                 order = np.argsort(flat, kind="stable")
@@ -314,8 +315,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 cls = m.classes(w, h)
                 token, kind, word, offsets = sequences(w, h, cls)
                 context, before = contexts(token, offsets)
-                repeats = np.zeros(len(token), dtype=bool)
-                repeats[1:] = np.where(word[:-1] >= 0, known[word[:-1]], False) if len(known) else False
+                repeats = before != 0
                 p_class, p_repeat = np.empty(len(token)), np.zeros(len(token))
                 for at in range(0, len(token), BATCH):
                     i = slice(at, at + BATCH)
@@ -348,30 +348,50 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 of = np.searchsorted(w.of_text, which, side="right") - 1
                 order = np.lexsort((h[which], of))
                 which, of = which[order], of[order]
+                # Where such a word follows itself, "repeat" adds to its share, which isn't known here: how much more likely "repeat" is than the class, as log10.
+                every = m.classes(w, h)
+                token, kind, word, offsets = sequences(w, h, every)
+                context, before = contexts(token, offsets)
+                again = np.flatnonzero((word[which + of] >= 0) & (token[which + of] == before[which + of]))
+                at = (which + of)[again]
+                odds = np.empty(len(at))
+                for lo in range(0, len(at), BATCH):
+                    i = at[lo : lo + BATCH]
+                    p = class_probabilities(m.weights, context[i], before[i] != 0)
+                    odds[lo : lo + BATCH] = np.log10(np.maximum(p[:, REPEAT], 1e-300)) - np.log10(np.maximum(p[np.arange(len(i)), kind[i]], 1e-300))
                 new = np.ones(len(which), dtype=bool)
                 new[1:] = (of[1:] != of[:-1]) | (h[which[1:]] != h[which[:-1]])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(which)))
                 which, of = which[first], of[first]
-                cls = m.classes(w, h)[which]
+                repeated = pa.ListArray.from_arrays(pa.array(np.searchsorted(again, np.append(first, len(order))).astype(np.int32)), pa.array(odds))
+                cls = every[which]
                 size = w.end[which] - w.begin[which]
                 spans = np.concatenate(([0], np.cumsum(size)))
                 text = w.data[np.arange(spans[-1]) + np.repeat(w.begin[which] - spans[:-1], size)]
                 word = pa.StringArray.from_buffers(len(which), pa.py_buffer(spans.astype(np.int32)), pa.py_buffer(text))
                 owner = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column(2).take(owner), part.column(3).take(owner), word, pa.array(times.astype(np.int32)), pa.array(cls.astype(np.int32))], names=["k1", "k2", "word", "times", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column(2).take(owner), part.column(3).take(owner), word, pa.array(times.astype(np.int32)), pa.array(cls.astype(np.int32)), repeated], names=["k1", "k2", "word", "times", "cls", "odds"])
 
     found = rows.select("id", "t", "k1", "k2").mapInArrow(scan, f"id {id_type}, k1 long, k2 long, n_tokens long, n_known long, base double, own double")
-    rare = rows.select("id", "t", "k1", "k2").mapInArrow(others, "k1 long, k2 long, word string, times int, cls int")
+    rare = rows.select("id", "t", "k1", "k2").mapInArrow(others, "k1 long, k2 long, word string, times int, cls int, odds array<double>")
     joined = rare.join(counts.filter((F.col("n") < frequent) | (F.octet_length("word") > FREQUENT_BYTES)), "word", "left")
     c = F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)
     shares = [float(t + SMOOTH * (d + 1)) for t, d in zip(model.class_tokens, model.class_words, strict=True)]
     share = F.element_at(F.array(*[F.lit(x) for x in shares]), F.col("cls") + 1)
     whole = F.lit(float(model.total + SMOOTH * (model.distinct + 1)))
     many: Column = (F.col("cls") >= SINGLES) & (F.col("cls") < END)
-    each = joined.groupBy("k1", "k2", "word").agg(*[F.first(x).alias(x) for x in ("n", "times", "cls")])
+    inside = F.when(many, F.log10(c / share)).otherwise(0.0)
+
+    def plus(total: Column, odds: Column) -> Column:
+        """Adds log10(1 + 10^x), where x is how much more likely "repeat" is than the class and the word in it."""
+        x = odds - F.col("inside")
+        return total + F.when(x > 30, x).otherwise(F.log10(1 + F.pow(F.lit(10.0), x)))
+
+    each = joined.groupBy("k1", "k2", "word").agg(*[F.first(x).alias(x) for x in ("n", "times", "cls", "odds")])
+    each = each.withColumn("inside", inside)
     added = each.groupBy("k1", "k2").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(c / whole)).alias("more_base"), F.sum(F.when(many, F.col("times") * F.log10(c / share)).otherwise(0.0)).alias("more_own")
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(c / whole)).alias("more_base"), F.sum(F.col("times") * F.col("inside") + F.aggregate("odds", F.lit(0.0), plus)).alias("more_own")
     )
     out = found.join(added, ["k1", "k2"], "left")
     return out.select(
