@@ -225,3 +225,18 @@ def test_several_values_and_options(spark):
     assert FieldInfos.load(index.fields.to_json())["whole"].norms is False
     new = index.set_norms(spark.createDataFrame([(0, "whole", 0.5)], "doc_id long, field string, norm double"))
     assert Searcher(new).hits(Q.TermQuery("whole", "One Two")).first()["score"] > 0
+
+
+def test_registered_indexes_hold_whole_texts(spark, tmp_path):
+    from textloom.functions.analysis import letter_analyzer
+    from textloom.plans import registry
+
+    text = "a " * 10_500 + "tail end"
+    docs = spark.createDataFrame([(0, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    index = registry.build(docs)
+    store.save(index, str(tmp_path / "whole"))
+    more = store.load(spark, str(tmp_path / "whole"), letter_analyzer()).add(docs)
+    assert {r["doc_id"]: r["length"] for r in more.norms.filter("field = 'text'").collect()} == {0: 10_502, 1: 10_502}
+    assert index.term_positions("text", "end").collect()[0]["pos"] == 10_501
+    cut = SearchIndex.build(docs.select("doc_id", "text"))  # the reference's bound stays this function's default
+    assert cut.norms.first()["length"] == 10_001

@@ -46,8 +46,8 @@ def _values(docs: DataFrame, name: str) -> tuple[Column, bool]:
     return F.col(f"`{name}`").cast("string"), False
 
 
-def field_tokens(docs: DataFrame, spec: FieldSpec, analyzer: Analyzer | PerFieldAnalyzer, max_field_length: int = MAX_FIELD_LENGTH) -> Column:
-    """A field's tokens (term, pos): of several values the positions run on; one more than ``max_field_length`` stay."""
+def field_tokens(docs: DataFrame, spec: FieldSpec, analyzer: Analyzer | PerFieldAnalyzer, max_field_length: int | None = MAX_FIELD_LENGTH) -> Column:
+    """A field's tokens (term, pos): of several values the positions run on; one more than ``max_field_length`` stay (None: all)."""
     value, many = _values(docs, spec.name)
     if not spec.tokenized:
         whole = F.transform(value if many else F.array(value), lambda v, i: F.struct(F.left(v, F.lit(MAX_TERM_BYTES)).alias("term"), i.alias("pos")))
@@ -66,7 +66,7 @@ def field_tokens(docs: DataFrame, spec: FieldSpec, analyzer: Analyzer | PerField
 
         tokens = F.aggregate(value, empty, join)
     tokens = F.coalesce(tokens.cast("array<struct<term:string,pos:int>>"), F.array().cast("array<struct<term:string,pos:int>>"))
-    return F.slice(tokens, 1, max_field_length + 1)
+    return tokens if max_field_length is None else F.slice(tokens, 1, max_field_length + 1)
 
 
 def _aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +94,18 @@ class SearchIndex:
     analyzer: Analyzer | PerFieldAnalyzer
     deletes: DataFrame | None = None
     max_doc_known: int | None = None
+    max_field_length: int | None = MAX_FIELD_LENGTH  # also for what is added
     _memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     # Building
     @classmethod
-    def build(cls, docs: DataFrame, fields: FieldInfos | None = None, analyzer: Analyzer | PerFieldAnalyzer | None = None, id_col: str = "doc_id", boost_col: str | None = None, max_field_length: int = MAX_FIELD_LENGTH) -> SearchIndex:
+    def build(cls, docs: DataFrame, fields: FieldInfos | None = None, analyzer: Analyzer | PerFieldAnalyzer | None = None, id_col: str = "doc_id", boost_col: str | None = None, max_field_length: int | None = MAX_FIELD_LENGTH) -> SearchIndex:
         """Analyze and invert ``docs``, whose ``id_col`` numbers them from 0.
 
         A row's norm is field boost, document boost and 1 / sqrt(tokens), as
-        one byte would keep it. Null values have no tokens.
+        one byte would keep it. Null values have no tokens. Of a field's tokens,
+        ``max_field_length`` + 1 are indexed (None: all), also in what is added
+        to the index later.
         """
         analyzer = analyzer or letter_analyzer()
         fields = fields or FieldInfos()
@@ -118,7 +121,7 @@ class SearchIndex:
         tokens = rows.select("field", "doc_id", "norm", F.inline("tokens"))
         postings = tokens.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("freq"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("norm").alias("norm"))
         stored = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, "doc_id") and fields[c].stored])
-        return cls(stored, postings, rows.select("doc_id", "field", "length", "norm"), fields, analyzer)
+        return cls(stored, postings, rows.select("doc_id", "field", "length", "norm"), fields, analyzer, max_field_length=max_field_length)
 
     def cached(self) -> SearchIndex:
         """Keep the tables in memory (and on disk where it doesn't hold them)."""
@@ -246,7 +249,7 @@ class SearchIndex:
             last = Window.partitionBy(*[F.col(f"`{k}`") for k in key]).orderBy(F.desc(id_col))
             docs = docs.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
         numbered = with_doc_ids(docs.withColumnRenamed(id_col, "__given"), ["__given"], start=self.max_doc).drop("__given")
-        new = SearchIndex.build(numbered, self.fields, self.analyzer, boost_col=boost_col)
+        new = SearchIndex.build(numbered, self.fields, self.analyzer, boost_col=boost_col, max_field_length=self.max_field_length)
         old = self
         if key:
             same = reduce(lambda a, b: a & b, [F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`")) for k in key])
@@ -272,4 +275,4 @@ class SearchIndex:
     def update(self, found: DataFrame, changes: dict[str, Column]) -> SearchIndex:
         """Delete the documents in ``found`` (doc_id) and add them again with ``changes``."""
         rows = self.docs().join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumns(changes)
-        return self.delete_docs(found).merge(SearchIndex.build(with_doc_ids(rows.withColumnRenamed("doc_id", "__given"), ["__given"], start=self.max_doc).drop("__given"), self.fields, self.analyzer), renumber=False)
+        return self.delete_docs(found).merge(SearchIndex.build(with_doc_ids(rows.withColumnRenamed("doc_id", "__given"), ["__given"], start=self.max_doc).drop("__given"), self.fields, self.analyzer, max_field_length=self.max_field_length), renumber=False)

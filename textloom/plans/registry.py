@@ -30,10 +30,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build(docs: DataFrame, **options) -> SearchIndex:
+    """An index of whole texts, as the SQL counts them."""
     infos = FieldInfos()
     for name in ("lang", "source", "n_chars"):
         infos.add_field(name, index="untokenized")
-    return SearchIndex.build(docs, infos, analysis.letter_analyzer(), **options)
+    return SearchIndex.build(docs, infos, analysis.letter_analyzer(), **{"max_field_length": None} | options)
 
 
 def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
@@ -253,7 +254,7 @@ def _query_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def _upsert(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", F.col("doc_id").cast("string").alias("key"), "text")
-    whole = SearchIndex.build(docs, FieldInfos().add_field("key", index="untokenized"))
+    whole = SearchIndex.build(docs, FieldInfos().add_field("key", index="untokenized"), max_field_length=None)
     new = docs.join(documents(spark, d).filter("lang = 'es'"), "doc_id", "left_semi").withColumn("text", F.lit("replacement words"))
     changed = whole.add(new, key=["key"])
     return changed.docs().filter("text = 'replacement words'").select("doc_id", "key").withColumn("live", F.lit(changed.num_docs()).cast("long"))

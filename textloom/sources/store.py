@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer, PerFieldAnalyzer
-from ..operators.index import SearchIndex
+from ..operators.index import MAX_FIELD_LENGTH, SearchIndex
 from ..operators.schema import FieldInfos
 
 TABLES = ("stored", "postings", "norms", "deletes")
@@ -104,7 +104,7 @@ def save(index: SearchIndex, path: str, codec: str = "lz4", partitions: int | No
         for table, df in tables.items():
             writer = df.write.option("compression", codec)
             (writer.partitionBy("field") if table == "postings" else writer).parquet(f"{path}/{name}/{table}")
-        where.write(f"manifest-{now + 1:08d}.json", json.dumps({"version": now + 1, "data": name, "tables": sorted(tables), "max_doc": index.max_doc, "fields": json.loads(index.fields.to_json())}))
+        where.write(f"manifest-{now + 1:08d}.json", json.dumps({"version": now + 1, "data": name, "tables": sorted(tables), "max_doc": index.max_doc, "max_field_length": index.max_field_length, "fields": json.loads(index.fields.to_json())}))
     return now + 1
 
 
@@ -118,7 +118,7 @@ def load(spark: SparkSession, path: str, analyzer: Analyzer | PerFieldAnalyzer,
     manifest = json.loads(where.read(f"manifest-{at or version(where):08d}.json"))
     tables = {t: spark.read.parquet(f"{path}/{manifest['data']}/{t}") for t in manifest["tables"]}
     postings = tables["postings"].select("field", "term", "doc_id", "freq", "positions", "norm")
-    return SearchIndex(tables["stored"], postings, tables["norms"], FieldInfos.load(json.dumps(manifest["fields"])), analyzer, tables.get("deletes"), manifest["max_doc"])
+    return SearchIndex(tables["stored"], postings, tables["norms"], FieldInfos.load(json.dumps(manifest["fields"])), analyzer, tables.get("deletes"), manifest["max_doc"], manifest.get("max_field_length", MAX_FIELD_LENGTH))
 
 
 def is_latest(spark: SparkSession, path: str, at: int) -> bool:
