@@ -131,6 +131,17 @@ def test_contaminated(spark, docs, df):
     assert len(got) > 8
 
 
+def test_contaminated_with_a_shared_template(spark):
+    """Items that share all but one shingle, and documents that differ from them in one: similar, but far apart in bits."""
+    shared = [f"t{i}" for i in range(43)]
+    items = [(i, " ".join([*shared, f"own{i}"])) for i in range(200)]
+    texts = [(i, " ".join([*shared, f"other{i}"])) for i in range(40)] + [(40, "lead " * 30 + items[7][1] + " tail" * 30)]
+    got = contaminated(frame(spark, texts).repartition(2), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == brute.contaminated(texts, items)
+    assert len(got) > 8000 and max(r["distance"] for r in got) > RADIUS
+    assert next(r["distance"] for r in got if (r["doc_id"], r["item_id"]) == (40, 7)) == 0
+
+
 def test_hamming_index_misses_nothing():
     import numpy as np
 

@@ -1,11 +1,12 @@
-"""Benchmark items in documents: SimHash over item-sized windows, multi-index Hamming search, exact proof.
-
-Every window of a document that has as many words as an item, and at least one
-shingle of an item of that length (without one its similarity is 0), gets a
-128-bit SimHash. An index of the items' fingerprints, by blocks of 8 bits,
-returns all items within RADIUS bits: of 16 blocks one at least then differs
-in RADIUS // 16 bits or fewer. The weighted Jaccard similarity of the shingle
-sets decides.
+"""Benchmark items in documents: item-sized windows, a bound on their shared weight, exact proof, SimHash distance.
+
+A window of a document has as many words as an item. Where the weight of its
+shingles that the item has, repeats included, is less than THRESHOLD of the
+item's, the weighted Jaccard similarity is less than THRESHOLD too; all other
+windows are compared exactly, so none is missed. The distance between 128-bit
+SimHashes is reported for what is found. It decides nothing: it follows squared
+weights, and with unequal weights no radius holds all pairs of a similarity
+(HammingIndex, for fingerprints within a radius, stands by itself).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ._spark import small_batches, text_of
 
 SIZE, THRESHOLD = 5, 0.75
 BITS, BLOCKS = 128, 16
-#: Sets of similarity 0.75 differ in about 22 of 128 bits, with a deviation of 4.3; the radius leaves five deviations.
+#: Sets of similarity 0.75 and equal weights differ in about 22 of 128 bits, with a deviation of 4.3; the index's default leaves five deviations.
 RADIUS = 44
 #: Items go to the executors in blocks of so many characters at most (or one longer item), each with a scan of its own.
 ITEM_CHARS = 8_000_000
@@ -61,8 +62,18 @@ class HammingIndex:
         return q[ok], i[ok], d[ok]
 
 
+def _parts(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+    """Consecutive slices with sums of about ``most``, or one larger member."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 class Items:
-    """A block of items: shingles, weights, and an index for each length in words."""
+    """A block of items: shingles, weights, and for each length in words the items that have a shingle."""
 
     def __init__(self, ids: list, texts: list[str], n_items: int, common: dict[int, int]):
         w = words(pa.array(texts, pa.string()))
@@ -75,15 +86,22 @@ class Items:
         self.total = np.array([self.weigh(s).sum() for s in self.sets])
         self.table = np.zeros(1 << 20, dtype=bool)
         self.table[(self.known >> U64(44)).astype(np.int64)] = True
-        self.by_length: dict[int, tuple[np.ndarray, HammingIndex]] = {}
+        #: By length: places in ``known``, ascending, and for each item that has one, a pair of place and item.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.lengths_of: dict[int, list[int]] = {}  # by place in ``known``
+        self.prints = _pack(np.stack([self.sums(h[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])) if len(ids) else None
         for n in np.unique(self.length[self.length > 0]).tolist():
             which = np.flatnonzero(self.length == n)
-            prints = _pack(np.stack([(_bits(h[offsets[i] : offsets[i + 1]]) * self.weigh(h[offsets[i] : offsets[i + 1]])[:, None]).sum(axis=0) for i in which]))
-            self.by_length[n] = which, HammingIndex(prints)
-            for k in np.unique(np.concatenate([np.searchsorted(self.known, self.sets[i]) for i in which])).tolist():
+            places = np.concatenate([np.searchsorted(self.known, self.sets[i]) for i in which])
+            owners = np.repeat(which, [len(self.sets[i]) for i in which])
+            order = np.argsort(places, kind="stable")
+            self.by_length[n] = places[order], owners[order]
+            for k in np.unique(places).tolist():
                 self.lengths_of.setdefault(k, []).append(n)
 
+    def sums(self, h: np.ndarray) -> np.ndarray:
+        return (_bits(h) * self.weigh(h)[:, None]).sum(axis=0)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash among the known ones, or -1."""
         out = np.full(len(h), -1)
@@ -110,31 +128,34 @@ class Items:
                     wanted.setdefault(n, []).append(p)
         best: dict[int, tuple] = {}
         for n, at in wanted.items():
-            which, index = self.by_length[n]
+            places, owners = self.by_length[n]
             size = min(n, n_words)
             runs = size - run + 1  # in a window
             last = len(h) - runs
             p = np.array(at)
-            lo, hi = np.maximum(p - runs + 1, 0), np.minimum(p, last)
-            steps = np.zeros(last + 2, dtype=np.int64)
-            np.add.at(steps, lo, 1)
-            np.add.at(steps, hi + 1, -1)
-            starts = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-            # The signs are summed over stretches of windows, so that memory doesn't follow the text.
-            for part in np.split(starts, np.arange(4096, len(starts), 4096)):
-                breaks = np.flatnonzero(np.diff(part) > runs) + 1
-                for stretch in np.split(part, breaks):
-                    a, b = int(stretch[0]), int(stretch[-1]) + runs
-                    w = self.weigh(h[a:b])
-                    sums = np.concatenate((np.zeros((1, BITS)), np.cumsum(_bits(h[a:b]) * w[:, None], axis=0)))
-                    rel = stretch - a
-                    q, i, d = index.search(_pack(sums[rel + runs] - sums[rel]))
-                    for x, item, dist in zip(stretch[q].tolist(), which[i].tolist(), d.tolist(), strict=True):
-                        own = np.unique(h[x : x + runs])
-                        common = self.weigh(own[np.isin(own, self.sets[item], assume_unique=True)]).sum()
-                        sim = common / (self.weigh(own).sum() + self.total[item] - common)
+            lo, hi = np.searchsorted(places, place[p], side="left"), np.searchsorted(places, place[p], side="right")
+            # Memory doesn't follow the text: items' whole shared weights first, then the hits of those items that may be held.
+            shared = np.zeros(len(self.ids))
+            for part in _parts(hi - lo):
+                pair = np.arange((hi - lo)[part].sum()) + np.repeat(lo[part] - np.concatenate(([0], np.cumsum((hi - lo)[part])[:-1])), (hi - lo)[part])
+                shared += np.bincount(owners[pair], np.repeat(self.weight[place[p[part]]], (hi - lo)[part]), minlength=len(shared))
+            for item in np.flatnonzero((shared > 0) & (shared >= (THRESHOLD - 1e-9) * self.total)).tolist():
+                own = p[np.isin(h[p], self.sets[item])]
+                total = np.concatenate(([0.0], np.cumsum(self.weight[place[own]])))
+                # Windows of one stretch have the same hits; the sum changes where a hit comes in or goes out.
+                edges = np.unique(np.clip(np.concatenate((own - runs + 1, own + 1, [0, last + 1])), 0, last + 1))
+                weight = total[np.searchsorted(own, edges[:-1] + runs)] - total[np.searchsorted(own, edges[:-1])]
+                for e in np.flatnonzero(weight >= (THRESHOLD - 1e-9) * self.total[item]).tolist():
+                    for x in range(int(edges[e]), int(edges[e + 1])):
+                        window = np.unique(h[x : x + runs])
+                        common = self.weigh(window[np.isin(window, self.sets[item], assume_unique=True)]).sum()
+                        sim = common / (self.weigh(window).sum() + self.total[item] - common)
                         if sim >= THRESHOLD - 1e-12:
-                            best[item] = max(best.get(item, (0, 0, 0, 0)), (float(sim), -x, dist, size))
+                            best[item] = max(best.get(item, (0, 0, 0)), (float(sim), -x, size))
+        for item, (sim, x, size) in best.items():
+            runs = size - run + 1
+            dist = int(_POP[_pack(self.sums(h[-x : -x + runs])[None])[0] ^ self.prints[item]].sum(dtype=np.int64))
+            best[item] = sim, x, dist, size
         return best
 
 
