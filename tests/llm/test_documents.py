@@ -212,6 +212,15 @@ def test_quality(spark):
     assert line_crf.fit(data, labels.limit(0)).score(__import__("pyarrow").array(["x"]))[0] == 0.5
 
 
+def test_quality_learns_from_all_lines(spark):
+    """Two texts that differ after line 256 only, with labels that differ, are told apart."""
+    same = ["river stone walks over green."] * 300
+    rows = [(i, "\n".join([*same, *(["BUY!!! NOW!!!"] * 300 if i % 2 else same)])) for i in range(8)]
+    model = line_crf.fit(frame(spark, rows), spark.createDataFrame([(i, 1 - i % 2) for i in range(8)], "doc_id long, quality int"))
+    got = {r["doc_id"]: r["score"] for r in line_crf.score(frame(spark, rows), model).collect()}
+    assert all((got[i] > 0.5) == (i % 2 == 0) for i in got)
+
+
 def test_language_model(spark, docs, df):
     held = lambda i: i % 5 == 0
     train = df.filter("doc_id % 5 <> 0").select(F.coalesce("text", F.lit("")).alias("text"))

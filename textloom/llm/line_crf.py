@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ._numpy import lines, slices, words
 from ._spark import small_batches, text_of
 
-#: The model is fitted on so many labelled documents at most (the first by a hash of their ids), and so many lines of each.
-TRAIN_DOCS, TRAIN_LINES = 8000, 256
+#: The model is fitted on all lines of so many labelled documents at most (the first by a hash of their ids).
+TRAIN_DOCS = 8000
 STEPS, RATE, DECAY = 150, 0.15, 1e-3
 
 #: Kinds of bytes that are counted per line.
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 x, offsets, weight = line_features(batch.column(1).slice(a, b - a))
-                keep = [slice(int(p), int(min(q, p + TRAIN_LINES))) for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
+                keep = [slice(int(p), int(q)) for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x[k].astype(np.float32).tobytes() for k in keep]), pa.array([weight[k].tobytes() for k in keep])], names=["label", "x", "weight"])
 
     rows = picked.mapInArrow(features, "label int, x binary, weight binary").toArrow().to_pylist()
