@@ -80,6 +80,24 @@ def test_exact_groups(df, docs, weak):
     assert got == {i: (max(g), len(g), i == max(g), sha(t)) for t, g in groups.items() for i in g}
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_groups_of_rows_that_repeat_ids(spark, weak):
+    options = {"hash_of": lambda c: F.lit(7).cast("long")} if weak else {}
+    rng = random.Random(8)
+    cases = [
+        [(1, "same"), (1, "same"), (2, "same"), (3, "other")],
+        [(1, "aaaaaaaaa"), (1, "bbbbbbbbb")],
+        [(rng.randrange(6), "".join(rng.choices(["er ", "of ", "xyz"], k=rng.choice([0, 1, 2, 400, 1200])))) for _ in range(80)],
+    ]
+    for rows in cases:
+        rows = rows + rows[:3]
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(t, []).append(i)
+        expected = sorted((i, max(groups[t]), len(groups[t]), i == max(groups[t]), sha(t)) for i, t in rows)
+        assert sorted(tuple(r) for r in exact_groups(frame(spark, rows), **options).collect()) == expected
+
+
 def test_chunks_cover_the_text(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choices("aeiou nrst\nlx", k=n)) for n in (1, 511, 512, 513, 5000, 30_000)] + ["z" * 10_000, "\U0001f600" * 5000]

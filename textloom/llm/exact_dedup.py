@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import staged, text_of
@@ -39,24 +39,26 @@ def exact_groups(
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     The largest id of equal texts stays. Null counts as the empty text; rows
-    that repeat an id count as rows of their own; an empty table gives an
-    empty result; further columns of ``docs`` are ignored.
+    that repeat an id count as rows of their own, with the same text or with
+    another; very long texts are many chunks; an empty table gives an empty
+    result; further columns of ``docs`` are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    cut = chunks(F.col("t"))
+    cut, sha = chunks(F.col("t")), F.sha2(F.col("t"), 256)
 
     # Verified identifiers: a hash stands for a chunk unless two contents share it.
     contents = rows.select(F.explode(cut).alias("c")).select(hash_of(F.col("c")).alias("h"), "c").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"))
     clashes = staged(contents.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "clashes")
-    sha = F.sha2(F.col("t"), 256)
-    if clashes.isEmpty():
-        recipes = rows.select("id", F.transform(cut, hash_of).alias("recipe"), sha.alias("sha"))
+    recipes = rows.select("id", F.transform(cut, hash_of).alias("recipe"), sha.alias("sha"))
+    none = F.array().cast("array<struct<pos:int,number:int>>")
+    if clashes.isEmpty():  # no text to look up
+        recipes = recipes.withColumn("marks", none)
     else:
-        recipes = _resolved(rows, contents, clashes, hash_of)
+        recipes = recipes.join(_marks(rows, contents, clashes, hash_of), "sha", "left").withColumn("marks", F.coalesce("marks", none))
     recipes = staged(recipes, "recipes")
 
-    groups = staged(recipes.groupBy("recipe").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
-    out = recipes.join(groups, "recipe", "left")
+    groups = staged(recipes.groupBy("recipe", "marks").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    out = recipes.join(groups, ["recipe", "marks"], "left")
     return out.select(
         F.col("id").alias("doc_id"),
         F.coalesce("keep", "id").alias("keep_id"),
@@ -66,17 +68,16 @@ def exact_groups(
     )
 
 
-def _resolved(rows: DataFrame, contents: DataFrame, clashes: DataFrame, hash_of) -> DataFrame:
-    """Recipes where some hashes stand for several contents: those chunks are numbered by content.
+def _marks(rows: DataFrame, contents: DataFrame, clashes: DataFrame, hash_of) -> DataFrame:
+    """(sha, marks) of the texts with chunks whose hash stands for several contents.
 
-    A clashing content's number is the smallest position (row, place) at which
-    it stands, so that no two contents have the same.
+    The contents of such a hash are numbered, and a text's marks say which one
+    stands at each of its places; so hash and number together are injective.
+    Only clashing chunks move as text, once for each different text; rows find
+    their text's marks by its digest, so that rows are neither lost nor merged.
     """
-    places = rows.select("id", F.sha2("t", 256).alias("sha"), F.posexplode_outer(chunks(F.col("t"))).alias("pos", "c")).withColumn("h", hash_of(F.col("c")))
-    named = (
-        places.filter("c is not null").join(clashes, "h", "left_semi").groupBy("h", "c").agg(F.min(F.struct("id", "pos")).alias("first")).withColumnRenamed("h", "h2").withColumnRenamed("c", "c2")
-    )
-    seen = places.join(named, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2")), "left")
-    entry = F.struct("pos", F.struct("h", F.col("first.id").alias("by"), F.col("first.pos").alias("at")).alias("x"))
-    listed = seen.groupBy("id", "sha").agg(F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), entry))).alias("l"))
-    return listed.select("id", F.transform("l", lambda e: e["x"]).alias("recipe"), "sha")
+    number = F.row_number().over(Window.partitionBy("h").orderBy("c"))
+    named = staged(contents.join(clashes, "h", "left_semi").select("h", "c", number.alias("number")), "named")
+    places = rows.select(F.sha2("t", 256).alias("sha"), F.posexplode(chunks(F.col("t"))).alias("pos", "c")).withColumn("h", hash_of(F.col("c")))
+    seen = places.join(clashes, "h", "left_semi").distinct().join(named, ["h", "c"])
+    return seen.groupBy("sha").agg(F.sort_array(F.collect_list(F.struct("pos", "number"))).alias("marks"))
