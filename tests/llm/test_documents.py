@@ -120,6 +120,31 @@ def test_line_dedup_of_equal_ids_and_marks(spark):
     assert got == brute.kept_lines(rows)
 
 
+def test_twice_seen_holds_every_hash_seen_twice(spark):
+    import numpy as np
+
+    from textloom.llm import _bloom
+
+    rng = random.Random(12)
+    seen = [rng.getrandbits(64) for _ in range(3000)] + [rng.getrandbits(64)] * 4
+    seen += rng.sample(seen, 300)
+    rows = spark.createDataFrame([(x - (1 << 63),) for x in seen], "h long").repartition(7)
+    hashes = lambda batch: iter([batch.column(0).to_numpy().view(np.uint64)])
+    words = _bloom.twice_seen(rows, hashes, 1 << 18)
+    kept = np.array([x - (1 << 63) for x in sorted(set(seen))]).view(np.uint64)
+    hit = _bloom.maybe(words, kept)
+    assert all(hit[i] for i, x in enumerate(sorted(set(seen))) if seen.count(x) > 1)
+    assert hit.sum() < 450
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    shared = "a line that is long enough to be counted here"
+    long = "\n".join([shared, *(f"line {i} of a text of twenty million bytes, give or take" for i in range(350_000)), shared])
+    rows = [(0, long), *((i, f"{shared}\nown {i}") for i in range(1, 6))]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], sha(r["text"])) for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {i: (n, d, sha(t)) for i, n, d, t in brute.kept_lines(rows)}
+
+
 def test_near_duplicates(df, docs):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(df).collect())
     assert got == brute.components(docs)

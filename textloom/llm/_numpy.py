@@ -18,8 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Texts are taken in slices of about so many bytes, which bounds a worker's memory at some 60 times as much.
-SLICE_BYTES = 1 << 20
+#: Texts are taken in slices of about so many bytes, or one longer text. What needs many bytes for each byte of text goes in pieces.
+SLICE_BYTES = PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,22 +49,48 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the disjoint, ascending, non-empty spans of ``data``."""
-    if not len(begin):
-        return np.zeros(0, U64)
-    where = np.zeros(len(data), dtype=np.int64)
-    where[begin] = begin
-    np.maximum.accumulate(where, out=where)
-    where = np.arange(len(data), dtype=np.int64) - where
-    x = _BYTE[data] + where.view(U64) * U64(0xE7037ED1A0B428DB)
+def _mixed(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    x = _BYTE[data] + place.view(U64) * U64(0xE7037ED1A0B428DB)
     x ^= x >> U64(31)
     x *= U64(0xD6E8FEB86659FD93)
-    x ^= x >> U64(30)
+    return x ^ (x >> U64(30))
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the disjoint, ascending, non-empty spans of ``data``.
+
+    Works on about PIECE bytes at a time, however long a span is.
+    """
+    sums = np.zeros(len(begin), U64)
+    i = 0
+    while i < len(begin):
+        low = int(begin[i])
+        j = max(i + 1, int(np.searchsorted(end, low + PIECE, side="right")))
+        if j == i + 1:
+            for at in range(low, int(end[i]), PIECE):
+                to = min(at + PIECE, int(end[i]))
+                sums[i : i + 1] += _mixed(data[at:to], np.arange(at - low, to - low)).sum(dtype=U64)
+        else:
+            part = data[low : int(end[j - 1])]
+            first = begin[i:j] - low
+            where = np.zeros(len(part), dtype=np.int64)
+            where[first] = first
+            np.maximum.accumulate(where, out=where)
+            edges = np.empty(2 * (j - i), dtype=np.int64)
+            edges[::2], edges[1::2] = first, end[i:j] - low
+            sums[i:j] = np.add.reduceat(np.append(_mixed(part, np.arange(len(part)) - where), U64(0)), edges)[::2]
+        i = j
+    return mix(sums + (end - begin).astype(U64))
+
+
+def counts_in(marks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many of ``marks`` (booleans) are set in each of the ascending spans, without sums over all bytes."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
     edges = np.empty(2 * len(begin), dtype=np.int64)
     edges[::2], edges[1::2] = begin, end
-    sums = np.add.reduceat(np.append(x, U64(0)), edges)[::2]
-    return mix(sums + (end - begin).astype(U64))
+    found = np.add.reduceat(np.append(marks, False).view(np.uint8), edges, dtype=np.int64)[::2]
+    return np.where(end > begin, found, 0)
 
 
 @dataclass
@@ -153,14 +179,13 @@ def lines(texts: pa.Array) -> Lines:
         last[of_text[1:] - 1] = True
     end[last] = offsets[1:]
     end[~last] = feeds
-    solid = np.flatnonzero(~_SPACE[data])
-    lo, hi = np.searchsorted(solid, begin), np.searchsorted(solid, end)
+    # A line's key goes from its first word to its last one: words never hold a line feed.
+    w = words(texts)
+    lo, hi = np.searchsorted(w.begin, begin), np.searchsorted(w.begin, end)
     some = hi > lo
-    padded = np.append(solid, 0)
-    key_begin = np.where(some, padded[np.minimum(lo, len(solid))], begin)
-    key_end = np.where(some, padded[np.maximum(hi - 1, 0)] + 1, begin)
-    heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    return Lines(begin, end, of_text, key_begin, key_end, heads[key_end] - heads[key_begin], _LOWER[data])
+    key_begin, key_end = begin.copy(), begin.copy()
+    key_begin[some], key_end[some] = w.begin[lo[some]], w.end[hi[some] - 1]
+    return Lines(begin, end, of_text, key_begin, key_end, counts_in((data & 0xC0) != 0x80, key_begin, key_end), w.data)
 
 
 def list_array(values: pa.Array, offsets: np.ndarray) -> pa.ListArray:

@@ -1,8 +1,9 @@
 """Lines that many documents share, found with two Bloom filters and confirmed exactly.
 
-The first filter has the bits of keys seen once, the second those seen twice.
-Only lines that the second may hold move, as text, to be confirmed; documents
-without such lines are finished where they are read.
+The first filter has the bits of keys seen once, the second those of keys seen
+twice; both are filled where the lines are and merged in blocks, so no hash is
+shuffled. Only lines that the second may hold move, as text, to be confirmed;
+of whole texts only those move that may lose a line.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bloom import bits_for, gathered, maybe
-from ._numpy import Lines, lines, slices, span_hashes
+from ._bloom import bits_for, gathered, maybe, twice_seen
+from ._numpy import U64, Lines, lines, slices, span_hashes
 from ._spark import small_batches, staged, text_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
@@ -51,18 +52,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(*[text_of(text_col).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in columns])
     id_type = dict(docs.dtypes)[id_col]
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, texts in _texts(batch, 0):
-                found, which, h = _keyed(texts, min_chars)
-                of = np.searchsorted(found.of_text, which, side="right")
-                once = np.unique(np.stack((of.astype(np.uint64), h)), axis=1)[1] if len(h) else h
-                values, n = np.unique(once, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(n, 2))], names=["h", "n"])
+    # No text has more keys than lines, or than min_chars goes into its bytes.
+    text = F.col(f"`{text_col}`")
+    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    most = rows.agg(F.sum(F.least(n_lines, F.octet_length(text) / max(1, min_chars)))).first()[0]
 
-    once = staged(rows.select(text_col).mapInArrow(seen, "h long, n long"), "lines")
-    bits = bits_for(once.count())
-    repeated = docs.sparkSession.sparkContext.broadcast(gathered(once, bits, least=2))
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, texts in _texts(batch, 0):
+            found, which, h = _keyed(texts, min_chars)
+            of = np.searchsorted(found.of_text, which, side="right")
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            first = np.ones(len(h), dtype=bool)  # a key that repeats within a row counts once
+            first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            yield h[first]
+
+    repeated = docs.sparkSession.sparkContext.broadcast(twice_seen(rows.select(text_col), keys, bits_for(int(most or 0))))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,19 +94,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = staged(found, "suspects")
     shared = staged(found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep")).filter(F.col("n") >= min_docs).select("key", "keep"), "shared")
     # Rows that share an id have the same losses or none, by key; the text itself says which lines they are.
-    losses = found.join(shared, "key").filter("id < keep").groupBy("id").agg(F.collect_list(F.struct("key", "places")).alias("__losses"))
+    losses = staged(found.join(shared, "key").filter("id < keep").groupBy("id").agg(F.collect_list(F.struct("key", "places")).alias("__losses")), "losses")
+    losers = docs.sparkSession.sparkContext.broadcast(gathered(losses.select(F.xxhash64("id").alias("h")), bits_for(losses.count())))
 
     kept_fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in columns)
     place = columns.index(text_col)
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            suspect, count = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows, dtype=np.int64)
-            for a, b, texts in _texts(batch, place):
-                found, which, h = _keyed(texts, min_chars)
-                count[a:b] = np.diff(found.of_text)
-                suspect[a + np.searchsorted(found.of_text, which[maybe(repeated.value, h)], side="right") - 1] = True
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count), pa.array(suspect)], names=[*batch.schema.names, "n_lines", "__suspect"])
+            may = maybe(losers.value, batch.column(len(columns)).to_numpy().view(U64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(may)], names=[*columns, "__may"])
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +118,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_dropped"])
 
-    with_counts = rows.mapInArrow(marked, f"{kept_fields}, n_lines long, __suspect boolean")
-    clean = with_counts.filter("not __suspect").drop("__suspect").withColumn("n_dropped", F.lit(0).cast("long"))
-    moved = with_counts.filter("__suspect").drop("__suspect").join(losses.withColumnRenamed("id", "__id"), F.col(f"`{id_col}`") == F.col("__id"), "left").select(*[F.col(f"`{c}`") for c in columns], "n_lines", "__losses")
+    split = rows.withColumn("__hash", F.xxhash64(F.col(f"`{id_col}`"))).mapInArrow(flagged, f"{kept_fields}, __may boolean").withColumn("n_lines", n_lines)
+    clean = split.filter("not __may").drop("__may").withColumn("n_dropped", F.lit(0).cast("long"))
+    moved = split.filter("__may").drop("__may").join(losses.withColumnRenamed("id", "__id"), F.col(f"`{id_col}`") == F.col("__id"), "left").select(*[F.col(f"`{c}`") for c in columns], "n_lines", "__losses")
     return clean.unionByName(moved.mapInArrow(without, f"{kept_fields}, n_lines long, n_dropped long"))
 
 

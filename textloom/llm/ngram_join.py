@@ -185,7 +185,7 @@ def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataF
 def _whole_sets(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """(sig, n, set) of the sets whose ``sig`` is in ``wanted``: a filter in the scan, then an exact semi-join."""
     wanted = staged(wanted.select("sig").distinct(), "wanted")
-    likely = rows.sparkSession.sparkContext.broadcast(gathered(wanted.select(F.col("sig").alias("h"), F.lit(1).alias("n")), bits_for(wanted.count())))
+    likely = rows.sparkSession.sparkContext.broadcast(gathered(wanted.select(F.col("sig").alias("h")), bits_for(wanted.count())))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: set[int] = set()
