@@ -229,19 +229,48 @@ def test_hamming_index_misses_nothing(radius):
     assert len(index.candidates(many)[0]) < 0.1 * len(many) * len(prints)
 
 
-@pytest.mark.parametrize("lookup_bytes", [None, 4000, 0])
-def test_bpe(spark, lookup_bytes):
+@pytest.mark.parametrize("small", [False, True])
+def test_bpe(spark, small, monkeypatch):
+    if small:  # several slices, lists and parts of the table
+        for name, value in (("SLICE_TEXT", 3000), ("LISTED", 7), ("ENCODED", 50), ("PIECE", 64)):
+            monkeypatch.setattr(f"textloom.llm.bpe.{name}", value)
     tokenizer, library = byte_bpe(), byte_bpe().load()
     rng = random.Random(4)
     parts = ["'", "s", "'ll", " ", "  ", "\n", "a", "É", "1", "²", "!", "日本", "\t", "😀", "\x85", "<|endoftext|>", "don't", "word", None]
     rows = [(i, None if rng.random() < 0.02 else "".join(x or "" for x in rng.choices(parts, k=rng.randint(0, 20)))) for i in range(400)] + list(enumerate(ODD, 1000)) + [(5, "twice"), (5, "twice")]
-    got = [(r["doc_id"], r["ids"], r["text"]) for r in decode(encode(frame(spark, rows), tokenizer, lookup_bytes=lookup_bytes), tokenizer).collect()]
-    fused = [(r["doc_id"], r["ids"], r["text"]) for r in encode(frame(spark, rows), tokenizer, lookup_bytes=lookup_bytes, decoded="text").collect()]
+    got = [(r["doc_id"], r["ids"], r["text"]) for r in decode(encode(frame(spark, rows), tokenizer), tokenizer).collect()]
+    fused = [(r["doc_id"], r["ids"], r["text"]) for r in encode(frame(spark, rows), tokenizer, decoded="text").collect()]
     assert sorted(fused, key=str) == sorted(got, key=str)
     expected = [(i, library.encode(t or "", add_special_tokens=False).ids, t or "") for i, t in rows]
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_bpe_of_a_very_long_text(spark):
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(5000)] + ["don't", "été", "\n", "12", "!?"]
+    text = " ".join(rng.choices(words, k=1_000_000))
+    got = encode(frame(spark, [(1, text), (2, "short")]), byte_bpe(), decoded="text").orderBy("doc_id").select("doc_id", F.size("ids").alias("n"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids"), F.sha2("text", 256).alias("text")).collect()
+    ids = byte_bpe().load().encode(text, add_special_tokens=False).ids
+    assert tuple(got[0]) == (1, len(ids), sha(",".join(map(str, ids))), sha(text)) and got[1]["doc_id"] == 2
+
+
+def test_bpe_of_all_characters():
+    """Python's Unicode tables and the library's may be of different versions; the ids are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.llm import bpe
+
+    tokenizer, library, classes = byte_bpe(), byte_bpe().load(), bpe.char_classes()
+    points = [chr(c) for c in [*range(0x3000), *range(0x3000, 0xD800, 7), *range(0xE000, 0x32000, 11), *range(0xE0000, 0xE01F0)]]
+    texts = [f"x{c}y 1{c} {c}{c}a '{c}" for c in points]
+    ends, words = bpe._words(pa.array(texts), classes, tokenizer.added)
+    ids, sizes = bpe._ids_of(library, words.to_pylist())
+    bounds = np.concatenate(([0], np.cumsum(sizes)))[ends].tolist()
+    got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_decoding_takes_any_ids(spark):
     tokenizer = byte_bpe()
     lists = [[220, 50256, 0], [99999, -1, 64], [], None, [161, 64]]

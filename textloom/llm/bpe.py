@@ -1,11 +1,12 @@
 """Byte-level BPE through a table of distinct words.
 
-Texts are split into words, batch by batch, as arrays. Words that occur more
-than once are encoded once each, in a table. Frequent ones, a bounded number, are looked up
-where the texts are; the other words of the table join back by document and
-position. A word that occurs once in all texts (a filter of those seen twice
-says so) is encoded at its one place. Decoding looks ids up in the id-to-piece
-table, which is as small as the vocabulary.
+Texts are split into words where they are read. A slice, some megabytes of
+texts, keeps its texts as numbers of its own distinct words, which go to the
+table of distinct words: all equal words meet there, each is encoded once, and
+its ids go back to every slice and place that sent it. Texts are put together
+from these by position. Decoding joins ids with the id-to-piece table, which is
+no larger than the vocabulary and so is broadcast, as an array with the id as
+its key.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bloom import bits_for, gathered, maybe
-from ._numpy import raw, slices, span_hashes
-from ._spark import least_count, small_batches, staged, text_of
+from ._numpy import PIECE, raw, slices
+from ._spark import small_batches, staged, text_of
 
-#: Words of so many bytes at most are looked up in place, the most frequent ones, as many as fit into so many bytes with their ids.
-FREQUENT_BYTES, LOOKUP_BYTES = 48, 96_000_000
+#: Texts of about so many bytes share a list of distinct words; a longer text has one of its own.
+SLICE_TEXT = 8 << 20
+#: Words of a slice are listed, and words of the table encoded, so many at a time.
+LISTED, ENCODED = 20_000, 50_000
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
@@ -97,6 +100,24 @@ def _chars(data: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def word_starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Where words begin in the texts ``data[offsets[i]:offsets[i + 1]]``; a word ends where the next one begins.
 
+    Goes by pieces of about PIECE bytes, cut before a space between two ASCII letters.
+    """
+    cuts = [0]
+    while len(data) - cuts[-1] > PIECE:
+        at = cuts[-1] + PIECE
+        window = data[at - 1 : at + (1 << 16)]
+        letter = (window | 32) - 97 < 26
+        fits = np.flatnonzero(letter[:-2] & (window[1:-1] == 32) & letter[2:])
+        if not len(fits):
+            break  # the rest in one piece
+        cuts.append(at + int(fits[0]))
+    found = [_starts(data[a:b], np.append(0, offsets[(offsets > a) & (offsets < b)] - a), classes) + a for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+    return np.concatenate(found)
+
+
+def _starts(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where words begin in one piece.
+
     Words are maximal runs of letters, of numbers, of white space, or of
     anything else. A space before a run of another kind belongs to it; of white
     space before such a run the last character is a word of its own, if it is
@@ -182,13 +203,15 @@ def ragged(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> np.ndarr
     return flat[np.arange(total) + np.repeat(offsets[index] - (ends - sizes), sizes)]
 
 
-def _ids_of(tokenizer, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-
-
-def _word_hashes(words: pa.Array) -> np.ndarray:
-    data, offsets = raw(words)
-    return span_hashes(data, offsets[:-1], offsets[1:])  # no word is empty
+def _ids_of(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, one behind the other, and how many each word has."""
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), 2_000):
+        part = words[at : at + 2_000]
+        got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+        ids.append(np.array(got.ids, dtype=np.int32))
+        sizes.append(np.bincount(np.array(got.word_ids, dtype=np.int64), minlength=len(part)))
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def _texts_of(pieces: tuple[np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -204,7 +227,16 @@ def _texts_of(pieces: tuple[np.ndarray, np.ndarray], ids: np.ndarray, bounds: np
     return [raw_bytes[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup_bytes: int | None = None, decoded: str | None = None) -> DataFrame:
+def _zipped(x: np.ndarray) -> bytes:
+    """Numbers as a compressed string, the low bytes of all first."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unzipped(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>) instead of its text, and in place of one of that name.
 
     With ``decoded``, a column of that name has what ``decode`` makes of the
@@ -213,182 +245,135 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", lookup
     The ids are those that the library gives for the whole text without adding
     special tokens; added tokens that stand in a text count as such. Null and
     empty texts have no ids. Rows that repeat stay apart, further columns pass
-    unchanged, and an empty table stays empty.
+    unchanged, and an empty table stays empty. A very long text is a slice of
+    its own, whose words are split piece by piece.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    columns = [c for c in docs.columns if c not in ("ids", decoded) or c == text_col]
-    text = text_of(text_col)
-    pieces = spark.sparkContext.broadcast(tokenizer.pieces()) if decoded else None
+    others = [c for c in docs.columns if c not in ("ids", decoded, text_col)]
     classes = spark.sparkContext.broadcast(char_classes())
-    key = [F.xxhash64(F.lit(salt), text, *[F.col(f"`{c}`").cast("string") for c in columns if c != text_col]).alias(f"__k{salt}") for salt in (1, 2)]
-    scan = docs.select(text.alias("__text"), *key)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[pa.Table] = []
-
-        def summed(parts: list[pa.Table]) -> pa.Table:
-            return pa.concat_tables(parts).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+    pieces = spark.sparkContext.broadcast(tokenizer.pieces()) if decoded else None
+    passed = [f"`__c{i}` {dict(docs.dtypes)[c]}" for i, c in enumerate(others)]
+    kept = ", ".join(["__slice long", "__row int", *passed, "__codes binary"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts (numbers of words, compressed) and rows of a slice's words (with the number of the first of them)."""
+        number = TaskContext.get().partitionId() << 32
+        rows, ends, words, size = [], [], [], 0
+
+        def slice_of() -> Iterator[pa.RecordBatch]:
+            known = pa.concat_arrays(words).dictionary_encode()
+            every, number_of, begin = known.dictionary, known.indices.to_numpy(), 0
+            for part, end in zip(rows, ends, strict=True):
+                code = number_of[begin : begin + int(end[-1])]
+                begin += int(end[-1])
+                packed = [_zipped(code[a:b]) for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
+                n = len(packed)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), *part, pa.array(packed, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=names,
+                )
+            for at in range(0, len(every), LISTED):
+                some = every.slice(at, LISTED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number]), pa.array([at], pa.int32()), *[pa.nulls(1, x.type) for x in rows[0]], pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)], names=names,
+                )
 
         for batch in batches:
-            for _, _, words in _flat(batch, 0, classes.value, tokenizer.added):
-                counted = words.value_counts()
-                parts.append(pa.table({"word": counted.field(0), "n": counted.field(1)}))
-                if sum(map(len, parts[1:])) > 1 << 19:
-                    parts = [summed(parts)]
-                    if len(parts[0]) > 1 << 19:  # what a task holds stays bounded
-                        yield from parts[0].combine_chunks().to_batches(20_000)
-                        parts = []
-        if parts:
-            yield from summed(parts).combine_chunks().to_batches(20_000)
-        del parts
-        pa.default_memory_pool().release_unused()
-
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["__slice", "__row", *[f"__c{i}" for i in range(len(others))], "__codes", "__words"]
+            for part, end, found in _flat(batch, 0, classes.value, tokenizer.added):
+                text = part.column(0)
+                rows.append(part.columns[1:])
+                ends.append(end)
+                words.append(found)
+                size += text.nbytes
+                if size >= SLICE_TEXT:
+                    yield from slice_of()
+                    rows, ends, words, size = [], [], [], 0
+                    number += 1
+        if rows:
+            yield from slice_of()
+
+    texts = docs.select(text_of(text_col).alias("__text"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
+    parts = staged(texts.mapInArrow(split, f"{kept}, __words array<string>"), "slices")
+    listed = parts.filter("__codes is null").select("__slice", F.col("__row").alias("first"), F.posexplode("__words").alias("pos", "word"))
+    sent = listed.select("word", "__slice", (F.col("first") + F.col("pos")).alias("code")).repartition("word").sortWithinPartitions("word")
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal words stand one behind the other: each different one is encoded once, and its ids are handed to all that sent it."""
         made = tokenizer.load()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                ids = _ids_of(made, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(_word_hashes(part.column(0)).view(np.int64))], names=["word", "n", "ids", "h"])
-
-    counts = scan.select("__text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
-    table = staged(counts.mapInArrow(encode_words, "word string, n long, ids array<int>, h long"), "words")
-
-    if lookup_bytes is None:
-        lookup_bytes = LOOKUP_BYTES
-    own_bytes = F.octet_length("word") + 4 * F.size("ids") + 28
-    least = least_count(table.filter(F.octet_length("word") <= FREQUENT_BYTES), lookup_bytes, weight=own_bytes)
-    is_frequent = (F.col("n") >= least) & (F.octet_length("word") <= FREQUENT_BYTES)
-    rest = table.filter(~is_frequent)
-    frequent = table.filter(is_frequent).select("word", "ids", "h").toArrow().combine_chunks()
-    listed = frequent["ids"].combine_chunks()
-    flat = listed.flatten().to_numpy().astype(np.int32)
-    offsets = np.concatenate(([0], np.cumsum(np.asarray(listed.value_lengths()).astype(np.int64)))) if len(frequent) else np.zeros(1, np.int64)
-    n_frequent = len(frequent)
-    names = frequent["word"].combine_chunks().cast(pa.string())
-    hashes = frequent["h"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    held = spark.sparkContext.broadcast((hashes[order], order.astype(np.int32), names))
-    ids_held = spark.sparkContext.broadcast((flat, offsets))
-    del frequent, listed, flat, names, hashes
-    pa.default_memory_pool().release_unused()
-    # Where the lookup has all words of the table, every other one occurs once; else a filter tells most of these.
-    all_held = rest.isEmpty()
-    repeated = None if all_held else spark.sparkContext.broadcast(gathered(table.select("h", F.lit(1).alias("n")), bits_for(table.count())))
-
-    def coded(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """For all words the code, and which distinct one each is; the distinct words; which of these surely occur once only."""
-        hashes, order, names = held.value
-        known = words.dictionary_encode()
-        of, each = known.indices.to_numpy(), known.dictionary
-        h = _word_hashes(each)
-        code = np.full(len(each), -1, dtype=np.int64)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            near = np.flatnonzero(hashes[at] == h)
-            same = pc.equal(names.take(pa.array(order[at[near]])), each.take(pa.array(near))).to_numpy(zero_copy_only=False)
-            code[near[same]] = order[at[near[same]]]
-        once = code < 0
-        if repeated is not None:
-            once &= ~maybe(repeated.value, h)
-        return code[of], of, each, once
-
-    def joined_up(code: np.ndarray, extra: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words one behind the other, and how many each word has; codes from ``n_frequent`` on count up through ``extra``."""
-        flat, offsets = ids_held.value
-        low = code < n_frequent
-        more = np.fromiter(map(len, extra), dtype=np.int64, count=len(extra))
-        sizes = np.empty(len(code), dtype=np.int64)
-        sizes[low] = offsets[code[low] + 1] - offsets[code[low]]
-        sizes[~low] = more[code[~low] - n_frequent]
-        out = np.empty(int(sizes.sum()), dtype=np.int32)
-        which = np.repeat(low, sizes)
-        out[which] = ragged(flat, offsets, code[low])
-        out[~which] = np.fromiter((y for x in extra for y in x), dtype=np.int32, count=int(more.sum()))
-        return out, sizes
-
-    passed = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c in columns and c != text_col)
-    others = [c for c in columns if c != text_col]
-    schema = (f"{passed}, " if passed else "") + "ids array<int>" + (f", `{decoded}` string" if decoded else "")
-
-    def finished(columns: list[pa.Array], ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
-        made = [*columns, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
-        if pieces is None:
-            return pa.RecordBatch.from_arrays(made, names=[*others, "ids"])
-        return pa.RecordBatch.from_arrays([*made, pa.array(_texts_of(pieces.value, ids, bounds), pa.string())], names=[*others, "ids", decoded])
-
-    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer.load()
-        for batch in batches:
-            for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
-                code, of, each, _ = coded(words)
-                open_ = np.flatnonzero(code < 0)
-                code[open_] = n_frequent + np.arange(len(open_))
-                ids, sizes = joined_up(code, _ids_of(made, each.take(pa.array(of[open_])).to_pylist()))
-                yield finished(rows.columns[1:], ids, np.concatenate(([0], np.cumsum(sizes)))[ends])
+        last, last_ids = None, np.zeros(0, np.int32)
+        held: list[pa.RecordBatch] = []
+
+        def handed_out() -> pa.RecordBatch:
+            nonlocal last, last_ids
+            rows = pa.Table.from_batches(held).combine_chunks()
+            each = rows["word"].chunk(0).dictionary_encode()
+            names = each.dictionary.to_pylist()
+            again = bool(names) and names[0] == last
+            ids, sizes = _ids_of(made, names[again:])
+            if again:
+                ids, sizes = np.concatenate((last_ids, ids)), np.append(len(last_ids), sizes)
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            last, last_ids = names[-1], ids[offsets[-2] :].copy()
+            of, place = rows["__slice"].to_numpy(), each.indices.to_numpy()
+            order = np.argsort(of, kind="stable")
+            to, first = np.unique(of[order], return_index=True)
+            code = rows["code"].to_numpy()[order]
+            out = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+                own = place[order[a:b]]
+                out.append(_zipped(np.concatenate(([b - a], code[a:b], sizes[own], ragged(ids, offsets, own)))))
+            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(out, pa.binary())], names=["__slice", "__words"])
 
-    if all_held:
-        return docs.select(text.alias("__text"), *[F.col(f"`{c}`") for c in others]).mapInArrow(in_place, schema)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
-                code, of, each, once = coded(words)
-                open_ = np.flatnonzero(code < 0)
-                row = np.searchsorted(ends, open_, side="right") - 1
-                place = np.arange(len(open_)) - np.searchsorted(row, row)
-                join = ~once[of[open_]]
-                row, place, which = row[join], place[join], of[open_][join]
-                yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row)), rows.column(2).take(pa.array(row)), pa.array(place.astype(np.int32)), each.take(pa.array(which))], names=["k1", "k2", "place", "word"])
-
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole rows with the codes of their words: a frequent word's number, or from there on its place among the row's others."""
-        zstd = zstandard.ZstdCompressor(level=1)
-        made = tokenizer.load()
         for batch in batches:
-            for rows, ends, words in _flat(batch, 0, classes.value, tokenizer.added):
-                code, of, each, once = coded(words)
-                open_ = np.flatnonzero(code < 0)
-                row = np.searchsorted(ends, open_, side="right") - 1
-                first = np.searchsorted(row, np.arange(rows.num_rows + 1))
-                place = np.arange(len(open_)) - first[row]
-                code[open_] = n_frequent + place
-                alone = np.flatnonzero(once[of[open_]])
-                own = _ids_of(made, each.take(pa.array(of[open_][alone])).to_pylist())
-                packed, inline = [], []
-                at = np.searchsorted(alone, first).tolist()
-                small = code.astype("<u4")
-                for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                    bytes_ = np.ascontiguousarray(small[a:b].view(np.uint8).reshape(-1, 4).T).tobytes()
-                    packed.append(zstd.compress(bytes_))
-                    inline.append([{"place": int(place[alone[j]]), "ids": own[j]} for j in range(at[i], at[i + 1])])
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(packed, pa.binary()), pa.array(inline, pa.list_(pa.struct([("place", pa.int32()), ("ids", pa.list_(pa.int32()))])))], names=[*rows.schema.names[1:], "__codes", "__inline"])
-
-    entry = "array<struct<place:int,ids:array<int>>>"
-    back = scan.mapInArrow(rare, "k1 long, k2 long, place int, word string").join(rest.select("word", "ids"), "word", "left").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word"))).alias("__joined"))
-    light = docs.select(text.alias("__text"), *key, *[F.col(f"`{c}`") for c in others])
-    left = light.mapInArrow(codes, "__k1 long, __k2 long" + (f", {passed}" if passed else "") + f", __codes binary, __inline {entry}")
-    whole = left.join(back, (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*[F.col(f"`{c}`") for c in others], "__codes", "__inline", "__joined")
+            held.append(batch)
+            if sum(map(len, held)) >= ENCODED:
+                yield handed_out()
+                held.clear()
+        if sum(map(len, held)):
+            yield handed_out()
+
+    back = sent.mapInArrow(table, "__slice long, __words binary")
+    nothing = [F.lit(None).cast(dict(docs.dtypes)[c]).alias(f"__c{i}") for i, c in enumerate(others)]
+    met = parts.filter("__codes is not null").select("__slice", "__row", *[f"__c{i}" for i in range(len(others))], "__codes", F.lit(None).cast("binary").alias("__words"))
+    met = met.unionByName(back.select("__slice", F.lit(None).cast("int").alias("__row"), *nothing, F.lit(None).cast("binary").alias("__codes"), "__words"))
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in others] + ["ids array<int>"] + ([f"`{decoded}` string"] if decoded else []))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        made = tokenizer.load()
+        """One slice: its words' ids by number, then its texts, a few at a time."""
+        rows: list[pa.RecordBatch] = []
+        number, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            n = len(others)
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                done = []
-                for packed, inline, joined in zip(*(part.column(n + i).to_pylist() for i in range(3)), strict=True):
-                    code = np.ascontiguousarray(np.frombuffer(unzip.decompress(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-                    # A word without a row in the table is one that the filter took for a repeated one.
-                    extra = {x["place"]: x["ids"] if x["ids"] is not None else _ids_of(made, [x["word"]])[0] for x in [*(inline or ()), *(joined or ())]}
-                    out, _ = joined_up(code, [extra[i] for i in range(len(extra))])
-                    done.append(out)
-                sizes = np.fromiter(map(len, done), dtype=np.int64, count=len(done))
-                yield finished(part.columns[:n], np.concatenate([np.zeros(0, np.int32), *done]), np.concatenate(([0], np.cumsum(sizes))))
-
-    return whole.mapInArrow(assemble, schema)
+            column = batch.column(len(others) + 3)
+            rows.append(batch.filter(pc.is_null(column)).select(list(range(2, len(others) + 3))))
+            for packed in column.drop_null():
+                x = _unzipped(packed.as_py())
+                n = int(x[0])
+                number.append(x[1 : n + 1])
+                sizes.append(x[n + 1 : 2 * n + 1])
+                ids.append(x[2 * n + 1 :])
+        number, sizes, ids = np.concatenate(number), np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
+        place = np.empty(len(number), dtype=np.int64)
+        place[number] = np.arange(len(number))
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        for batch in rows:
+            at = 0
+            while at < batch.num_rows:
+                code, total = [], 0
+                while at + len(code) < batch.num_rows and total < PIECE // 4:
+                    code.append(_unzipped(batch.column(len(others))[at + len(code)].as_py()))
+                    total += len(code[-1])
+                word = place[np.concatenate(code)]
+                ends = np.concatenate(([0], np.cumsum(offsets[word + 1] - offsets[word])))
+                bounds = ends[np.concatenate(([0], np.cumsum([len(c) for c in code])))]
+                got = ragged(ids, offsets, word)
+                made = [*[x.slice(at, len(code)) for x in batch.columns[:-1]], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(got))]
+                if decoded:
+                    made.append(pa.array(_texts_of(pieces.value, got, bounds), pa.string()))
+                yield pa.RecordBatch.from_arrays(made, names=[*others, "ids", *([decoded] if decoded else [])])
+                at += len(code)
+
+    return met.groupBy("__slice").applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
