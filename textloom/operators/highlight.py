@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,14 +71,6 @@ def compact(ranges: list[Range], breaks: bool = True) -> list[tuple[int, int, fl
     return out
 
 
-@dataclass
-class _Excerpt:
-    first: int  # matches from first up to last, exclusive
-    last: int
-    left: int  # positions of tokens
-    right: int
-
-
 @dataclass(frozen=True)
 class Highlighter:
     excerpt_length: int | None = 150  # None: the whole field
@@ -87,78 +80,76 @@ class Highlighter:
     ellipsis: str = "..."
 
     def excerpts(self, text: str, q: Q.Query, analyzer: Analyzer) -> list[str] | None:
-        """Marked excerpts of ``text``; None if nothing in it matches and it is no short text. Lengths are in bytes."""
-        spans: list[Range] = []  # bytes of each position
+        """Marked excerpts of ``text``; None if nothing in it matches and it is no short text. Lengths are in bytes.
+
+        The stretches of matches worth most become excerpts; where there are
+        fewer than asked for, the text's opening makes up for them. Excerpts
+        that fit into their common length are one, and each is filled up with
+        the tokens around it.
+        """
+        begins: list[int] = []  # bytes of each position
+        ends: list[int] = []
         at: dict[str, list[int]] = {}
         pos = -1
-        offset = [0]
-        for c in text:
-            offset.append(offset[-1] + len(c.encode()))
+        offset = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text], dtype=np.int64))).tolist()
         for t in analyzer.tokens(text):
             pos += t.pos_inc
-            while len(spans) <= pos:
-                spans.append((offset[t.start], offset[t.end]))
+            missing = pos + 1 - len(begins)
+            begins += [offset[t.start]] * missing
+            ends += [offset[t.end]] * missing
             at.setdefault(t.text, []).append(pos)
         raw, found = text.encode(), compact(list(matched(q, at)))
         size = len(raw) + 1 if self.excerpt_length is None else self.excerpt_length
+        marks = [(begins[a], ends[b]) for a, b, _ in found]
         if len(raw) < size * self.num_excerpts:
-            return [self._mark(raw, 0, len(raw), [(spans[a][0], spans[b][1]) for a, b, _ in found])]
+            return [self._mark(raw, 0, len(raw), marks)]
         if not found:
             return None
-        chosen = self._choose(found, spans, size)
-        out, i = [], 0
-        while i < len(chosen):
-            e, taken = chosen[i], 1
-            for j in range(i + 1, len(chosen)):
-                if self._to(chosen[j], spans) - self._from(e, spans) < (j - i + 1) * size:
-                    e.last, e.right, taken = chosen[j].last, chosen[j].right, j - i + 1
-            self._grow(e, spans, taken * size)
-            begin, end = self._from(e, spans), self._to(e, spans)
+        out = []
+        for matches, tokens, length in self._joined(found, marks, size):
+            left, right = self._filled(tokens, begins, ends, length)
+            begin, end = (begins[left], ends[right]) if right >= left else (0, 0)
             if len(raw) - end <= len(self.ellipsis.encode()):
                 end = len(raw)
-            marks = [(spans[a][0], spans[b][1]) for a, b, _ in found[e.first : e.last]]
-            out.append((self.ellipsis if begin else "") + self._mark(raw, begin, end, marks) + (self.ellipsis if end < len(raw) else ""))
-            i += taken
+            out.append((self.ellipsis if begin else "") + self._mark(raw, begin, end, marks[matches]) + (self.ellipsis if end < len(raw) else ""))
         return out
 
-    @staticmethod
-    def _from(e: _Excerpt, spans: list[Range]) -> int:
-        return spans[e.left][0] if e.right >= 0 else 0
+    def _joined(self, found: list[tuple[int, int, float]], marks: list[Range], size: int) -> Iterator[tuple[slice, Range, int]]:
+        """Excerpts in order: their matches, first and last token (none: an empty range), and the length they may have."""
+        openings = [(slice(0, 0), (0, -1), (0, 0))] * max(0, self.num_excerpts - len(found))
+        parts = openings + [(slice(a, b), (found[a][0], found[max(a, b - 1)][1]), (marks[a][0], marks[max(a, b - 1)][1])) for a, b in self._best(found, marks, size)]
+        i = 0
+        while i < len(parts):
+            room = range(i + 1, len(parts))
+            last = max([i, *(j for j in room if parts[j][2][1] - parts[i][2][0] < (j - i + 1) * size)])
+            yield slice(parts[i][0].start, parts[last][0].stop), (parts[i][1][0], parts[last][1][1]), (last - i + 1) * size
+            i = last + 1
+
+    def _best(self, found: list[tuple[int, int, float]], marks: list[Range], size: int) -> list[Range]:
+        """The stretches of matches worth most, in order; what one has is worth nothing to another."""
+        begins, ends = np.array(marks).T
+        stop = np.searchsorted(ends, begins + size, side="right")
+        first, worth = np.arange(len(found)), np.array([score for _, _, score in found])
+        open_ = np.ones(len(found), dtype=bool)
+        for _ in range(min(self.num_excerpts, len(found))):
+            total = np.concatenate(([0.0], np.cumsum(worth)))
+            k = int(np.where(open_, total[stop] - total[first], -1.0).argmax())
+            open_[k] = False
+            worth[k : stop[k]] = 0
+        return [(int(k), int(stop[k])) for k in np.flatnonzero(~open_)]
 
     @staticmethod
-    def _to(e: _Excerpt, spans: list[Range]) -> int:
-        return spans[e.right][1] if e.right >= 0 else 0
-
-    def _choose(self, found: list, spans: list[Range], size: int) -> list[_Excerpt]:
-        """The best stretches of matches that fit, in order; too few are filled up with empty ones at the start."""
-        stretches = []
-        for i, (a, _, _) in enumerate(found):
-            j = i
-            while j < len(found) and spans[found[j][1]][1] <= spans[a][0] + size:
-                j += 1
-            stretches.append((i, j))
-        worth, picked, left = [s for _, _, s in found], [], list(range(len(stretches)))
-        while left and len(picked) < self.num_excerpts:
-            best = max(left, key=lambda k: (sum(worth[stretches[k][0] : stretches[k][1]]), -k))
-            left.remove(best)
-            picked.append(stretches[best])
-            worth[slice(*stretches[best])] = [0.0] * (stretches[best][1] - stretches[best][0])
-        chosen = [_Excerpt(a, b, found[a][0], found[max(a, b - 1)][1]) for a, b in sorted(picked)]
-        return [_Excerpt(0, 0, 0, -1) for _ in range(self.num_excerpts - len(chosen))] + chosen
-
-    def _grow(self, e: _Excerpt, spans: list[Range], size: int) -> None:
-        """Take in tokens on both sides, turn by turn, while the length allows."""
-        if e.right < 0:
-            if len(spans) < 2 or spans[1][1] >= size:
-                return
-            e.left, e.right = 0, 1
-        more = True
-        while more:
-            more = False
-            if e.left > 0 and spans[e.right][1] - spans[e.left - 1][0] < size:
-                e.left, more = e.left - 1, True
-            if e.right < len(spans) - 1 and spans[e.right + 1][1] - spans[e.left][0] < size:
-                e.right, more = e.right + 1, True
+    def _filled(tokens: Range, begins: list[int], ends: list[int], length: int) -> Range:
+        """The range grown by a token before and one behind, in turn, as long as one of them fits into ``length``."""
+        left, right = tokens
+        if right < left:
+            if len(ends) < 2 or ends[1] >= length:
+                return tokens
+            right = left + 1
+        fits = lambda a, b: 0 <= a and b < len(ends) and ends[b] - begins[a] < length
+        while (before := fits(left - 1, right)) | (behind := fits(left - before, right + 1)):
+            left, right = left - before, right + behind
+        return left, right
 
     def _mark(self, raw: bytes, begin: int, end: int, marks: list[Range]) -> str:
         out, last = [], begin

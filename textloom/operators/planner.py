@@ -246,10 +246,10 @@ class Planner:
             both = reduce(F.array_intersect, [F.col(f"s{i}") for i in range(n)])
             return found.select("doc_id", "norm", F.size(both).cast("double").alias("freq"))
         all_terms = [t for _, ts in q.slots for t in ts]
-        repeat, slop = len(set(all_terms)) < len(all_terms), q.slop
+        offsets, slop = [at for at, _ in q.slots] if len(set(all_terms)) < len(all_terms) else None, q.slop
 
         def run(rows: pa.Array) -> pa.Array:
-            return pa.array([positional.sloppy_phrase([sorted(s) for s in r], slop, repeat) for r in rows.to_pylist()], pa.float64())
+            return pa.array([positional.sloppy_phrase([sorted(s) for s in r], slop, offsets) for r in rows.to_pylist()], pa.float64())
 
         run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
         freq = F.arrow_udf(run, T.DoubleType())(F.array(*[f"s{i}" for i in range(n)]))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 from ..functions.similarity import sloppy_freq
 from . import query as Q
@@ -10,48 +11,70 @@ from . import query as Q
 Span = tuple[int, int]
 
 
-def sloppy_phrase(slots: list[list[int]], slop: int, may_repeat: bool) -> float:
+def _stretches(slots: list[list[int]]) -> list[tuple[int, int, int]]:
+    """All slots' positions merged: (slot, first, last) of every stretch of one slot that no other slot's position interrupts.
+
+    Where several slots share a position, the stretch that is under way takes its own first.
+    """
+    shared: dict[int, list[int]] = {}
+    for i, places in enumerate(slots):
+        for p in places:
+            shared.setdefault(p, []).append(i)
+    out: list[tuple[int, int, int]] = []
+    for p in sorted(shared):
+        for i in sorted(shared[p], key=lambda i: (not (out and out[-1][0] == i), i)):
+            if out and out[-1][0] == i:
+                out[-1] = i, out[-1][1], p
+            else:
+                out.append((i, p, p))
+    return out
+
+
+def _windows(slots: list[list[int]]) -> Iterator[int]:
+    """Lengths of the windows of a phrase: each begins where a stretch ends, and goes on until every other slot has come again."""
+    ahead: dict[int, int] = {}
+    for i, first, last in reversed(_stretches(slots)):
+        others = [p for j, p in ahead.items() if j != i]
+        if len(others) == len(slots) - 1:
+            yield max(others) - last
+        ahead[i] = first
+
+
+def _windows_of_own_words(slots: list[list[int]], offsets: list[int]) -> Iterator[int]:
+    """As ``_windows``, for phrases that repeat a term: no word of the text stands for two slots at once."""
+    held: dict[int, int] = {}  # the position each slot holds
+
+    def free(i: int, behind: int) -> list[int]:
+        taken = {p + offsets[j] for j, p in held.items() if offsets[j] != offsets[i]}
+        return [p for p in slots[i] if p > behind and p + offsets[i] not in taken]
+
+    for i in range(len(slots)):
+        if not (open_ := free(i, -(1 << 40))):
+            return
+        held[i] = open_[0]
+    while True:
+        end = max(held.values())
+        low = min(held, key=lambda i: (held[i], i))
+        own = held.pop(low)
+        fence = min(held.values())
+        inside = [p for p in free(low, own) if p <= fence]
+        yield end - (inside[-1] if inside else own)
+        behind = free(low, fence)
+        if not behind:
+            return
+        held[low] = behind[0]
+
+
+def sloppy_phrase(slots: list[list[int]], slop: int, offsets: list[int] | None = None) -> float:
     """The frequency of a phrase whose slots stand at ``slots`` (positions less the slots' offsets, ascending).
 
-    A window moves over one cursor per slot; the smallest cursor goes up to the
-    next one, and windows of at most ``slop`` count 1 / (1 + length).
+    Windows of at most ``slop`` count 1 / (1 + length). ``offsets`` are given
+    for phrases that have a term in several slots.
     """
-    if any(not s for s in slots):
-        return 0.0
-    at = [0] * len(slots)
-    value = lambda i: slots[i][at[i]]
-
-    def taken(i: int) -> bool:
-        return may_repeat and any(j != i and slots[j][at[j]] == value(i) for j in range(len(slots)))
-
-    def advance(i: int) -> bool:
-        at[i] += 1
-        while at[i] < len(slots[i]) and taken(i):
-            at[i] += 1
-        return at[i] < len(slots[i])
-
-    if may_repeat:
-        for i in range(1, len(slots)):
-            while any(slots[j][at[j]] == value(i) for j in range(i)):
-                at[i] += 1
-                if at[i] >= len(slots[i]):
-                    return 0.0
-    last, freq, more = max(value(i) for i in range(len(slots))), 0.0, True
-    while more:
-        low = min(range(len(slots)), key=lambda i: (value(i), i))
-        start = value(low)
-        following = min((value(i) for i in range(len(slots)) if i != low), default=start)
-        while value(low) <= following:
-            start = value(low)
-            if not advance(low):
-                more = False
-                break
-        length = last - start
-        if length <= slop:
-            freq += sloppy_freq(length)
-        if more:
-            last = max(last, value(low))
-    return freq
+    if len(slots) < 2 or not all(slots):
+        return float(len(slots[0])) if slots else 0.0
+    found = _windows(slots) if offsets is None else _windows_of_own_words(slots, offsets)
+    return sum(sloppy_freq(n) for n in found if n <= slop)
 
 
 def spans(q: Q.Query, positions: Callable[[str], list[int]]) -> list[Span]:
@@ -75,34 +98,32 @@ def spans(q: Q.Query, positions: Callable[[str], list[int]]) -> list[Span]:
 
 
 def _unordered(parts: list[list[Span]], slop: int) -> list[Span]:
-    if any(not p for p in parts):
-        return []
-    at, out = [0] * len(parts), []
-    while True:
-        now = [p[i] for p, i in zip(parts, at, strict=True)]
-        low = min(range(len(parts)), key=lambda i: (now[i], i))
-        end = max(s[1] for s in now)
-        if end - now[low][0] - sum(b - a for a, b in now) <= slop:
-            out.append((now[low][0], end))
-        at[low] += 1
-        if at[low] == len(parts[low]):
-            return out
+    """Every clause's next span from each span on, in whatever order, if what lies between them all is no more than ``slop``."""
+    ahead: dict[int, Span] = {}
+    out: list[Span] = []
+    for span, i in sorted(((s, i) for i, part in enumerate(parts) for s in part), reverse=True):
+        ahead[i] = span
+        if len(ahead) == len(parts):
+            end = max(b for _, b in ahead.values())
+            if end - span[0] - sum(b - a for a, b in ahead.values()) <= slop:
+                out.append((span[0], end))
+    return out[::-1]
 
 
 def _ordered(parts: list[list[Span]], slop: int) -> list[Span]:
-    if any(not p for p in parts):
-        return []
-    at, out = [0] * len(parts), []
-    while at[0] < len(parts[0]):
-        for i in range(1, len(parts)):
-            while parts[i][at[i]] < parts[i - 1][at[i - 1]]:
-                at[i] += 1
-                if at[i] == len(parts[i]):
-                    return out
-        now = [p[i] for p, i in zip(parts, at, strict=True)]
-        if now[-1][1] - now[0][0] - sum(b - a for a, b in now) <= slop:
-            out.append((now[0][0], now[-1][1]))
-        at[0] += 1
+    """From each span of the first clause, each next clause's first span that isn't before the one found last, nor before one that an earlier start had to pass."""
+    out: list[Span] = []
+    least = [(-1, -1)] * len(parts)
+    for start in parts[0]:
+        chain = [start]
+        for i, part in enumerate(parts[1:], 1):
+            least[i] = max(least[i], chain[-1])
+            at = bisect_left(part, least[i])
+            if at == len(part):
+                return out
+            chain.append(part[at])
+        if chain[-1][1] - start[0] - sum(b - a for a, b in chain) <= slop:
+            out.append((start[0], chain[-1][1]))
     return out
 
 
