@@ -231,8 +231,8 @@ def test_hamming_index_misses_nothing(radius):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_bpe(spark, small, monkeypatch):
-    if small:  # several slices, lists and parts of the table
-        for name, value in (("SLICE_TEXT", 3000), ("LISTED", 7), ("ENCODED", 50), ("PIECE", 64)):
+    if small:  # several slices, few buckets, short pieces
+        for name, value in (("SLICE_TEXT", 3000), ("BUCKETS", 3), ("PIECE", 64)):
             monkeypatch.setattr(f"textloom.llm.bpe.{name}", value)
     tokenizer, library = byte_bpe(), byte_bpe().load()
     rng = random.Random(4)

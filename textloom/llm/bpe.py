@@ -1,12 +1,12 @@
 """Byte-level BPE through a table of distinct words.
 
 Texts are split into words where they are read. A slice, some megabytes of
-texts, keeps its texts as numbers of its own distinct words, which go to the
-table of distinct words: all equal words meet there, each is encoded once, and
-its ids go back to every slice and place that sent it. Texts are put together
-from these by position. Decoding joins ids with the id-to-piece table, which is
-no larger than the vocabulary and so is broadcast, as an array with the id as
-its key.
+texts, keeps its texts as numbers of its own distinct words and sends these to
+the table of distinct words, in buckets by hash: all equal words meet there,
+each is encoded once, and its ids go back to every slice that sent it, where
+they are joined to the texts by position. Decoding joins ids with the
+id-to-piece table, which is no larger than the vocabulary and so is broadcast,
+as an array with the id as its key.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._numpy import PIECE, raw, slices
-from ._spark import small_batches, staged, text_of
+from ._numpy import PIECE, raw, slices, span_hashes
+from ._spark import small_batches, text_of
 
 #: Texts of about so many bytes share a list of distinct words; a longer text has one of its own.
-SLICE_TEXT = 8 << 20
-#: Words of a slice are listed, and words of the table encoded, so many at a time.
-LISTED, ENCODED = 20_000, 50_000
+SLICE_TEXT = 16 << 20
+#: There is a bucket of the table for so many bytes of text, whose distinct words are some fifth of that in all slices together, but so many at least.
+BUCKET_TEXT, BUCKETS = 128 << 20, 64
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _CONTRACTIONS = (b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d")
@@ -232,6 +232,31 @@ def _zipped(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    data, offsets = raw(words)
+    return span_hashes(data, offsets[:-1], offsets[1:])  # no word is empty
+
+
+def _print_of(words: pa.Array) -> int:
+    """31 bits that tell lists of words apart."""
+    h = _word_hashes(words)
+    return int((h * (np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum() >> np.uint64(33))
+
+
+def _listed(words: pa.Array) -> bytes:
+    """Words as a compressed string, their lengths before them."""
+    data, offsets = raw(words)
+    lengths = np.diff(offsets).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(lengths)], "<u4").tobytes() + lengths.tobytes() + data.tobytes())
+
+
+def _unlisted(x: bytes) -> pa.Array:
+    plain = zstandard.ZstdDecompressor().decompress(x)
+    n = int(np.frombuffer(plain, "<u4", count=1)[0])
+    ends = np.concatenate(([0], np.cumsum(np.frombuffer(plain, "<u4", count=n, offset=4)))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(plain[4 + 4 * n :]))
+
+
 def _unzipped(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
@@ -247,45 +272,59 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
     empty texts have no ids. Rows that repeat stay apart, further columns pass
     unchanged, and an empty table stays empty. A very long text is a slice of
     its own, whose words are split piece by piece.
+
+    Slices follow the order in which rows are read, and their exchange feeds
+    both the table and the texts. Should rows be read again in another order,
+    after the loss of an executor, slices no longer fit their words: that is
+    an error, never a wrong result. Tables on disk are read in one order.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    types = dict(docs.dtypes)
     others = [c for c in docs.columns if c not in ("ids", decoded, text_col)]
+    own = [f"__c{i}" for i in range(len(others))]
     classes = spark.sparkContext.broadcast(char_classes())
     pieces = spark.sparkContext.broadcast(tokenizer.pieces()) if decoded else None
-    passed = [f"`__c{i}` {dict(docs.dtypes)[c]}" for i, c in enumerate(others)]
-    kept = ", ".join(["__slice long", "__row int", *passed, "__codes binary"])
+    texts = docs.select(text_of(text_col).alias("__text"), *[F.col(f"`{c}`").alias(o) for c, o in zip(others, own, strict=True)])
+    size = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    buckets = max(BUCKETS, -(-size // BUCKET_TEXT))
+    names = ["__slice", "__row", *own, "__n", "__codes", "__bucket", "__numbers", "__words"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of texts (numbers of words, compressed) and rows of a slice's words (with the number of the first of them)."""
+        """Rows of texts with the numbers of their words, and for every bucket a row of the slice's words and their numbers."""
         number = TaskContext.get().partitionId() << 32
         rows, ends, words, size = [], [], [], 0
 
         def slice_of() -> Iterator[pa.RecordBatch]:
             known = pa.concat_arrays(words).dictionary_encode()
-            every, number_of, begin = known.dictionary, known.indices.to_numpy(), 0
+            code = known.indices.to_numpy()
+            order = np.argsort(-np.bincount(code, minlength=len(known.dictionary)), kind="stable")  # frequent words have small numbers
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            row = at = 0
             for part, end in zip(rows, ends, strict=True):
-                code = number_of[begin : begin + int(end[-1])]
-                begin += int(end[-1])
-                packed = [_zipped(code[a:b]) for a, b in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
-                n = len(packed)
+                n, total = len(end) - 1, int(end[-1])
+                codes = [_zipped(rank[code[at : at + total]]), *[None] * (n - 1)]
+                at += total
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), pa.array(np.arange(n, dtype=np.int32)), *part, pa.array(packed, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], names=names,
+                    [pa.array(np.full(n, number)), pa.array(np.arange(row, row + n, dtype=np.int32)), *part, pa.array(np.diff(end).astype(np.int32)), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names,
                 )
-            for at in range(0, len(every), LISTED):
-                some = every.slice(at, LISTED)
+                row += n
+            each = known.dictionary
+            bucket = (_word_hashes(each) % np.uint64(buckets)).astype(np.int32)
+            by = pc.sort_indices(pa.table({"bucket": bucket, "word": each}), sort_keys=[("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+            to, first = np.unique(bucket[by], return_index=True)
+            for b, i, j in zip(to.tolist(), first.tolist(), np.append(first, len(by))[1:].tolist(), strict=True):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([at], pa.int32()), *[pa.nulls(1, x.type) for x in rows[0]], pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)], names=names,
+                    [pa.array([number]), pa.nulls(1, pa.int32()), *[pa.nulls(1, x.type) for x in rows[0]], pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([b], pa.int32()), pa.array([_zipped(rank[by[i:j]])], pa.binary()), pa.array([_listed(each.take(pa.array(by[i:j])))], pa.binary())], names=names,
                 )
 
         for batch in batches:
-            names = ["__slice", "__row", *[f"__c{i}" for i in range(len(others))], "__codes", "__words"]
             for part, end, found in _flat(batch, 0, classes.value, tokenizer.added):
-                text = part.column(0)
                 rows.append(part.columns[1:])
                 ends.append(end)
                 words.append(found)
-                size += text.nbytes
+                size += part.column(0).nbytes
                 if size >= SLICE_TEXT:
                     yield from slice_of()
                     rows, ends, words, size = [], [], [], 0
@@ -293,87 +332,61 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
         if rows:
             yield from slice_of()
 
-    texts = docs.select(text_of(text_col).alias("__text"), *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(others)])
-    parts = staged(texts.mapInArrow(split, f"{kept}, __words array<string>"), "slices")
-    listed = parts.filter("__codes is null").select("__slice", F.col("__row").alias("first"), F.posexplode("__words").alias("pos", "word"))
-    sent = listed.select("word", "__slice", (F.col("first") + F.col("pos")).alias("code")).repartition("word").sortWithinPartitions("word")
-
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Equal words stand one behind the other: each different one is encoded once, and its ids are handed to all that sent it."""
-        made = tokenizer.load()
-        last, last_ids = None, np.zeros(0, np.int32)
-        held: list[pa.RecordBatch] = []
-
-        def handed_out() -> pa.RecordBatch:
-            nonlocal last, last_ids
-            rows = pa.Table.from_batches(held).combine_chunks()
-            each = rows["word"].chunk(0).dictionary_encode()
-            names = each.dictionary.to_pylist()
-            again = bool(names) and names[0] == last
-            ids, sizes = _ids_of(made, names[again:])
-            if again:
-                ids, sizes = np.concatenate((last_ids, ids)), np.append(len(last_ids), sizes)
-            offsets = np.concatenate(([0], np.cumsum(sizes)))
-            last, last_ids = names[-1], ids[offsets[-2] :].copy()
-            of, place = rows["__slice"].to_numpy(), each.indices.to_numpy()
-            order = np.argsort(of, kind="stable")
-            to, first = np.unique(of[order], return_index=True)
-            code = rows["code"].to_numpy()[order]
-            out = []
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
-                own = place[order[a:b]]
-                out.append(_zipped(np.concatenate(([b - a], code[a:b], sizes[own], ragged(ids, offsets, own)))))
-            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(out, pa.binary())], names=["__slice", "__words"])
-
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= ENCODED:
-                yield handed_out()
-                held.clear()
-        if sum(map(len, held)):
-            yield handed_out()
-
-    back = sent.mapInArrow(table, "__slice long, __words binary")
-    nothing = [F.lit(None).cast(dict(docs.dtypes)[c]).alias(f"__c{i}") for i, c in enumerate(others)]
-    met = parts.filter("__codes is not null").select("__slice", "__row", *[f"__c{i}" for i in range(len(others))], "__codes", F.lit(None).cast("binary").alias("__words"))
-    met = met.unionByName(back.select("__slice", F.lit(None).cast("int").alias("__row"), *nothing, F.lit(None).cast("binary").alias("__codes"), "__words"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in others] + ["ids array<int>"] + ([f"`{decoded}` string"] if decoded else []))
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One slice: its words' ids by number, then its texts, a few at a time."""
-        rows: list[pa.RecordBatch] = []
+    sliced = texts.mapInArrow(split, ", ".join(["__slice long, __row int", *[f"{o} {types[c]}" for c, o in zip(others, own, strict=True)], "__n int, __codes binary, __bucket int, __numbers binary, __words binary"]))
+
+    def sent(slice_: pa.Table) -> pa.Table:
+        return slice_.filter(pc.is_valid(slice_["__bucket"])).select(["__bucket", "__slice", "__words"])
+
+    def table(bucket: pa.Table) -> pa.Table:
+        """A bucket of the table: each different word is encoded once, and its ids are handed to all slices that sent it."""
+        lists = [_unlisted(x.as_py()) for x in bucket["__words"]]
+        known = pa.concat_arrays(lists).dictionary_encode()
+        ids, sizes = _ids_of(tokenizer.load(), known.dictionary.to_pylist())
+        offsets, place = np.concatenate(([0], np.cumsum(sizes))), known.indices.to_numpy()
+        out, at = [], 0
+        for words in lists:
+            own = place[at : at + len(words)]
+            at += len(words)
+            out.append(_zipped(np.concatenate(([len(own), _print_of(words)], sizes[own], ragged(ids, offsets, own)))))
+        return pa.table({"__slice": bucket["__slice"], "__bucket": bucket["__bucket"], "__ids": pa.array(out, pa.binary())})
+
+    words = sliced.groupBy("__slice").applyInArrow(sent, "__bucket int, __slice long, __words binary")
+    encoded = words.groupBy("__bucket").applyInArrow(table, "__slice long, __bucket int, __ids binary")
+
+    def assemble(slice_: pa.Table, encoded: pa.Table) -> pa.Table:
+        """A slice: its words' ids by their numbers, then its texts, a few at a time."""
+        ids_of = {b: _unzipped(x.as_py()) for b, x in zip(encoded["__bucket"].to_pylist(), encoded["__ids"], strict=True)}
         number, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            column = batch.column(len(others) + 3)
-            rows.append(batch.filter(pc.is_null(column)).select(list(range(2, len(others) + 3))))
-            for packed in column.drop_null():
-                x = _unzipped(packed.as_py())
-                n = int(x[0])
-                number.append(x[1 : n + 1])
-                sizes.append(x[n + 1 : 2 * n + 1])
-                ids.append(x[2 * n + 1 :])
+        lists = slice_.filter(pc.is_valid(slice_["__bucket"])).select(["__bucket", "__numbers", "__words"])
+        for b, numbers, packed in zip(*(lists[c] for c in lists.column_names), strict=True):
+            x, n = ids_of.pop(b.as_py(), np.zeros(2, np.int64)), _unzipped(numbers.as_py())
+            if len(n) != x[0] or _print_of(_unlisted(packed.as_py())) != x[1]:
+                raise RuntimeError("a slice's words are not those that were encoded: its rows were read again in another order")
+            number.append(n)
+            sizes.append(x[2 : len(n) + 2])
+            ids.append(x[len(n) + 2 :])
         number, sizes, ids = np.concatenate(number), np.concatenate(sizes), np.concatenate(ids).astype(np.int32)
         place = np.empty(len(number), dtype=np.int64)
         place[number] = np.arange(len(number))
         offsets = np.concatenate(([0], np.cumsum(sizes)))
-        for batch in rows:
-            at = 0
-            while at < batch.num_rows:
-                code, total = [], 0
-                while at + len(code) < batch.num_rows and total < PIECE // 4:
-                    code.append(_unzipped(batch.column(len(others))[at + len(code)].as_py()))
-                    total += len(code[-1])
-                word = place[np.concatenate(code)]
-                ends = np.concatenate(([0], np.cumsum(offsets[word + 1] - offsets[word])))
-                bounds = ends[np.concatenate(([0], np.cumsum([len(c) for c in code])))]
-                got = ragged(ids, offsets, word)
-                made = [*[x.slice(at, len(code)) for x in batch.columns[:-1]], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(got))]
-                if decoded:
-                    made.append(pa.array(_texts_of(pieces.value, got, bounds), pa.string()))
-                yield pa.RecordBatch.from_arrays(made, names=[*others, "ids", *([decoded] if decoded else [])])
-                at += len(code)
-
-    return met.groupBy("__slice").applyInArrow(assemble, schema)
+        rows = slice_.filter(pc.is_valid(slice_["__row"])).sort_by("__row")
+        packed = rows["__codes"].combine_chunks()
+        heads = np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False))
+        per_row = rows["__n"].to_numpy()
+        done = []
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(rows)], strict=True):
+            word = place[_unzipped(packed[i].as_py())]
+            ends = np.concatenate(([0], np.cumsum(offsets[word + 1] - offsets[word])))
+            bounds = ends[np.concatenate(([0], np.cumsum(per_row[i:j])))]
+            got = ragged(ids, offsets, word)
+            made = [*[rows[o].slice(i, j - i) for o in own], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(got))]
+            if decoded:
+                made.append(pa.array(_texts_of(pieces.value, got, bounds), pa.string()))
+            done.append(pa.table(made, names=[*others, "ids", *([decoded] if decoded else [])]))
+        return pa.concat_tables(done)
+
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in others] + ["ids array<int>"] + ([f"`{decoded}` string"] if decoded else []))
+    return sliced.groupBy("__slice").cogroup(encoded.groupBy("__slice")).applyInArrow(assemble, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
