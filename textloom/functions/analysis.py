@@ -170,7 +170,28 @@ class StopFilter:
 class HyphenFilter:
     """e-mail becomes email, and e and mail at the same place and the next."""
 
-    column = None
+    def column(self, terms: Column) -> Column:
+        """Parts shift what follows: all but the first take a place of their own."""
+
+        def parts(t: Column) -> Column:
+            return F.filter(F.split(t["term"], "-"), lambda p: p != "")
+
+        def spread(t: Column) -> Column:
+            own = F.array(F.struct(F.regexp_replace(t["term"], "-", "").alias("term"), F.lit(0).alias("pos")))
+            return F.concat(own, F.transform(parts(t), lambda p, i: F.struct(p.alias("term"), i.alias("pos"))))
+
+        hyphened = lambda t: t["term"].rlike(r"\A\p{L}+(?:-\p{L}*)+\z")
+        more = F.transform(terms, lambda t: F.when(hyphened(t), F.size(parts(t)) - 1).otherwise(0))
+        lists = F.transform(
+            F.arrays_zip(terms.alias("t"), more.alias("more")),
+            lambda x, i: F.transform(
+                F.when(hyphened(x["t"]), spread(x["t"])).otherwise(F.array(F.struct(x["t"]["term"].alias("term"), F.lit(0).alias("pos")))),
+                lambda p: F.struct(p["term"].alias("term"), (p["pos"] + x["t"]["pos"]).cast("int").alias("pos"), i.alias("of")),
+            ),
+        )
+        before = F.aggregate(more, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        shifted = F.transform(F.flatten(lists), lambda t: F.struct(t["term"].alias("term"), (t["pos"] + F.get(before, t["of"])).cast("int").alias("pos")))
+        return F.when(F.exists(more, lambda n: n > 0), shifted).otherwise(terms)
 
     def apply(self, tokens: Iterable[Token]) -> Iterator[Token]:
         for t in tokens:
@@ -254,6 +275,22 @@ class Analyzer:
     def for_field(self, name: str) -> Analyzer:
         return self
 
+    def offsets(self, text: Column) -> Column:
+        """array<struct<term, pos, start, end>> with places in code points."""
+
+        def run(texts: pa.Array) -> pa.Array:
+            out = []
+            for text in texts.to_pylist():
+                pos, terms = -1, []
+                for t in self.tokens(text) if text is not None else ():
+                    pos += t.pos_inc
+                    terms.append({"term": t.text, "pos": max(pos, 0), "start": t.start, "end": t.end})
+                out.append(terms)
+            return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
+
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "array<struct<term:string,pos:int,start:int,end:int>>")(text)
+
     def _function(self):
         def run(texts: pa.Array) -> pa.Array:
             out = []

@@ -21,9 +21,15 @@ def length_norm(n: Column) -> Column:
 
 
 def stored_norm(x: Column) -> Column:
-    """What a norm is after its byte: a power of two times 1, 1.25, 1.5 or 1.75, truncated."""
+    """What a norm is after its byte: a power of two times 1, 1.25, 1.5 or 1.75, truncated.
+
+    Fixed values: powers go from -31 to 32; what is larger is the largest, what
+    is smaller the smallest, and the byte for 2 ** -31 itself means 0.
+    """
     power = F.pow(F.lit(2.0), F.floor(F.log2(x)))
-    return F.when(x > 0, F.floor(x / power * 4) / 4 * power).otherwise(0.0)
+    small, large = 2.0**-31, 2.0**32
+    plain = F.when(x >= 2 * large, 1.75 * large).when(x < small, 1.25 * small).when(x < 1.25 * small, 0.0).otherwise(F.floor(x / power * 4) / 4 * power)
+    return F.when(x > 0, plain).otherwise(0.0)
 
 
 def query_norm(squares: float) -> float:

@@ -71,6 +71,17 @@ def compact(ranges: list[Range], breaks: bool = True) -> list[tuple[int, int, fl
     return out
 
 
+def vectors(q: Q.Query, breaks: bool):
+    """A function from a column of {term: positions} to its compacted ranges."""
+
+    def run(maps: pa.Array) -> pa.Array:
+        found = [compact(list(matched(q, dict(m))), breaks) for m in maps.to_pylist()]
+        return pa.array([[{"first": a, "last": b, "score": s} for a, b, s in x] for x in found], pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())])))
+
+    run.__annotations__ = {"maps": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<struct<first:int,last:int,score:double>>")
+
+
 @dataclass(frozen=True)
 class Highlighter:
     excerpt_length: int | None = 150  # None: the whole field

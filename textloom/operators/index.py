@@ -95,6 +95,7 @@ class SearchIndex:
     deletes: DataFrame | None = None
     max_doc_known: int | None = None
     max_field_length: int | None = MAX_FIELD_LENGTH  # also for what is added
+    dictionary: DataFrame | None = None  # field, term, doc_freq, total_freq, where they are kept
     _memo: dict = field(default_factory=dict, compare=False, repr=False)
 
     # Building
@@ -125,7 +126,14 @@ class SearchIndex:
 
     def cached(self) -> SearchIndex:
         """Keep the tables in memory (and on disk where it doesn't hold them)."""
-        return replace(self, postings=self.postings.persist(), norms=self.norms.persist(), _memo={})
+        kept = replace(self, postings=self.postings.persist(), norms=self.norms.persist(), dictionary=None, _memo={})
+        return replace(kept, dictionary=kept.term_stats.persist())
+
+    def released(self) -> None:
+        """Give up what ``cached`` keeps."""
+        for df in (self.postings, self.norms, self.dictionary):
+            if df is not None:
+                df.unpersist()
 
     # Documents
     @property
@@ -168,7 +176,9 @@ class SearchIndex:
     # Dictionary and postings
     @property
     def term_stats(self) -> DataFrame:
-        """field, term, doc_freq, total_freq; deleted documents count until ``optimize``."""
+        """field, term, doc_freq, total_freq; deleted documents count until ``optimize``. Kept ones are read, others counted."""
+        if self.dictionary is not None:
+            return self.dictionary
         if "stats" not in self._memo:
             self._memo["stats"] = self.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("freq").cast("long").alias("total_freq"))
         return self._memo["stats"]
@@ -189,8 +199,8 @@ class SearchIndex:
             for name, term in missing:
                 by_field.setdefault(name, []).append(term)
             wanted = reduce(lambda a, b: a | b, [(F.col("field") == n) & F.col("term").isin(ts) for n, ts in by_field.items()])
-            for r in self.postings.filter(wanted).groupBy("field", "term").count().collect():
-                known[r["field"], r["term"]] = r["count"]
+            for r in self.term_stats.filter(wanted).select("field", "term", "doc_freq").collect():
+                known[r["field"], r["term"]] = r["doc_freq"]
         return {t: known.setdefault(t, 0) for t in terms}
 
     def doc_freq(self, name: str, term: str) -> int:
@@ -206,9 +216,27 @@ class SearchIndex:
     def term_vector(self, doc_id: int, name: str) -> DataFrame:
         return self.term_vectors(doc_id).filter(F.col("field") == name).drop("field").orderBy("term")
 
-    def term_vectors(self, doc_id: int) -> DataFrame:
+    def term_vectors(self, doc_id: int | None = None) -> DataFrame:
+        """(field, term, freq, positions) of a document; of all documents, with doc_id, if none is named."""
+        if doc_id is None:
+            return self.live(self.postings).select("doc_id", "field", "term", "freq", "positions")
         return self.live(self.postings.filter(F.col("doc_id") == doc_id)).select("field", "term", "freq", "positions").orderBy("field", "term")
 
+    def term_offsets(self, name: str, docs: DataFrame | None = None) -> DataFrame:
+        """(doc_id, term, pos, start, end) of a stored field's tokens, in code points: a term vector's offsets, from the stored text."""
+        rows = self.docs() if docs is None else self.docs().join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+        return rows.select("doc_id", F.inline(self.analyzer.for_field(name).offsets(F.col(f"`{name}`"))))
+
+    def terms_json(self, name: str, start: str | None = None, fast: bool = False) -> DataFrame:
+        """A field's dictionary, in order, as JSON: {"term", "frequency"}, or pairs of these."""
+        entry = F.format_string("[%s,%d]", F.to_json(F.array("term")).substr(F.lit(2), F.length(F.to_json(F.array("term"))) - 2), F.col("doc_freq")) if fast else F.to_json(F.struct("term", F.col("doc_freq").alias("frequency")))
+        return self.terms(name, start).select("term", entry.alias("json"))
+
+    def term_docs_json(self, name: str, term: str) -> DataFrame:
+        """A term's postings, in order, as JSON: {"document", "frequency", "positions"}."""
+        found = self.live(self.postings.filter((F.col("field") == name) & (F.col("term") == term)))
+        return found.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("document"), F.col("freq").alias("frequency"), "positions")).alias("json")).orderBy("doc_id")
+
     def set_norms(self, changes: DataFrame) -> SearchIndex:
         """Overwrite norms by (doc_id, field, norm)."""
         new = changes.select("doc_id", "field", similarity.stored_norm(F.col("norm").cast("double")).alias("__new"))
@@ -241,7 +269,7 @@ class SearchIndex:
         def renumber(df: DataFrame) -> DataFrame:
             return df.join(numbers, "doc_id").withColumn("doc_id", F.col("__new")).select(*df.columns)
 
-        return replace(self, stored=kept.select("doc_id", *[c for c in self.stored.columns if c != "doc_id"]), postings=renumber(self.postings), norms=renumber(self.norms), deletes=None, max_doc_known=None, _memo={})
+        return replace(self, stored=kept.select("doc_id", *[c for c in self.stored.columns if c != "doc_id"]), postings=renumber(self.postings), norms=renumber(self.norms), deletes=None, max_doc_known=None, dictionary=None, _memo={})
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", key: list[str] | None = None, boost_col: str | None = None) -> SearchIndex:
         """Append documents, numbered on from the last; with ``key``, they replace those that have the same, and of new ones the last stays."""
@@ -269,9 +297,14 @@ class SearchIndex:
         return replace(
             self,
             stored=ours.unionByName(theirs, allowMissingColumns=True), postings=self.postings.unionByName(moved(other.postings)), norms=self.norms.unionByName(moved(other.norms)),
-            fields=fields, deletes=reduce(lambda a, b: a.unionByName(b), gone).distinct() if gone else None, max_doc_known=None, _memo={},
+            fields=fields, deletes=reduce(lambda a, b: a.unionByName(b), gone).distinct() if gone else None, max_doc_known=None, dictionary=self._both_dictionaries(other), _memo={},
         )
 
+    def _both_dictionaries(self, other: SearchIndex) -> DataFrame | None:
+        if self.dictionary is None:
+            return None
+        return self.dictionary.unionByName(other.term_stats).groupBy("field", "term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq"))
+
     def update(self, found: DataFrame, changes: dict[str, Column]) -> SearchIndex:
         """Delete the documents in ``found`` (doc_id) and add them again with ``changes``."""
         rows = self.docs().join(found.select("doc_id").distinct(), "doc_id", "left_semi").withColumns(changes)

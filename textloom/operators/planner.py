@@ -24,6 +24,10 @@ from .filters import RangeFilter
 from .index import SearchIndex
 
 
+#: Documents of the rarest part of a conjunction go to all executors up to so many.
+RARE = 1_000_000
+
+
 def _bytewise(term: Column) -> Column:
     """A string with one character for each byte."""
     return F.decode(F.encode(term, "UTF-8"), "ISO-8859-1")
@@ -38,7 +42,7 @@ def rewrite(q: Q.Query, index: SearchIndex) -> Q.Query:
 
 def _dictionary(index: SearchIndex, name: str, condition: Column, limit: int) -> list[str]:
     """The first terms of a field that fit, in byte order: ``limit`` of them, which the query sets."""
-    found = index.postings.filter((F.col("field") == name) & condition).select("term").distinct()
+    found = index.term_stats.filter((F.col("field") == name) & condition).select("term")
     return [r["term"] for r in found.orderBy("term").limit(limit).collect()]
 
 
@@ -102,7 +106,7 @@ def _fuzzy(q: Q.FuzzyQuery, index: SearchIndex) -> Q.Query:
     if q.prefix_length >= len(q.term.encode()):
         return Q.TermQuery(q.field, q.term, boost=q.boost)
     prefix = q.term.encode()[: q.prefix_length].decode("utf-8", "ignore")
-    found = index.postings.filter((F.col("field") == q.field) & F.col("term").startswith(prefix)).select("term").distinct()
+    found = index.term_stats.filter((F.col("field") == q.field) & F.col("term").startswith(prefix)).select("term")
     scored = found.withColumn("s", fuzzy_similarity(F.col("term"), q)).filter(F.col("s") > q.min_similarity)
     best = scored.orderBy(F.desc("s"), "term").limit(q.max_terms).collect()
     return Q.MultiTermQuery(q.field, tuple((r["term"], r["s"]) for r in best), q.max_terms)
@@ -211,6 +215,20 @@ class Planner:
     def _postings(self, name: str, terms: list[str]) -> DataFrame:
         return self.index.postings.filter((F.col("field") == name) & F.col("term").isin(terms))
 
+    def _only_with(self, rows: DataFrame, needed: list[tuple[str, list[str]]], terms: set[tuple[str, str]]) -> DataFrame:
+        """``rows`` of documents that have the rarest of what is ``needed``, where it is rare enough to tell them early.
+
+        Each part needed is a field and terms one of which a document must
+        have. The rarest part's documents are broadcast if there are RARE of
+        them at most and they are few beside the postings of all ``terms``.
+        """
+        sizes = [(sum(self.dfs[name, t] for t in ts), name, ts) for name, ts in needed]
+        total = sum(self.dfs[t] for t in terms)
+        if not sizes or min(sizes)[0] > RARE or min(sizes)[0] * 8 > total:
+            return rows
+        _, name, ts = min(sizes)
+        return rows.join(F.broadcast(self._postings(name, ts).select("doc_id").distinct()), "doc_id", "left_semi")
+
     @staticmethod
     def _scored(freqs: DataFrame, w: Weight) -> DataFrame:
         return freqs.filter("freq > 0").select("doc_id", (F.sqrt("freq") * F.lit(w.value) * F.col("norm")).alias("score"))
@@ -230,7 +248,8 @@ class Planner:
 
     def phrase_slots(self, q: Q.PhraseQuery) -> DataFrame:
         """Per document the norm and, for each slot, its positions less the slot's offset."""
-        rows = self._postings(q.field, sorted({t for _, ts in q.slots for t in ts}))
+        terms = self._terms(q)
+        rows = self._only_with(self._postings(q.field, sorted(t for _, t in terms)), [(q.field, list(ts)) for _, ts in q.slots], terms)
 
         def shifted(at: int):
             return lambda p: p - at
@@ -256,9 +275,13 @@ class Planner:
         return found.select("doc_id", "norm", freq.alias("freq"))
 
     def spans(self, q: Q.Query) -> DataFrame:
-        """(doc_id, norm, spans) of all documents that have any of the terms."""
-        terms = sorted(positional.span_terms(q))
-        rows = self._postings(Q.span_field(q), terms).groupBy("doc_id").agg(F.max("norm").alias("norm"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+        """(doc_id, norm, spans) of the documents that have a term of every part that must be there."""
+        name, terms = Q.span_field(q), sorted(positional.span_terms(q))
+        needed = [sorted(x) for x in positional.needed(q)]
+        rows = self._only_with(self._postings(name, terms), [(name, x) for x in needed], {(name, t) for t in terms}).groupBy("doc_id")
+        rows = rows.agg(*[F.max(F.col("term").isin(x)).alias(f"has{i}") for i, x in enumerate(needed)], F.max("norm").alias("norm"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+        for i in range(len(needed)):
+            rows = rows.filter(f"has{i}")
         if isinstance(q, Q.SpanTermQuery):
             found = F.transform(F.element_at("m", q.term), lambda p: F.struct(p.alias("start"), (p + 1).alias("end")))
             return rows.select("doc_id", "norm", found.alias("spans"))
@@ -306,5 +329,6 @@ class Planner:
             by_field.setdefault(c.query.field, set()).add(c.query.term)
         wanted = reduce(lambda a, b: a | b, [(F.col("field") == n) & F.col("term").isin(sorted(ts)) for n, ts in by_field.items()])
         own = F.array_compact(F.array(*[F.when(fits(c), F.struct(F.lit(p.value).alias("value"), F.lit(c.occur).alias("occur"))) for c, _, p in plans]))
-        rows = self.index.postings.filter(wanted).select("doc_id", "freq", "norm", F.inline(own))
+        musts = [(c.query.field, [c.query.term]) for c, _, _ in plans if c.required]
+        rows = self._only_with(self.index.postings.filter(wanted), musts, {(n, t) for n, ts in by_field.items() for t in ts}).select("doc_id", "freq", "norm", F.inline(own))
         return [rows.select("doc_id", (similarity.tf(F.col("freq")) * F.col("value") * F.col("norm")).alias("score"), "occur")]

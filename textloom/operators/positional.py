@@ -127,6 +127,17 @@ def _ordered(parts: list[list[Span]], slop: int) -> list[Span]:
     return out
 
 
+def needed(q: Q.Query) -> list[set[str]]:
+    """Sets of terms, one of each of which a document must have to match."""
+    if isinstance(q, Q.SpanNearQuery):
+        return [x for c in q.clauses for x in needed(c)]
+    if isinstance(q, Q.SpanNotQuery):
+        return needed(q.include)
+    if isinstance(q, Q.SpanFirstQuery):
+        return needed(q.match)
+    return [span_terms(q)]
+
+
 def span_terms(q: Q.Query) -> set[str]:
     if isinstance(q, Q.SpanTermQuery):
         return {q.term}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 from ..plans.parser import QueryParser
 from . import query as Q
-from .highlight import Highlighter, highlight
+from .highlight import Highlighter, highlight, vectors
 from .index import SearchIndex
 from .planner import Planner, Weight, rewrite
 
@@ -180,7 +180,7 @@ class Searcher:
         """An auto field's type is told by its first term."""
         if s.kind != "auto":
             return s
-        first = self.index.postings.filter(F.col("field") == s.name).agg(F.min("term")).first()[0]
+        first = self.index.term_stats.filter(F.col("field") == s.name).agg(F.min("term")).first()[0]
         if first is None:
             raise ValueError(f"cannot sort by {s.name!r}, which has no terms")
         kind = "integer" if re.fullmatch(r"\s*[+-]?\d+", first) else "float" if re.fullmatch(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", first) else "string"
@@ -221,6 +221,13 @@ class Searcher:
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")))
         return ranked.filter(F.col("rank") <= limit)
 
+    def match_vector(self, q: Q.Query | str, field: str, breaks: bool = True) -> DataFrame:
+        """(doc_id, first, last, score): the ranges of positions in a field that a query matches, overlapping ones as one (without breaks neighbours too)."""
+        own = rewrite(_in_field(self.query(q), field) or Q.BooleanQuery(), self.index)
+        terms = sorted(t for _, t in self.planner._terms(own))
+        at = self.planner._postings(field, terms).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+        return self.index.live(at).select("doc_id", F.inline(vectors(own, breaks)("m")))
+
     def highlight(self, q: Q.Query | str, field: str, docs: DataFrame | None = None, excerpt_length: int | None = 150, num_excerpts: int = 2, **tags) -> DataFrame:
         """(doc_id, excerpts) of the documents in ``docs`` (doc_id), or of the ten best."""
         plain = self.query(q)
@@ -234,6 +241,20 @@ class Searcher:
         weight = self.planner.weigh(rewrite(self.query(q), self.index))
         return self._explain(weight, doc_id)
 
+    def explain_all(self, q: Q.Query | str) -> DataFrame:
+        """For every document that a boolean query over plain clauses matches: (doc_id, score, sum, coord, clauses matched), in one plan."""
+        weight = self.planner.weigh(rewrite(self.query(q), self.index))
+        plain = weight.query
+        if not isinstance(plain, Q.BooleanQuery):
+            return self.index.live(self.planner._plan(weight)).select("doc_id", "score", F.col("score").alias("sum"), F.lit(1.0).alias("coord"), F.lit(1).cast("long").alias("matched"))
+        whole = self.planner._plan(weight)
+        plans = [(c, self.planner._plan(p)) for c, p in zip(plain.clauses, weight.parts, strict=True) if not c.prohibited]
+        parts = reduce(DataFrame.unionByName, [df.select("doc_id", F.col("score").alias("part")) for _, df in plans if df is not None])
+        sums = parts.groupBy("doc_id").agg(F.sum("part").alias("sum"), F.count(F.lit(1)).alias("matched"))
+        possible = sum(df is not None for _, df in plans)
+        coord = F.col("matched") / F.lit(float(possible)) if plain.coord else F.lit(1.0)
+        return self.index.live(whole).join(sums, "doc_id").select("doc_id", "score", "sum", coord.alias("coord"), "matched")
+
     def _explain(self, w: Weight, doc_id: int) -> Explanation:
         q, here = w.query, F.col("doc_id") == doc_id
         if isinstance(q, Q.BooleanQuery):
