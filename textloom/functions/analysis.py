@@ -221,6 +221,15 @@ class MappingFilter:
         for t in tokens:
             yield Token(t.start, t.end, self.map(t.text), t.pos_inc)
 
+    def text_column(self, text: Column) -> Column:
+        """Whole texts mapped, where they are."""
+
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([None if t is None else self.map(t) for t in texts.to_pylist()], pa.string())
+
+        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "string")(text)
+
 
 @dataclass(frozen=True)
 class StemFilter:

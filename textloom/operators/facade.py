@@ -6,7 +6,7 @@ import heapq
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer, PerFieldAnalyzer, standard_analyzer
@@ -17,6 +17,7 @@ from .index import SearchIndex, with_doc_ids
 from .schema import FieldInfos, FieldSpec
 from .search import Explanation, Searcher, TopDocs, iterate
 
+SETTLE_AFTER = 8
 Documents = DataFrame | Iterable[dict | str | list]
 
 
@@ -39,8 +40,13 @@ class Index:
             self.infos = self.index.fields
 
     def __setattr__(self, name: str, value: Any) -> None:
-        """A changed index is written out at once, or changes would pile up in its plan."""
-        super().__setattr__(name, store.settled(value) if name == "index" and value is not None and "index" in self.__dict__ else value)
+        """An index that was changed SETTLE_AFTER times is written out, or changes would pile up in its plan."""
+        if name == "index" and value is not None and "index" in self.__dict__:
+            changes = self.__dict__.get("_changes", 0) + 1
+            if changes >= SETTLE_AFTER:
+                value, changes = store.settled(value), 0
+            self.__dict__["_changes"] = changes
+        super().__setattr__(name, value)
 
     # State
     @property
@@ -151,12 +157,12 @@ class Index:
     def doc(self, what: int | str) -> dict | None:
         """The first document of that number or id."""
         row = self.state.docs().join(self._ids(what), "doc_id", "left_semi").orderBy("doc_id").first()
-        return None if row is None else row.asDict(recursive=True)
+        return None if row is None else LazyDoc(row)
 
     def __getitem__(self, what: int | str | slice):
         if isinstance(what, slice):
             start, stop, _ = what.indices(self.state.max_doc)
-            return [r.asDict(recursive=True) for r in self.state.documents(start, stop - start).collect()]
+            return [LazyDoc(r) for r in self.state.documents(start, stop - start).collect()]
         return self.doc(what)
 
     # Changing
@@ -209,6 +215,61 @@ class Index:
         return self.add(store.import_jsonl(self.spark, path).drop("doc_id"))
 
 
+class LazyDoc(dict):
+    """A stored document as a dictionary of its fields that have values, with its number, and some ways to take it apart."""
+
+    def __init__(self, row: Row | dict):
+        values = row.asDict(recursive=True) if isinstance(row, Row) else dict(row)
+        self.number = values.pop("doc_id", None)
+        super().__init__({"doc_id": self.number} | {k: v for k, v in values.items() if v is not None})
+
+    @property
+    def fields(self) -> list[str]:
+        return [k for k in self if k != "doc_id"]
+
+    def fetch(self, name: str, *default: Any) -> Any:
+        return self[name] if name in self or not default else default[0]
+
+    def dig(self, name: str, *rest: Any) -> Any:
+        value = self.get(name)
+        for key in rest:
+            value = value.get(key) if isinstance(value, dict) else value[key] if value is not None and len(value) > key else None
+        return value
+
+    def values_at(self, *names: str) -> list[Any]:
+        return [self.get(n) for n in names]
+
+    def slice(self, *names: str) -> dict:
+        return {n: self[n] for n in names if n in self}
+
+    def without(self, *names: str) -> dict:
+        return {k: v for k, v in self.items() if k not in names}
+
+    def select(self, test: Callable[[str, Any], bool]) -> dict:
+        return {k: v for k, v in self.items() if test(k, v)}
+
+    def reject(self, test: Callable[[str, Any], bool]) -> dict:
+        return {k: v for k, v in self.items() if not test(k, v)}
+
+    def merge(self, other: dict) -> dict:
+        return dict(self) | other
+
+    def transform_values(self, change: Callable[[Any], Any]) -> dict:
+        return {k: change(v) for k, v in self.items()}
+
+    def transform_keys(self, change: Callable[[str], str]) -> dict:
+        return {change(k): v for k, v in self.items()}
+
+    def key_of(self, value: Any) -> str | None:
+        return next((k for k, v in self.items() if v == value), None)
+
+    def invert(self) -> dict:
+        return {v: k for k, v in self.items()}
+
+    def to_h(self) -> dict:
+        return dict(self)
+
+
 class BestOf:
     """A queue of at most ``capacity`` items that keeps the largest; the least is on top."""
 
@@ -232,5 +293,16 @@ class BestOf:
     def clear(self) -> None:
         self._heap.clear()
 
+    def adjust(self) -> None:
+        """Put the queue in order again after the top item has changed."""
+        if self._heap:
+            _, n, item = self._heap[0]
+            heapq.heapreplace(self._heap, (self.rank(item), n, item))
+
+    def clone(self) -> BestOf:
+        other = BestOf(self.capacity, self.rank)
+        other._heap, other._n = list(self._heap), self._n
+        return other
+
     def __len__(self) -> int:
         return len(self._heap)

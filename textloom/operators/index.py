@@ -69,7 +69,7 @@ def field_tokens(docs: DataFrame, spec: FieldSpec, analyzer: Analyzer | PerField
     return tokens if max_field_length is None else F.slice(tokens, 1, max_field_length + 1)
 
 
-def _aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+def aligned(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Columns of both that differ in type become arrays of strings, if either is an array, else strings."""
     left, right = dict(a.dtypes), dict(b.dtypes)
     for c in [c for c in a.columns if c in right and left[c] != right[c]]:
@@ -151,6 +151,21 @@ class SearchIndex:
                 self._memo["max_doc"] += 1
         return self._memo["max_doc"]
 
+    def filtered(self, filter) -> DataFrame:
+        """A filter's documents; the same filter is worked out once for an index (``cache_filters`` keeps them in memory, too)."""
+        kept = self._memo.setdefault("filters", {})
+        if filter not in kept:
+            found = filter.docs(self)
+            kept[filter] = found.persist() if self._memo.get("keep") else found
+        return kept[filter]
+
+    def cache_filters(self, on: bool = True) -> SearchIndex:
+        self._memo["keep"] = on
+        if not on:
+            for df in self._memo.pop("filters", {}).values():
+                df.unpersist()
+        return self
+
     def live(self, df: DataFrame) -> DataFrame:
         return df if self.deletes is None else df.join(self.deletes, "doc_id", "left_anti")
 
@@ -250,14 +265,14 @@ class SearchIndex:
     def delete_docs(self, docs: DataFrame) -> SearchIndex:
         """Delete by doc_id; statistics stay until ``optimize``."""
         more = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-        return replace(self, deletes=more.distinct() if self.deletes is None else self.deletes.unionByName(more).distinct(), _memo={k: v for k, v in self._memo.items()})
+        return replace(self, deletes=more.distinct() if self.deletes is None else self.deletes.unionByName(more).distinct(), _memo={k: v for k, v in self._memo.items() if k != "filters"})
 
     def delete_terms(self, name: str, terms: list[str] | str) -> SearchIndex:
         wanted = [terms] if isinstance(terms, str) else terms
         return self.delete_docs(self.postings.filter((F.col("field") == name) & F.col("term").isin(wanted)).select("doc_id"))
 
     def undelete_all(self) -> SearchIndex:
-        return replace(self, deletes=None)
+        return replace(self, deletes=None, _memo={k: v for k, v in self._memo.items() if k != "filters"})
 
     def optimize(self) -> SearchIndex:
         """Drop deleted documents and number the others anew."""
@@ -291,7 +306,7 @@ class SearchIndex:
         def moved(df: DataFrame) -> DataFrame:
             return df.withColumn("doc_id", F.col("doc_id") + shift) if shift else df
 
-        ours, theirs = _aligned(self.stored, moved(other.stored))
+        ours, theirs = aligned(self.stored, moved(other.stored))
         gone = [x for x in (self.deletes, moved(other.deletes) if other.deletes is not None else None) if x is not None]
         fields = FieldInfos(self.fields.default, dict(other.fields.specs | self.fields.specs))
         return replace(

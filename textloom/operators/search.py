@@ -132,7 +132,7 @@ class Searcher:
         """(doc_id, score). ``filter_proc`` gives a column of (doc_id, score): null or false drops, a number scales the score."""
         found = self.planner.hits(self.query(q))
         if filter is not None:
-            found = found.join(filter.docs(self.index), "doc_id", "left_semi")
+            found = found.join(self.index.filtered(filter), "doc_id", "left_semi")
         if filter_proc is not None:
             verdict = filter_proc(F.col("doc_id"), F.col("score"))
             kind = found.select(verdict.alias("v")).schema["v"].dataType.simpleString()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.analysis import Analyzer, PerFieldAnalyzer
@@ -12,17 +13,21 @@ from ..sources import store
 
 
 def append_stream(docs: DataFrame, path: str, analyzer: Analyzer | PerFieldAnalyzer, checkpoint: str, key: list[str] | None = None, fields: FieldInfos | None = None, id_col: str = "doc_id", once: bool = True) -> StreamingQuery:
-    """Index what ``docs`` brings; with ``key``, newer documents replace older ones, and a batch that is repeated changes nothing."""
+    """Index what ``docs`` brings; with ``key``, newer documents replace older ones.
+
+    Every micro-batch is a segment of its own, so its cost doesn't follow the
+    index's size; the manifest keeps the last batch's number, so that one which
+    is repeated after a failure changes nothing.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        where = store.Directory(batch.sparkSession, path)
-        if store.version(where):
-            store.save(store.load(batch.sparkSession, path, analyzer).add(batch, id_col, key), path)
-        else:
-            first = with_doc_ids(batch.withColumnRenamed(id_col, "__given"), ["__given"]).drop("__given")
-            store.save(SearchIndex.build(first, fields or FieldInfos(), analyzer), path)
+        if key:  # of a batch's documents with the same key the last one stays
+            last = Window.partitionBy(*[F.col(f"`{k}`") for k in key]).orderBy(F.desc(id_col))
+            batch = batch.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
+        numbered = with_doc_ids(batch.withColumnRenamed(id_col, "__given"), ["__given"]).drop("__given")
+        store.append(SearchIndex.build(numbered, FieldInfos.load((fields or FieldInfos()).to_json()), analyzer), path, key=key, mark=(checkpoint, number))
 
     writer = docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
