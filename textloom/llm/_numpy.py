@@ -7,6 +7,7 @@ character of several bytes is ever touched.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library, without malloc_trim
+    _LIBC = None
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -32,6 +37,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and idle ones would keep what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts with about ``limit`` bytes together; a longer text is a range of its own."""
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
@@ -40,6 +52,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + limit, side="right")) - 1)
         yield at, to
         at = to
+    if len(texts) and int(ends[-1]) - int(ends[0]) >= limit // 2:
+        give_back()
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
