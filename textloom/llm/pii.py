@@ -1,6 +1,7 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Patterns propose candidate spans. Regex, gazetteer, context and boundary
+Base rules and, beside them, looser patterns, a gazetteer of domains and words
+of context propose candidate spans. Regex, gazetteer, context and boundary
 labelers vote on each (for, against, or not at all). Expectation-maximisation
 over the votes estimates how reliable each labeler is, and so how likely each
 candidate is; on these likelihoods a logistic span classifier is trained, which
@@ -28,17 +29,19 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Spans that the base rules don't have.
+#: Words that announce a number.
+_CALL, _HOST, _PAY = "call|tel|phone|fax|mobile|cell|mobil|ring|dial", "ip|host|server|address|login", "card|visa|amex|mastercard|karte|carte"
+#: Spans that the base rules don't have: looser writings; names before a domain that the gazetteer knows; numbers behind words of context.
 _AT, _DOT = r"(?: ?[(\[] ?at ?[)\]] ?| at )", r"(?: ?[(\[] ?dot ?[)\]] ?| dot |\.)"
 MORE = {
     "email": rf"(?:(?<!{_NAME})|\G){_NAME}++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
-    "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9-])[0-9]{4}(?:[._][0-9]{4}){3}(?![0-9-])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "ip": rf"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{{1,4}}(?::[0-9A-Fa-f]{{1,4}}){{7}}(?![0-9A-Fa-f:])|(?<=\b(?i:{_HOST})[ :=]{{1,3}})[0-9A-Fa-f]{{1,4}}(?::{{1,2}}[0-9A-Fa-f]{{1,4}}){{2,6}}(?![0-9A-Fa-f:])",
+    "card": rf"(?<![0-9-])[0-9]{{4}}(?:[._/][0-9]{{4}}){{3}}(?![0-9-])|(?<=\b(?i:{_PAY})[ :#]{{1,3}})[0-9]{{4}}(?:[._/ -]{{1,2}}[0-9]{{2,7}}){{2,4}}(?![0-9-])",
+    "phone": rf"(?<![0-9+().-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}}(?![0-9-])|(?<=\b(?i:{_CALL})[ .:#]{{1,3}})[0-9(][0-9 ()./-]{{5,18}}[0-9](?![0-9-])",
 }
 #: Cheap tests that a text with such a span passes.
 _HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
-_MORE_HINT = {"email": r"[Aa]t[ )\]]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", "card": r"[0-9]{4}[._][0-9]{4}[._]", "phone": r"[0-9]{3}[.-][0-9]{4}"}
+_MORE_HINT = {"email": r"[Aa]t[ )\]]", "ip": r"[0-9A-Fa-f]:{1,2}[0-9A-Fa-f]{1,4}:", "card": rf"[0-9]{{4}}[._/][0-9]{{4}}[._/]|(?i:{_PAY})[ :#]{{1,3}}[0-9]", "phone": rf"[0-9]{{3}}[.-][0-9]{{4}}|(?i:{_CALL})[ .:#]{{1,3}}[0-9(]"}
 #: Top-level domains, calling codes, card issuers, words near a span.
 TLDS = "com org net edu gov mil int info biz io co ai app dev eu uk us de fr es it nl pl se no dk fi pt ch at be ie cz ru ua tr in cn jp kr br mx ar au nz ca za example test".split()
 CALLING = r"\A\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1268]|2[2-69][0-9]|3[578][0-9]|42[0-3]|5[09][0-9]|67[0-9]|68[0-9]|85[02356]|88[06]|9[679][0-9])"
@@ -97,7 +100,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     spans = spans.withColumn("end", F.sum(F.col("gap") + F.length("m")).over(ordered).cast("long")).withColumn("start", F.col("end") - F.length("m"))
 
     digits = F.length(_digits(F.col("m")))
-    valid = _by_kind({"email": F.lit(True), "ip": F.when(F.col("base"), _small_parts(F.col("m"))).otherwise(True), "card": F.when(digits.between(14, 19), luhn(_digits(F.col("m")))).otherwise(False), "phone": digits.between(10, 15)})
+    valid = _by_kind({"email": F.lit(True), "ip": F.when(F.col("base"), _small_parts(F.col("m"))).otherwise(True), "card": F.when(digits.between(14, 19), luhn(_digits(F.col("m")))).otherwise(False), "phone": digits.between(F.when(F.col("base"), 10).otherwise(7), 15)})
     spans = spans.withColumn("valid", valid)
     yes, no, silent = F.lit(1), F.lit(-1), F.lit(0)
     vote = lambda good: F.when(good, yes).otherwise(no)
