@@ -335,6 +335,40 @@ def test_pii_learns_from_votes():
     assert tables[0][1][1] > tables[0][1][0]
 
 
+def test_forward_backward_against_all_labellings():
+    """Marginals of lines and pairs, and the length-weighted mean, by enumerating every sequence of labels."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 5, 3, 6]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    unary, weight, move = rng.normal(size=offsets[-1]) * 2, rng.uniform(1, 50, offsets[-1]), rng.normal(size=(2, 2))
+    model = line_crf.LineCrf(np.ones(1), move)
+    good, pairs = model.forward_backward(unary, offsets)
+    z = model.raw(unary[:, None], offsets, weight)
+    for d, (a, n) in enumerate(zip(offsets, sizes, strict=False)):
+        p, two, total = np.zeros(n), np.zeros((n, 2, 2)), 0.0
+        for y in itertools.product((0, 1), repeat=n):
+            s = np.exp(sum(unary[a + i] * y[i] for i in range(n)) + sum(move[y[i - 1], y[i]] for i in range(1, n)))
+            total += s
+            p += s * np.array(y)
+            for i in range(1, n):
+                two[i, y[i - 1], y[i]] += s
+        assert np.allclose(good[a : a + n], p / total) and np.allclose(pairs[a : a + n], two / total)
+        mean = (p / total * weight[a : a + n]).sum() / weight[a : a + n].sum()
+        assert z[d] == pytest.approx(np.log(mean / (1 - mean)))
+
+
+def test_line_labels_are_latent():
+    import numpy as np
+
+    good, weight, offsets = np.array([0.9, 0.8, 0.1, 0.9, 0.7, 0.4, 0.6]), np.array([9.0, 1, 5, 4, 2, 1, 1]), np.array([0, 2, 5, 7])
+    got = line_crf.latent_labels(good, weight, np.array([1, 0, 0]), offsets)
+    assert got.tolist() == [1, 1, 0, 1, 0, 0, 1]  # of the second, the lines with the first half of its length stay bad
+
+
 def test_quality(spark):
     rng = random.Random(7)
     clean = lambda: " ".join(rng.choices(["river", "stone", "walks", "over", "green"], k=12)).capitalize() + "."

@@ -4,6 +4,11 @@ Every line is good or bad. A line's features, and those of its neighbours,
 score the two labels; a transition matrix ties labels of lines that follow each
 other. Forward-backward gives each line's marginal; a document's mean marginal,
 weighted by line length, is calibrated to a probability.
+
+Lines have no labels of their own. A good document's lines are taken to be good
+ones; which lines of a bad document are bad is latent: first all are, and then
+those that the model finds bad, with the rest of the document's worse half. So
+labels change inside of documents, and the transitions learn how they do.
 """
 
 from __future__ import annotations
@@ -16,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._numpy import lines, slices, words
+from ._numpy import counts_in, lines, slices, words
 from ._spark import small_batches, text_of
 
 #: The model is fitted on all lines of so many labelled documents at most (the first by a hash of their ids).
 TRAIN_DOCS = 8000
-STEPS, RATE, DECAY = 150, 0.15, 1e-3
+STEPS, RATE, DECAY, ROUNDS = 120, 0.15, 1e-3, 1
 
 #: Kinds of bytes that are counted per line.
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "bang": b"!?", "symbol": b"#$%&*@^~=+<>{}[]\\_`", "bar": b"|", "stop": b".,;:"}
@@ -44,8 +49,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = w.data
     sums = {}
     for name, kind in zip([*_KINDS, "wide"], _KIND, strict=True):
-        total = np.concatenate(([0], np.cumsum(kind[data])))
-        sums[name] = (total[found.end] - total[found.begin]).astype(np.float64)
+        sums[name] = counts_in(kind[data], found.begin, found.end).astype(np.float64)
     h = w.hashes()
     same = np.zeros(len(h) + 1)
     same[2:] = np.cumsum(h[1:] == h[:-1])  # same[j] counts the words before j that repeat the one before them
@@ -137,12 +141,47 @@ class LineCrf:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def latent_labels(good: np.ndarray, weight: np.ndarray, label: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Line labels by the lines' marginals: 1 in good documents; in bad ones 0 where bad is likelier, and in the worse half by length."""
+    of = np.repeat(np.arange(len(label)), np.diff(offsets))
+    order = np.lexsort((good, of))
+    before = np.cumsum(weight[order]) - weight[order]
+    begin = before[offsets[:-1]]  # lines keep their documents' places in this order
+    total = np.add.reduceat(weight, offsets[:-1])
+    worse = np.empty(len(good), dtype=bool)
+    worse[order] = before - begin[of] < total[of] / 2
+    return np.where(label[of] == 1, 1.0, ((good > 0.5) & ~worse).astype(np.float64))
+
+
+def _climb(model: LineCrf, x: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> None:
+    """Raise the conditional likelihood of the line labels ``y``."""
+    inner = np.ones(len(y), dtype=bool)
+    inner[offsets[:-1]] = False
+    at = np.flatnonzero(inner)
+    seen = np.zeros((2, 2))  # transitions
+    np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
+    mean, square = [np.zeros(FEATURES), np.zeros((2, 2))], [np.zeros(FEATURES), np.zeros((2, 2))]
+    for step in range(1, STEPS + 1):
+        good, pairs = model.forward_backward(x @ model.weights, offsets)
+        slopes = [x.T @ (y - good) / len(y) - DECAY * model.weights, (seen - pairs.sum(axis=0)) / len(y) - DECAY * model.transitions]
+        for i, g in enumerate(slopes):
+            mean[i] = 0.9 * mean[i] + 0.1 * g
+            square[i] = 0.99 * square[i] + 0.01 * g * g
+            move = RATE * (1 - step / STEPS) * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8)
+            if i == 0:
+                model.weights = model.weights + move
+            else:
+                model.transitions = model.transitions + move
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
     """Fit on documents with labels 0 and 1 (others and nulls are left out).
 
-    Each line of a document takes its label. The model maximises the labels'
-    conditional likelihood, with Adam on whole gradients. Without labelled
-    documents every score is 0.5.
+    The model maximises the line labels' conditional likelihood, with Adam on
+    whole gradients, and bad documents' line labels are drawn anew from it
+    ROUNDS times. Rows that repeat count as often; of a very long text all
+    lines count; other columns are ignored. Without labelled documents every
+    score is 0.5.
     """
     small_batches(docs.sparkSession)
     some = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
@@ -169,22 +208,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weight = np.concatenate(weight)
     label = np.array([r["label"] for r in rows])
     y = np.repeat(label, np.diff(offsets)).astype(np.float64)
-    inner = np.ones(len(y), dtype=bool)
-    inner[offsets[:-1]] = False
-    kept = np.array([[((1 - y) * inner).sum(), 0.0], [0.0, (y * inner).sum()]])  # labels never change inside a document
-
-    mean, square = [np.zeros(FEATURES), np.zeros((2, 2))], [np.zeros(FEATURES), np.zeros((2, 2))]
-    for step in range(1, STEPS + 1):
-        good, pairs = model.forward_backward(x @ model.weights, offsets)
-        slopes = [x.T @ (y - good) / len(y) - DECAY * model.weights, (kept - pairs.sum(axis=0)) / len(y) - DECAY * model.transitions]
-        for i, g in enumerate(slopes):
-            mean[i] = 0.9 * mean[i] + 0.1 * g
-            square[i] = 0.99 * square[i] + 0.01 * g * g
-            move = RATE * (1 - step / STEPS) * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8)
-            if i == 0:
-                model.weights = model.weights + move
-            else:
-                model.transitions = model.transitions + move
+    _climb(model, x, offsets, y)
+    for _ in range(ROUNDS):
+        good, _ = model.forward_backward(x @ model.weights, offsets)
+        _climb(model, x, offsets, latent_labels(good, weight, label, offsets))
 
     # A logistic curve over the documents' log odds: a few Newton steps.
     z = model.raw(x, offsets, weight)
