@@ -151,6 +151,26 @@ def test_near_duplicates(df, docs):
     assert len({x[2] for x in got}) < len(got) - 5
 
 
+def test_near_duplicates_whose_names_clash(spark, df, docs, monkeypatch):
+    """With names of four bits at first, sets that share one are told apart by both halves."""
+    import numpy as np
+
+    from textloom.llm import ngram_join
+
+    real = ngram_join._signatures
+
+    def weak(sets, offsets, shared):
+        a, b = real(sets, offsets, np.zeros(0, np.uint64))
+        plain = a & np.uint64(15)
+        return np.where(np.isin(plain, shared), a, plain), b
+
+    monkeypatch.setattr(ngram_join, "_signatures", weak)
+    monkeypatch.setattr(ngram_join, "HELD", 500)
+    named = df.withColumn("doc_id", F.format_string("%06d", "doc_id"))
+    got = sorted((int(r["doc_id"]), r["n_shingles"], int(r["component_id"])) for r in near_duplicates(named).collect())
+    assert got == brute.components(docs)
+
+
 def test_near_duplicates_in_a_chain_of_small_sets(spark):
     rng = random.Random(3)
     base = [f"v{i}" for i in range(11)]

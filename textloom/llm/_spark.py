@@ -21,20 +21,25 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already."""
+    """Set the session's Arrow batches to BATCH_ROWS rows, unless they are smaller already.
+
+    Plans are run after the operator has returned, so this can't be undone here.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session without one gets a folder of its own."""
+    """The cluster's shared folder; only a local session without one gets a folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="textloom-")
     spark.sparkContext.setCheckpointDir(path)
     return path

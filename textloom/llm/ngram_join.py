@@ -34,6 +34,8 @@ from ._spark import least_count, small_batches, staged, text_of
 SIZE, NUM, DEN = 5, 75, 100
 #: A shingle counts as frequent from so many counted sightings on; the MOST_FREQUENT of them are sorted last.
 FREQUENT, MOST_FREQUENT = 12, 1 << 18
+#: Shingles are counted so many at a time within a task.
+HELD = 1 << 23
 #: Sets beyond this size are never light.
 LIGHT_AT_MOST = 48
 
@@ -58,10 +60,18 @@ def _per_text(values: np.ndarray, offsets: np.ndarray, of: np.ufunc) -> np.ndarr
     return out
 
 
-def _signatures(sets: np.ndarray, offsets: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for a set, as two sums of mixed values."""
+def _signatures(sets: np.ndarray, offsets: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for a set, as two sums of mixed values; the first is its name.
+
+    ``shared`` (ascending) are first halves that several sets have: these sets
+    take their names from both halves, and all others keep theirs.
+    """
     with np.errstate(over="ignore"):
-        return _per_text(mix(sets ^ U64(0x51ED270B9F3C5A17 + seed)), offsets, np.add), _per_text(mix(sets ^ U64(0xC2B2AE3D27D4EB4F)), offsets, np.add)
+        a, b = _per_text(mix(sets ^ U64(0x51ED270B9F3C5A17)), offsets, np.add), _per_text(mix(sets ^ U64(0xC2B2AE3D27D4EB4F)), offsets, np.add)
+        if len(shared):
+            where = shared[np.minimum(np.searchsorted(shared, a), len(shared) - 1)] == a
+            a = np.where(where, mix(a + mix(b)), a)
+    return a, b
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -73,17 +83,31 @@ def _batches(batch: pa.RecordBatch, i: int) -> Iterator[tuple[pa.RecordBatch, pa
         yield batch.slice(a, b - a), batch.column(i).slice(a, b - a)
 
 
-def _sketches(rows: DataFrame, id_type: str, seed: int) -> DataFrame:
+def _sketches(rows: DataFrame, id_type: str, shared: np.ndarray) -> DataFrame:
     """Kind 0: a document's size and signature. Kind 1: a shingle seen in several sets of one slice. Kind 2: sums over a slice's sets of one size."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[str, list] = {"h": [], "n": []}
         before: set[int] = set()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            h, size = np.concatenate(count["h"]), np.concatenate(count["n"])
+            order = np.argsort(h, kind="stable")
+            h, size = h[order], size[order]
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(h)))
+            many = times > 1
+            yield _sketch_rows(1, None, times[many], h[first][many], None)
+            small = size <= LIGHT_AT_MOST
+            entries, others = np.bincount(size[small], minlength=LIGHT_AT_MOST + 1), np.bincount(size[small], weights=(np.repeat(times, times) - 1)[small], minlength=LIGHT_AT_MOST + 1)
+            use = np.flatnonzero(entries)
+            yield _sketch_rows(2, None, use, entries[use].astype(U64), others[use].astype(U64))
+
         for batch in batches:
             for part, texts in _batches(batch, 1):
                 sets, offsets = _sets(texts)
                 n = np.diff(offsets)
-                a, b = _signatures(sets, offsets, seed)
+                a, b = _signatures(sets, offsets, shared)
                 yield _sketch_rows(0, part.column(0), n, a, b)
                 # Frequencies count each different set once per task.
                 fresh = np.array([s not in before for s in a.tolist()], dtype=bool)
@@ -91,18 +115,12 @@ def _sketches(rows: DataFrame, id_type: str, seed: int) -> DataFrame:
                 before.update(a[fresh].tolist())
                 count["h"].append(sets[np.repeat(fresh, n)])
                 count["n"].append(np.repeat(n[fresh], n[fresh]))
+                if sum(map(len, count["h"])) > HELD:  # what a task holds stays bounded
+                    yield from counted()
+                    count = {"h": [], "n": []}
+                    before.clear()
         if count["h"]:
-            h, size = np.concatenate(count["h"]), np.concatenate(count["n"])
-            order = np.argsort(h, kind="stable")
-            h, size = h[order], size[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(h)))
-            many = times > 1
-            yield _sketch_rows(1, None, times[many], h[first][many], None)
-            small = size <= LIGHT_AT_MOST
-            entries, others = np.bincount(size[small], minlength=LIGHT_AT_MOST + 1), np.bincount(size[small], weights=(np.repeat(times, times) - 1)[small], minlength=LIGHT_AT_MOST + 1)
-            use = np.flatnonzero(entries)
-            yield _sketch_rows(2, None, use, entries[use].astype(U64), others[use].astype(U64))
+            yield from counted()
 
     def _repeats(x: np.ndarray) -> list[int]:
         seen: dict[int, int] = {}
@@ -114,7 +132,7 @@ def _sketches(rows: DataFrame, id_type: str, seed: int) -> DataFrame:
         b = np.zeros(size, U64) if b is None else b
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), ids, pa.array(n.astype(np.int64)), _long(a), _long(b)], names=["kind", "id", "n", "a", "b"])
 
-    id_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    id_arrow = rows.select("id").limit(0).toArrow().schema.field(0).type
     return rows.mapInArrow(sketch, f"kind int, id {id_type}, n long, a long, b long")
 
 
@@ -135,7 +153,7 @@ def _light_boundary(sums: DataFrame) -> int:
     return best
 
 
-def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataFrame:
+def _keys(rows: DataFrame, frequent: np.ndarray, light: int, shared: np.ndarray) -> DataFrame:
     """Keys of each set: (key, sig, n, pos). List entries have even keys and their place in the order, 2-subsets odd ones."""
     order = np.argsort(frequent)
     known = rows.sparkSession.sparkContext.broadcast((frequent[order], order.astype(U64)))
@@ -149,7 +167,7 @@ def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataF
             for _, texts in _batches(batch, 0):
                 sets, offsets = _sets(texts)
                 n = np.diff(offsets)
-                sig = _signatures(sets, offsets, seed)[0]
+                sig = _signatures(sets, offsets, shared)[0]
                 ranked = sets >> U64(1)  # rare shingles by hash, frequent ones behind them
                 if len(value):
                     at = np.flatnonzero(table[(sets >> U64(42)).astype(np.int64)])
@@ -182,7 +200,7 @@ def _keys(rows: DataFrame, frequent: np.ndarray, light: int, seed: int) -> DataF
     return rows.select("t").mapInArrow(prefix, "key long, sig long, n long, pos int")
 
 
-def _whole_sets(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+def _whole_sets(rows: DataFrame, wanted: DataFrame, shared: np.ndarray) -> DataFrame:
     """(sig, n, set) of the sets whose ``sig`` is in ``wanted``: a filter in the scan, then an exact semi-join."""
     wanted = staged(wanted.select("sig").distinct(), "wanted")
     likely = rows.sparkSession.sparkContext.broadcast(gathered(wanted.select(F.col("sig").alias("h")), bits_for(wanted.count())))
@@ -192,7 +210,7 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             for _, texts in _batches(batch, 0):
                 sets, offsets = _sets(texts)
-                sig = _signatures(sets, offsets, seed)[0]
+                sig = _signatures(sets, offsets, shared)[0]
                 hit = maybe(likely.value, sig)
                 use = [i for i in np.flatnonzero(hit & (np.diff(offsets) > 0)).tolist() if not (sig[i] in before or before.add(sig[i]))]
                 if use:
@@ -204,12 +222,12 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     return found.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+def _verified(rows: DataFrame, pairs: DataFrame, shared: np.ndarray) -> DataFrame:
     """The (u, v) of ``pairs`` whose whole sets are similar."""
     pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    sets = staged(_whole_sets(rows, pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))), seed), "sets")
+    sets = staged(_whole_sets(rows, pairs.select(F.col("u").alias("sig")).unionByName(pairs.select(F.col("v").alias("sig"))), shared), "sets")
     left = pairs.join(sets.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("members").alias("mu")), "u")
     both = left.join(sets.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("members").alias("mv")), "v")
     return staged(both.filter(F.size(F.array_intersect("mu", "mv")) >= overlap(F.col("nu"), F.col("nv"))).select("u", "v"), "links")
@@ -272,20 +290,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has all distinct 5-word shingles of the whole text, or with fewer words the
     whole sequence. Texts link when 100 * intersection >= 75 * union. Null and
     empty texts have no shingles and no links. component_id is the smallest id
-    reachable. Rows that repeat are rows of their own, in one component;
-    further columns are ignored; an empty table gives an empty result.
+    reachable. Rows that repeat are rows of their own, in one component; ids
+    may have any type that has an order; a very long text is one set, hashed
+    piece by piece; further columns are ignored; an empty table gives an empty
+    result.
     """
     small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))
-    seed = 0
+    shared = np.zeros(0, U64)
     while True:
-        sketch = staged(_sketches(rows, id_type, seed), "sketch")
+        sketch = staged(_sketches(rows, id_type, shared), "sketch")
         texts = sketch.filter("kind = 0")
         nodes = staged(texts.filter("n > 0").groupBy(F.col("a").alias("sig")).agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("b").alias("b"), F.max("b").alias("b2"), F.min("id").alias("first")), "nodes")
-        if nodes.filter("n <> most or b <> b2").isEmpty():
+        # Different sets under one name, a few among 10^10: these are named by both halves.
+        again = nodes.filter("n <> most or b <> b2").select("sig").toArrow()["sig"].to_numpy().view(U64)
+        if not len(np.setdiff1d(again, shared)):
             break
-        seed += 1  # two sets have one signature: others are taken
+        shared = np.union1d(shared, again)
 
     light = _light_boundary(sketch.filter("kind = 2"))
     often = staged(sketch.filter("kind = 1").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "often")
@@ -294,10 +316,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = often["h"].to_numpy()[by_count].view(U64)
 
     key = Window.partitionBy("key")
-    entries = _keys(rows, frequent, light, seed).withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).filter("lo <> hi").select("key", "sig", "n", "pos")
+    entries = _keys(rows, frequent, light, shared).withColumn("lo", F.min("sig").over(key)).withColumn("hi", F.max("sig").over(key)).filter("lo <> hi").select("key", "sig", "n", "pos")
     entries = staged(entries, "entries")
-    first = staged(components(_verified(rows, _first_pairs(entries), seed)), "first")
-    links = _verified(rows, _last_pairs(entries, first), seed)
+    first = staged(components(_verified(rows, _first_pairs(entries), shared)), "first")
+    links = _verified(rows, _last_pairs(entries, first), shared)
 
     # Links between components make components of components.
     root = lambda end: F.coalesce(F.col(f"r{end}.root"), F.col(end)).alias(end)
