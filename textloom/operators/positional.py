@@ -71,8 +71,10 @@ def sloppy_phrase(slots: list[list[int]], slop: int, offsets: list[int] | None =
     Windows of at most ``slop`` count 1 / (1 + length). ``offsets`` are given
     for phrases that have a term in several slots.
     """
-    if len(slots) < 2 or not all(slots):
-        return float(len(slots[0])) if slots else 0.0
+    if not slots or not all(slots):
+        return 0.0
+    if len(slots) == 1:
+        return float(len(slots[0]))
     found = _windows(slots) if offsets is None else _windows_of_own_words(slots, offsets)
     return sum(sloppy_freq(n) for n in found if n <= slop)
 
