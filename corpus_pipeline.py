@@ -1,8 +1,16 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again as the next one's input.
 
-Every stage but the last returns the columns of ``documents``; n_chars follows
-the text. Null and empty texts pass the filters that find nothing in them, and
-an empty table gives an empty result.
+Every stage but the last returns the columns of ``documents``, and leaves
+further ones out, whatever their names; n_chars follows the text. Null and empty
+texts pass the filters that find nothing in them, very long texts are one
+document like others, and an empty table gives an empty result.
+
+A document is known by its doc_id. Rows that share one pass or go together
+where a document goes as a whole; of repeated rows, which are copies of each
+other, near_dedup keeps one. Rows without a doc_id are scored, cleaned and
+encoded, but no group of copies and no benchmark item can name them, so that
+these two stages keep them. Of equally good copies the smallest id stays, of
+shared lines those in the largest.
 """
 
 from __future__ import annotations
@@ -35,8 +43,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near copies the document with the smallest id stays."""
-    copies = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    groups = staged(near_duplicates(docs).filter("doc_id is not null"), "groups")
+    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    repeated = staged(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(again)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

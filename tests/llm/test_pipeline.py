@@ -63,6 +63,15 @@ def test_stages(spark, sf_dir):
     assert {r["doc_id"]: (r["n_tokens"], r["ids"]) for r in corpus_pipeline.run(spark, sf_dir).collect()} == got
 
 
+def test_near_dedup_keeps_one_of_repeated_rows(spark, sf_dir):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, words), (1, words), (2, words), (3, "other " + words[:30]), (3, "other " + words[:30]), (None, words), (None, words), (4, None), (4, None), (5, words + " thirteen")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    got = sorted(corpus_pipeline.near_dedup(spark, docs, sf_dir).collect(), key=str)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got if r["text"]) == sorted([("1", words), ("3", "other " + words[:30]), ("None", words), ("None", words)])
+    assert [r["doc_id"] for r in got if not r["text"]] == [4] and got[0].asDict().keys() == dict.fromkeys(corpus_pipeline.COLUMNS).keys()
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
