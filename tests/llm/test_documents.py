@@ -492,6 +492,24 @@ def test_language_model_scores_do_not_depend_on_the_lookup(spark, docs, df, monk
     assert len({r["base_score"] for r in rare}) == 1 and len({r["score"] for r in rare}) == 2
 
 
+def test_one_very_long_text(spark):
+    """Twenty million bytes in one text, for the operators that see words or lines."""
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(4000)]
+    body = "\n".join(" ".join(rng.choices(words, k=12)) + "." for _ in range(250_000))
+    item = " ".join(body[1_000_000:1_000_600].split()[1:-1])
+    rows = frame(spark, [(1, body), (2, body + " end"), (3, "short text"), (4, None)]).cache()
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    found = contaminated(rows, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["distance"], r["similarity"]) for r in found) == [(1, 0, 1.0), (2, 0, 1.0)]
+    model = line_crf.fit(rows, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int"))
+    assert line_crf.score(rows, model).count() == 4
+    lm, counts = maxent_lm.fit(rows.filter("doc_id <> 2").select(F.coalesce("text", F.lit("")).alias("text")))
+    got = {r["doc_id"]: r["n_tokens"] for r in maxent_lm.score(rows, lm, counts).collect()}
+    assert got == {1: len(body.split()) + 1, 2: len(body.split()) + 2, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["group_size"] for r in exact_groups(rows).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([(1, "some item that has words enough")], "item_id long, text string")
     tokenizer = byte_bpe()

@@ -33,7 +33,7 @@ END, REPEAT = SINGLES + BUCKETS, SINGLES + BUCKETS + 1
 CLASSES = REPEAT + 1
 ROWS, FEATURES, BLOCK = 1 << 14, 8, 256
 #: Training goes over every position of every training document once, in ROUNDS parts.
-ROUNDS, RATE, BATCH = 2, 0.12, 2048
+ROUNDS, RATE, BATCH, PART = 2, 0.12, 2048, 1 << 17
 #: Suffixes are put into buckets by which singles stand up to so many words before them.
 SUFFIXES, NEAR = 1 << 12, 3
 SMOOTH = 0.1
@@ -93,24 +93,33 @@ def sequences(w: Words, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.
     return token, kind, word, offsets
 
 
-def contexts(token: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of every position, and the word before it (0 at a text's start)."""
-    position = np.arange(len(token)) - np.repeat(offsets[:-1], np.diff(offsets))
-    past = []
-    for back in range(1, 5):
-        x = np.zeros_like(token)
-        x[back:] = token[:-back]
-        x[position < back] = U64(0)
-        past.append(x)
-    a, b, c, d = past
+def contexts(token: np.ndarray, offsets: np.ndarray, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of the positions ``where`` (or all), and the words before them (0 at a text's start)."""
+    where = np.arange(len(token)) if where is None else where
+    position = where - offsets[np.searchsorted(offsets, where, side="right") - 1]
+    a, b, c, d = (np.where(position >= back, token[np.maximum(where - back, 0)], U64(0)) for back in range(1, 5))
     same = (a == b).astype(np.uint64) + U64(2) * (b == c).astype(np.uint64) + U64(4) * (a == c).astype(np.uint64) + U64(8) * (a == U64(0)).astype(np.uint64)
     keys = [a, b * U64(3), c * U64(5), d * U64(7), mix(a) + b, mix(mix(a) + b) + c, same + U64(11), np.full_like(a, U64(13))]
-    rows = np.empty((len(token), FEATURES), dtype=np.int64)
+    rows = np.empty((len(where), FEATURES), dtype=np.int64)
     for f, k in enumerate(keys):
         rows[:, f] = mix(k + U64((f + 1) * 0x9E3779B97F4A7C15 % 2**64)) & U64(ROWS - 1)
     return rows, a
 
 
+def preceding(token: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The word before every position, 0 at a text's start."""
+    out = np.zeros_like(token)
+    out[1:] = token[:-1]
+    out[offsets[:-1]] = U64(0)
+    return out
+
+
+def parts(n: int) -> Iterator[np.ndarray]:
+    """All positions, so many at a time: features take much more room than the words."""
+    for at in range(0, n, PART):
+        yield np.arange(at, min(n, at + PART))
+
+
 def class_probabilities(weights: np.ndarray, rows: np.ndarray, may_repeat: np.ndarray) -> np.ndarray:
     z = weights.take(rows[:, 0], axis=0)
     for f in range(1, FEATURES):
@@ -131,21 +140,22 @@ def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             w = words(batch.column(0).slice(p, q - p))
             h = w.hashes()
             token, kind, word, offsets = sequences(w, h, model.classes(w, h))
-            rows, before = contexts(token, offsets)
-            may_repeat = before != 0
-            kind = np.where(may_repeat & (token == before) & (word >= 0), REPEAT, kind)
-            for at in range(0, len(token), BATCH):
-                i = slice(at, at + BATCH)
-                g = class_probabilities(weights, rows[i], may_repeat[i])
-                g[np.arange(len(g)), kind[i]] -= 1
-                flat = rows[i].ravel().astype(np.uint16)  # numpy sorts these by radix
-                order = np.argsort(flat, kind="stable")
-                ordered = flat[order]
-                first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-                row = ordered[first]
-                total = np.add.reduceat(g.take(order // FEATURES, axis=0), first, axis=0)
-                seen[row] += np.diff(np.append(first, len(flat)))
-                weights[row] -= RATE * total / np.sqrt(seen[row])[:, None]
+            for part in parts(len(token)):
+                rows, before = contexts(token, offsets, part)
+                may_repeat = before != 0
+                own = np.where(may_repeat & (token[part] == before) & (word[part] >= 0), REPEAT, kind[part])
+                for at in range(0, len(part), BATCH):
+                    i = slice(at, at + BATCH)
+                    g = class_probabilities(weights, rows[i], may_repeat[i])
+                    g[np.arange(len(g)), own[i]] -= 1
+                    flat = rows[i].ravel().astype(np.uint16)  # numpy sorts these by radix
+                    order = np.argsort(flat, kind="stable")
+                    ordered = flat[order]
+                    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+                    row = ordered[first]
+                    total = np.add.reduceat(g.take(order // FEATURES, axis=0), first, axis=0)
+                    seen[row] += np.diff(np.append(first, len(flat)))
+                    weights[row] -= RATE * total / np.sqrt(seen[row])[:, None]
     weights *= seen[:, None]
     for block in np.flatnonzero(seen.reshape(-1, BLOCK).any(axis=1)).tolist():
         part = slice(block * BLOCK, (block + 1) * BLOCK)
@@ -240,7 +250,11 @@ def _buckets(seen: np.ndarray, mass: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all ``texts`` (one string column), and the table of counts (word, n)."""
+    """The model of all ``texts`` (one string column), and the table of counts (word, n).
+
+    Texts that repeat count as often; very long ones go by parts; without texts
+    every word is unknown and every class as likely.
+    """
     spark = texts.sparkSession
     small_batches(spark)
     counts = staged(word_counts(texts), "counts")
@@ -293,7 +307,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     Words are runs of anything but ASCII white space, A-Z lower-cased. Null and
     empty texts are their end alone. Rows that repeat stay apart; further
     columns are ignored; an empty table stays empty. With nothing to learn from,
-    every word is unknown.
+    every word is unknown. A very long text goes by parts.
     """
     small_batches(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
@@ -314,14 +328,16 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 count = np.where(known, m.counts[place] if len(m.counts) else 0, 0)
                 cls = m.classes(w, h)
                 token, kind, word, offsets = sequences(w, h, cls)
-                context, before = contexts(token, offsets)
+                before = preceding(token, offsets)
                 repeats = before != 0
                 p_class, p_repeat = np.empty(len(token)), np.zeros(len(token))
-                for at in range(0, len(token), BATCH):
-                    i = slice(at, at + BATCH)
-                    p = class_probabilities(m.weights, context[i], repeats[i])
-                    p_class[i] = p[np.arange(len(p)), kind[i]]
-                    p_repeat[i] = p[:, REPEAT]
+                for positions in parts(len(token)):
+                    context, _ = contexts(token, offsets, positions)
+                    for at in range(0, len(positions), BATCH):
+                        i = positions[at : at + BATCH]
+                        p = class_probabilities(m.weights, context[at : at + BATCH], repeats[i])
+                        p_class[i] = p[np.arange(len(p)), kind[i]]
+                        p_repeat[i] = p[:, REPEAT]
                 base, own = np.zeros(len(token)), np.log10(np.maximum(p_class, 1e-300))
                 is_word = word >= 0
                 in_table = np.zeros(len(token), dtype=bool)
@@ -351,13 +367,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 # Where such a word follows itself, "repeat" adds to its share, which isn't known here: how much more likely "repeat" is than the class, as log10.
                 every = m.classes(w, h)
                 token, kind, word, offsets = sequences(w, h, every)
-                context, before = contexts(token, offsets)
+                before = preceding(token, offsets)
                 again = np.flatnonzero((word[which + of] >= 0) & (token[which + of] == before[which + of]))
                 at = (which + of)[again]
                 odds = np.empty(len(at))
                 for lo in range(0, len(at), BATCH):
                     i = at[lo : lo + BATCH]
-                    p = class_probabilities(m.weights, context[i], before[i] != 0)
+                    p = class_probabilities(m.weights, contexts(token, offsets, i)[0], before[i] != 0)
                     odds[lo : lo + BATCH] = np.log10(np.maximum(p[:, REPEAT], 1e-300)) - np.log10(np.maximum(p[np.arange(len(i)), kind[i]], 1e-300))
                 new = np.ones(len(which), dtype=bool)
                 new[1:] = (of[1:] != of[:-1]) | (h[which[1:]] != h[which[:-1]])
