@@ -16,6 +16,7 @@ there there's these they they'd they'll they're they've this those through to to
 were we're weren't we've what what's when when's where where's which while who whom who's why why's with won't would wouldn't you
 you'd you'll your you're yours yourself yourselves you've
 """.split()
+#: The full English list and more words.
 EXTENDED_ENGLISH = FULL_ENGLISH + "one every least less many now ever never say says said also get go goes just made make put see seen whether like well back even still way take since another however two three four five first second new old high long".split()
 
 #: The Snowball project's lists for French, Dutch, Swedish, Norwegian and Danish. Longer ones are read with ``load``.
