@@ -66,6 +66,18 @@ def test_stems(word, expected):
     assert stem.english(word) == expected
 
 
+@pytest.mark.parametrize(
+    ("algorithm", "pairs"),
+    [
+        ("german", "kategorien kategori kategorischen kategor katers kat katzen katz kätzchen katzch käufer kauf kaufleute kaufleut häuser haus ergebnisse ergebnis freundlichkeit freundlich aufgaben aufgab größte grosst einigung einig"),
+        ("spanish", "chicharrones chicharron chicos chic torear tor toreros torer torneo torne cheque chequ chilena chilen rápidamente rapid comiendo com sociología sociolog pague pag canción cancion felicidades felic diciéndole dic"),
+    ],
+)
+def test_stems_of_other_languages(algorithm, pairs):
+    words = pairs.split()
+    assert [stem.ALGORITHMS[algorithm](w) for w in words[::2]] == words[1::2]
+
+
 def test_stop_lists(tmp_path):
     assert len(stopwords.ENGLISH) == 32 and "themselves" in stopwords.FULL_ENGLISH and set(stopwords.FULL_ENGLISH) < set(stopwords.EXTENDED_ENGLISH)
     (tmp_path / "x.txt").write_text("| remark\nund | and\n\noder  # or\n")
