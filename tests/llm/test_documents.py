@@ -493,11 +493,11 @@ def test_language_model_scores_do_not_depend_on_the_lookup(spark, docs, df, monk
 
 
 def test_one_very_long_text(spark):
-    """Twenty million bytes in one text, for the operators that see words or lines."""
+    """Three million bytes in one text, several pieces and slices, for the operators that see words or lines."""
     rng = random.Random(15)
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(4000)]
-    body = "\n".join(" ".join(rng.choices(words, k=12)) + "." for _ in range(250_000))
-    item = " ".join(body[1_000_000:1_000_600].split()[1:-1])
+    body = "\n".join(" ".join(rng.choices(words, k=12)) + "." for _ in range(45_000))
+    item = " ".join(body[1_048_300:1_048_900].split()[1:-1])
     rows = frame(spark, [(1, body), (2, body + " end"), (3, "short text"), (4, None)]).cache()
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     found = contaminated(rows, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._numpy import PIECE, raw, slices, span_hashes
+from ._numpy import PIECE, give_back, raw, slices, span_hashes
 from ._spark import small_batches, text_of
 
 #: Texts of about so many bytes share a list of distinct words; a longer text has one of its own.
-SLICE_TEXT = 16 << 20
+SLICE_TEXT = 8 << 20
 #: There is a bucket of the table for so many bytes of text, whose distinct words are some fifth of that in all slices together, but so many at least.
 BUCKET_TEXT, BUCKETS = 128 << 20, 64
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
@@ -329,6 +329,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
                     yield from slice_of()
                     rows, ends, words, size = [], [], [], 0
                     number += 1
+                    give_back()
         if rows:
             yield from slice_of()
 
@@ -383,6 +384,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
             if decoded:
                 made.append(pa.array(_texts_of(pieces.value, got, bounds), pa.string()))
             done.append(pa.table(made, names=[*others, "ids", *([decoded] if decoded else [])]))
+        give_back()
         return pa.concat_tables(done)
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in others] + ["ids array<int>"] + ([f"`{decoded}` string"] if decoded else []))
