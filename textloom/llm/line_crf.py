@@ -91,6 +91,41 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, found.of_text, size + 1
 
 
+def _messages(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages of one chain of 2 x 2 ``step`` matrices, each scaled to sum 1.
+
+    The chain is cut into some sqrt(n) blocks: their products, side by side,
+    give the messages at the cuts, and from these those inside, side by side.
+    So a text of very many lines takes few steps.
+    """
+    n = len(step)
+    width = max(1, int(np.ceil(np.sqrt(n))))
+    blocks = -(-n // width) if n else 0
+    a = np.tile(np.eye(2), (blocks * width, 1, 1))
+    a[:n] = step
+    a = a.reshape(blocks, width, 2, 2)
+    whole = np.tile(np.eye(2), (blocks, 1, 1))
+    for t in range(width):
+        whole = whole @ a[:, t]
+        whole /= whole.sum(axis=(1, 2), keepdims=True)
+    ahead, back = np.empty((blocks, width, 2)), np.empty((blocks, width, 2))
+    left, right = np.full((blocks + 1, 2), 0.5), np.full((blocks + 1, 2), 0.5)
+    for k in range(blocks):
+        left[k + 1] = left[k] @ whole[k]
+        left[k + 1] /= left[k + 1].sum()
+        right[blocks - k - 1] = whole[blocks - k - 1] @ right[blocks - k]
+        right[blocks - k - 1] /= right[blocks - k - 1].sum()
+    v, w = left[:-1], right[1:]
+    for t in range(width):
+        v = (v[:, None, :] @ a[:, t])[:, 0]
+        v = v / v.sum(axis=1, keepdims=True)
+        ahead[:, t] = v
+        back[:, width - 1 - t] = w
+        w = (a[:, width - 1 - t] @ w[:, :, None])[:, :, 0]
+        w = w / w.sum(axis=1, keepdims=True)
+    return ahead.reshape(-1, 2)[:n], back.reshape(-1, 2)[:n]
+
+
 @dataclass
 class LineCrf:
     """Weights for the label good (bad scores 0), the transitions [from, to], and the calibration."""
@@ -103,22 +138,12 @@ class LineCrf:
     def forward_backward(self, unary: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of good for every line, and of pairs of labels for every line and the one before it (0 for a first line)."""
         size = np.diff(offsets)
-        order = np.argsort(-size, kind="stable")
-        begin, n = offsets[:-1][order], size[order]
-        longest = int(n[0]) if len(n) else 0
-        live = np.searchsorted(-n, -np.arange(longest), side="left")
         # Two-state messages, scaled at every step.
         e = np.exp(np.clip(np.stack((np.zeros_like(unary), unary), axis=1), -50, 50))
         move = np.exp(self.transitions)
-        ahead, back = np.ones((len(unary), 2)), np.ones((len(unary), 2))
-        for t in range(longest):
-            at = begin[: live[t]] + t
-            a = e[at] if t == 0 else (ahead[at - 1] @ move) * e[at]
-            ahead[at] = a / a.sum(axis=1, keepdims=True)
-        for t in range(longest - 2, -1, -1):
-            at = begin[: live[t + 1]] + t
-            b = (back[at + 1] * e[at + 1]) @ move.T
-            back[at] = b / b.sum(axis=1, keepdims=True)
+        step = move[None] * e[:, None, :]
+        step[offsets[:-1][size > 0]] = 0.5 * e[offsets[:-1][size > 0]][:, None, :]  # a first line forgets what was before
+        ahead, back = _messages(step)
         both = ahead * back
         good = both[:, 1] / both.sum(axis=1)
         pairs = np.zeros((len(unary), 2, 2))
