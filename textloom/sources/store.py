@@ -198,7 +198,7 @@ def _segment(index: SearchIndex, path: str, label: str, codec: str, partitions:
         index.stored.select("doc_id", F.col(f"`{c}`")).write.option("compression", own[c]).parquet(f"{path}/{name}/stored-{i}")
     index.norms.write.option("compression", codec).parquet(f"{path}/{name}/norms")
     written = index.spark.read.schema(index.postings.schema).parquet(f"{path}/{name}/postings")
-    replace(index, postings=written, _memo={}).term_stats.hint("rebalance", "field", "term").sortWithinPartitions("field", "term").write.option("compression", codec).parquet(f"{path}/{name}/dictionary")
+    replace(index, postings=written, _memo={}).term_stats.sortWithinPartitions("field", "term").write.option("compression", codec).parquet(f"{path}/{name}/dictionary")
     docs = index.spark.read.parquet(f"{path}/{name}/stored").count()
     return {"data": name, "docs": docs, "apart": len(apart)}
 
