@@ -44,7 +44,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of near copies the document with the smallest id stays."""
     groups = staged(near_duplicates(docs).filter("doc_id is not null"), "groups")
-    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = staged(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
     repeated = staged(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
