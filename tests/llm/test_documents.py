@@ -274,6 +274,24 @@ def test_bpe_of_a_very_long_text(spark):
     assert tuple(got[0]) == (1, len(ids), sha(",".join(map(str, ids))), sha(text)) and got[1]["doc_id"] == 2
 
 
+def test_memory_is_given_back_when_nothing_holds_it(monkeypatch):
+    import weakref
+
+    import numpy as np
+
+    from textloom.llm import _numpy
+
+    held, alive = [], []
+
+    def work(n):
+        words = np.zeros(n)
+        held.append(weakref.ref(words))
+        return n + 1
+
+    monkeypatch.setattr(_numpy, "give_back", lambda: alive.append(held[-1]() is not None))
+    assert _numpy.lean(work)(5) == 6 and alive == [False]
+
+
 def test_bpe_of_all_characters():
     """Python's Unicode tables and the library's may be of different versions; the ids are the same."""
     import numpy as np

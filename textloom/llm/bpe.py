@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._numpy import PIECE, give_back, raw, slices, span_hashes
+from ._numpy import PIECE, give_back, lean, raw, slices, span_hashes
 from ._spark import small_batches, text_of
 
 #: Texts of about so many bytes share a list of distinct words; a longer text has one of its own.
@@ -332,6 +332,8 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
                     give_back()
         if rows:
             yield from slice_of()
+        rows, ends, words = [], [], []
+        give_back()
 
     sliced = texts.mapInArrow(split, ", ".join(["__slice long, __row int", *[f"{o} {types[c]}" for c, o in zip(others, own, strict=True)], "__n int, __codes binary, __bucket int, __numbers binary, __words binary"]))
 
@@ -352,7 +354,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
         return pa.table({"__slice": bucket["__slice"], "__bucket": bucket["__bucket"], "__ids": pa.array(out, pa.binary())})
 
     words = sliced.groupBy("__slice").applyInArrow(sent, "__bucket int, __slice long, __words binary")
-    encoded = words.groupBy("__bucket").applyInArrow(table, "__slice long, __bucket int, __ids binary")
+    encoded = words.groupBy("__bucket").applyInArrow(lambda bucket: lean(table)(bucket), "__slice long, __bucket int, __ids binary")
 
     def assemble(slice_: pa.Table, encoded: pa.Table) -> pa.Table:
         """A slice: its words' ids by their numbers, then its texts, a few at a time."""
@@ -384,11 +386,10 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", decode
             if decoded:
                 made.append(pa.array(_texts_of(pieces.value, got, bounds), pa.string()))
             done.append(pa.table(made, names=[*others, "ids", *([decoded] if decoded else [])]))
-        give_back()
         return pa.concat_tables(done)
 
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c in others] + ["ids array<int>"] + ([f"`{decoded}` string"] if decoded else []))
-    return sliced.groupBy("__slice").cogroup(encoded.groupBy("__slice")).applyInArrow(assemble, schema)
+    return sliced.groupBy("__slice").cogroup(encoded.groupBy("__slice")).applyInArrow(lambda slice_, encoded: lean(assemble)(slice_, encoded), schema)
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
