@@ -274,6 +274,19 @@ def test_bpe_of_a_very_long_text(spark):
     assert tuple(got[0]) == (1, len(ids), sha(",".join(map(str, ids))), sha(text)) and got[1]["doc_id"] == 2
 
 
+def test_row_sums_of_short_and_long_lists():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for sizes in ([1], [16], [17], [1, 2, 3, 15, 16, 17, 31, 33], [5000, 1, 256, 257, 4096, 16], rng.integers(1, 40, 300).tolist()):
+        g = rng.random((50, 32)).astype(np.float32)
+        owner = rng.integers(0, 50, sum(sizes))
+        first = np.cumsum([0, *sizes[:-1]])
+        got = maxent_lm.row_sums(g, owner, first)
+        assert got.dtype == np.float32
+        np.testing.assert_allclose(got, [g[owner[a : a + n]].astype(float).sum(axis=0) for a, n in zip(first, sizes, strict=True)], rtol=1e-5)
+
+
 def test_memory_is_given_back_when_nothing_holds_it(monkeypatch):
     import weakref
 
