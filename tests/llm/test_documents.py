@@ -137,6 +137,13 @@ def test_twice_seen_holds_every_hash_seen_twice(spark):
     assert hit.sum() < 450
 
 
+def test_line_dedup_counts_lines_on_bytes(spark):
+    rows = [(1, "\n"), (2, "\né\n\n\U0001f600"), (3, None), (4, ""), (5, "\r\n\r"), (6, "a\nb\n")]
+    got = dedup_lines(frame(spark, rows))
+    assert {r["doc_id"]: r["n_lines"] for r in got.collect()} == {i: (t or "").count("\n") + 1 for i, t in rows}
+    assert "translate(" not in got._jdf.queryExecution().toString()
+
+
 def test_line_dedup_of_a_very_long_text(spark):
     shared = "a line that is long enough to be counted here"
     long = "\n".join([shared, *(f"line {i} of a text of twenty million bytes, give or take" for i in range(350_000)), shared])

@@ -54,7 +54,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # No text has more keys than lines, or than min_chars goes into its bytes.
     text = F.col(f"`{text_col}`")
-    n_lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")  # on bytes; translate goes by characters
     most = rows.agg(F.sum(F.least(n_lines, F.octet_length(text) / max(1, min_chars)))).first()[0]
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
