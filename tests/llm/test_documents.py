@@ -312,6 +312,18 @@ def test_memory_is_given_back_when_nothing_holds_it(monkeypatch):
     assert _numpy.lean(work)(5) == 6 and alive == [False]
 
 
+def test_a_process_loads_a_tokenizer_once():
+    """Every bucket and task has its own copy of the tokenizer; the library's, whose memory does not all come back, is one."""
+    import pickle
+
+    from textloom.llm import bpe
+
+    bpe._library.cache_clear()
+    copies = [pickle.loads(pickle.dumps(byte_bpe())) for _ in range(3)]
+    assert len({id(c.load()) for c in copies}) == 1 and bpe._library.cache_info().misses == 1
+    assert bpe._library.cache_info().maxsize == 1
+
+
 def test_bpe_of_all_characters():
     """Python's Unicode tables and the library's may be of different versions; the ids are the same."""
     import numpy as np

@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +64,20 @@ class Tokenizer:
         return np.frombuffer(b"".join(table), dtype=np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
     def load(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tokenizers
+        """The library's tokenizer, which all copies of this one in a process share."""
+        return _library(self.text)
 
-        made = tokenizers.Tokenizer.from_str(self.text)
-        made.no_truncation()
-        made.no_padding()
-        return made
+
+@lru_cache(maxsize=1)
+def _library(text: str):
+    """One for each process, not for each bucket: of every one that has encoded something, the library keeps a MB or more after its end."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    made = tokenizers.Tokenizer.from_str(text)
+    made.no_truncation()
+    made.no_padding()
+    return made
 
 
 def char_classes() -> np.ndarray:
