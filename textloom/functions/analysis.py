@@ -10,19 +10,21 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import stem, stopwords
 
 TOKEN = "array<struct<term:string,pos:int>>"
+#: Arrow functions give back so many tokens or characters at a time, or one text.
+PIECE = 1 << 18
 
 
-@dataclass(frozen=True, order=True)
+@dataclass(order=True, unsafe_hash=True, slots=True)
 class Token:
     """A term with its place in the text; ``pos_inc`` is its distance from the token before."""
 
@@ -170,32 +172,11 @@ class StopFilter:
 class HyphenFilter:
     """e-mail becomes email, and e and mail at the same place and the next."""
 
-    def column(self, terms: Column) -> Column:
-        """Parts shift what follows: all but the first take a place of their own."""
-
-        def parts(t: Column) -> Column:
-            return F.filter(F.split(t["term"], "-"), lambda p: p != "")
-
-        def spread(t: Column) -> Column:
-            own = F.array(F.struct(F.regexp_replace(t["term"], "-", "").alias("term"), F.lit(0).alias("pos")))
-            return F.concat(own, F.transform(parts(t), lambda p, i: F.struct(p.alias("term"), i.alias("pos"))))
-
-        hyphened = lambda t: t["term"].rlike(r"\A\p{L}+(?:-\p{L}*)+\z")
-        more = F.transform(terms, lambda t: F.when(hyphened(t), F.size(parts(t)) - 1).otherwise(0))
-        lists = F.transform(
-            F.arrays_zip(terms.alias("t"), more.alias("more")),
-            lambda x, i: F.transform(
-                F.when(hyphened(x["t"]), spread(x["t"])).otherwise(F.array(F.struct(x["t"]["term"].alias("term"), F.lit(0).alias("pos")))),
-                lambda p: F.struct(p["term"].alias("term"), (p["pos"] + x["t"]["pos"]).cast("int").alias("pos"), i.alias("of")),
-            ),
-        )
-        before = F.aggregate(more, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-        shifted = F.transform(F.flatten(lists), lambda t: F.struct(t["term"].alias("term"), (t["pos"] + F.get(before, t["of"])).cast("int").alias("pos")))
-        return F.when(F.exists(more, lambda n: n > 0), shifted).otherwise(terms)
+    column = None
 
     def apply(self, tokens: Iterable[Token]) -> Iterator[Token]:
         for t in tokens:
-            if regex.fullmatch(r"\p{L}+(?:-\p{L}*)+", t.text):
+            if "-" in t.text and regex.fullmatch(r"\p{L}+(?:-\p{L}*)+", t.text):
                 yield Token(t.start, t.end, t.text.replace("-", ""), t.pos_inc)
                 first = True
                 for m in re.finditer("[^-]+", t.text):
@@ -212,10 +193,14 @@ class MappingFilter:
     mapping: tuple[tuple[str, str], ...]
     column = None
 
-    def map(self, text: str) -> str:
+    @cached_property
+    def _replace(self) -> Callable[[str], str]:
         table = dict(self.mapping)
-        any_ = "|".join(map(re.escape, sorted(table, key=len, reverse=True)))
-        return re.sub(any_, lambda m: table[m[0]], text) if table else text
+        any_ = re.compile("|".join(map(re.escape, sorted(table, key=len, reverse=True))))
+        return (lambda text: any_.sub(lambda m: table[m[0]], text)) if table else str
+
+    def map(self, text: str) -> str:
+        return self._replace(text)
 
     def apply(self, tokens: Iterable[Token]) -> Iterator[Token]:
         for t in tokens:
@@ -224,10 +209,18 @@ class MappingFilter:
     def text_column(self, text: Column) -> Column:
         """Whole texts mapped, where they are."""
 
-        def run(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else self.map(t) for t in texts.to_pylist()], pa.string())
-
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                out, size = [], 0
+                for i in range(len(texts)):
+                    value = texts[i].as_py()
+                    out.append(None if value is None else self.map(value))
+                    size += len(out[-1] or "")
+                    if size >= PIECE or i + 1 == len(texts):
+                        yield pa.array(out, pa.string())
+                        out, size = [], 0
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
         return F.arrow_udf(run, "string")(text)
 
 
@@ -259,10 +252,13 @@ class Analyzer:
     filters: tuple = (LowerCaseFilter(),)
 
     def tokens(self, text: str) -> list[Token]:
+        return list(self._tokens(text))
+
+    def _tokens(self, text: str) -> Iterable[Token]:
         out: Iterable[Token] = self.tokenizer.tokens(text)
         for f in self.filters:
             out = f.apply(out)
-        return list(out)
+        return out
 
     @property
     def native(self) -> bool:
@@ -284,35 +280,57 @@ class Analyzer:
     def for_field(self, name: str) -> Analyzer:
         return self
 
+    def values_column(self, values: Column) -> Column:
+        """The same of lists of texts, whose positions run on, for chains with Python parts."""
+        return self._function(many=True)(values)
+
     def offsets(self, text: Column) -> Column:
         """array<struct<term, pos, start, end>> with places in code points."""
 
-        def run(texts: pa.Array) -> pa.Array:
-            out = []
-            for text in texts.to_pylist():
-                pos, terms = -1, []
-                for t in self.tokens(text) if text is not None else ():
-                    pos += t.pos_inc
-                    terms.append({"term": t.text, "pos": max(pos, 0), "start": t.start, "end": t.end})
-                out.append(terms)
-            return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
-
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, "array<struct<term:string,pos:int,start:int,end:int>>")(text)
-
-    def _function(self):
-        def run(texts: pa.Array) -> pa.Array:
-            out = []
-            for text in texts.to_pylist():
-                pos, terms = -1, []
-                for t in self.tokens(text) if text is not None else ():
-                    pos += t.pos_inc
-                    terms.append({"term": t.text, "pos": max(pos, 0)})
-                out.append(terms)
-            return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32())])))
-
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType())])))
+        return self._function(places=True)(text)
+
+    def _function(self, many: bool = False, places: bool = False):
+        """An Arrow function from texts (``many``: lists of texts, whose positions run on) to their tokens.
+
+        It gives its rows back in pieces of PIECE tokens or characters, so that
+        a worker holds the tokens of few texts, however many a batch has.
+        """
+        names = ("term", "pos", "start", "end") if places else ("term", "pos")
+        kinds = [pa.string(), *[pa.int32()] * (len(names) - 1)]
+
+        def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+            columns, ends = [[] for _ in names], [0]
+            terms, at = columns[0], columns[1]
+            read = 0
+            for i in range(len(texts)):
+                value = texts[i].as_py()
+                base = 0
+                for text in (value or ()) if many else (value,):
+                    pos, found = base - 1, False
+                    for t in self._tokens(text) if text is not None else ():
+                        pos += t.pos_inc
+                        found = True
+                        terms.append(t.text)
+                        at.append(pos if pos > base else base)
+                        if places:
+                            columns[2].append(t.start)
+                            columns[3].append(t.end)
+                    read += len(text or "")
+                    base = at[-1] + 1 if found else base
+                ends.append(len(terms))
+                if max(len(terms), read) >= PIECE or i + 1 == len(texts):
+                    rows = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+                    yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+                    columns, ends, read = [[] for _ in names], [0], 0
+                    terms, at = columns[0], columns[1]
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                if len(texts):
+                    yield from pieces(texts)
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, f"array<struct<{','.join(f'{n}:{"string" if n == "term" else "int"}' for n in names)}>>")
 
 
 def letter_analyzer(lower: bool = True) -> Analyzer:
