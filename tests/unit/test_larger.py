@@ -34,3 +34,12 @@ def test_several_values_with_python_parts(spark):
     docs = spark.createDataFrame([(0, ["Cats running", None, "", "dogs"])], "doc_id long, tags array<string>")
     index = SearchIndex.build(docs, analyzer=Analyzer(analysis.LETTER, (LowerCaseFilter(), StemFilter())))
     assert {r["term"]: r["positions"] for r in index.postings.collect()} == {"cat": [0], "run": [1], "dog": [2]}
+
+
+def test_plain_words_take_no_detour(monkeypatch):
+    text = "Plain words, with marks. And one: well (so) 2024. " * 50
+    seen = []
+    one = analysis.StandardTokenizer._one
+    monkeypatch.setattr(analysis.StandardTokenizer, "_one", lambda self, s, a: seen.append(a) or one(self, s, a))
+    assert [t.text for t in analysis.STANDARD.tokens(text)] == ["Plain", "words", "with", "marks", "And", "one", "well", "so", "2024"] * 50
+    assert not seen

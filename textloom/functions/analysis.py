@@ -57,6 +57,9 @@ WHITESPACE = RegExpTokenizer(r"[^ \t\n\x0B\f\r]+")
 WHOLE = RegExpTokenizer(r"(?s).+")
 
 _NUM, _URL = ".,\\/_-", "./-_"
+#: A plain word, which nothing that follows can make longer, or else the first character of what may be a token.
+_START = re.compile(r"([^\W_]++(?!['&@]|[.,\\/_-][^\W_]|://))|[^\W_]|[.,\\/_-](?=[^\W_])")
+_GROUPS = re.compile(r"[.,\\/_-]?[^\W_]+(?:[.,\\/_-][^\W_]+)*")
 
 
 class StandardTokenizer:
@@ -65,10 +68,13 @@ class StandardTokenizer:
     java = None
 
     def tokens(self, text: str) -> Iterator[Token]:
-        at, n = 0, len(text)
-        while at < n:
-            c = text[at]
-            if not (c.isalnum() or (c in _NUM and text[at + 1 : at + 2].isdigit())):
+        at = 0
+        while m := _START.search(text, at):
+            at = m.start()
+            if m[1]:
+                yield Token(at, at := m.end(), m[1])
+                continue
+            if text[at] in _NUM and not text[at + 1].isdigit():
                 at += 1
                 continue
             term, end = self._one(text, at)
@@ -125,7 +131,7 @@ class StandardTokenizer:
     @staticmethod
     def _number(s: str, a: int) -> int | None:
         """The end of a number: groups joined by single marks, with a digit in every second group at least."""
-        m = re.compile(r"[.,\\/_-]?[^\W_]+(?:[.,\\/_-][^\W_]+)*").match(s, a)
+        m = _GROUPS.match(s, a)
         if not m:
             return None
         groups = [g for g in re.split(r"[.,\\/_-]", m[0]) if g]
@@ -143,7 +149,8 @@ STANDARD = StandardTokenizer()
 class LowerCaseFilter:
     def apply(self, tokens: Iterable[Token]) -> Iterator[Token]:
         for t in tokens:
-            yield Token(t.start, t.end, t.text.lower(), t.pos_inc)
+            low = t.text.lower()
+            yield t if low == t.text else Token(t.start, t.end, low, t.pos_inc)
 
     def column(self, terms: Column) -> Column:
         return F.transform(terms, lambda t: F.struct(F.lower(t["term"]).alias("term"), t["pos"].alias("pos")))
@@ -161,7 +168,7 @@ class StopFilter:
             if t.text in words:
                 gone += t.pos_inc
             else:
-                yield Token(t.start, t.end, t.text, t.pos_inc + gone)
+                yield Token(t.start, t.end, t.text, t.pos_inc + gone) if gone else t
                 gone = 0
 
     def column(self, terms: Column) -> Column:
