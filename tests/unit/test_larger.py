@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import analysis
 from textloom.functions.analysis import Analyzer, HyphenFilter, LowerCaseFilter, MappingFilter, StemFilter
 from textloom.operators.index import SearchIndex
+from textloom.plans import registry
 
 
 def test_many_hyphens_in_one_text(spark):
@@ -43,3 +45,27 @@ def test_plain_words_take_no_detour(monkeypatch):
     monkeypatch.setattr(analysis.StandardTokenizer, "_one", lambda self, s, a: seen.append(a) or one(self, s, a))
     assert [t.text for t in analysis.STANDARD.tokens(text)] == ["Plain", "words", "with", "marks", "And", "one", "well", "so", "2024"] * 50
     assert not seen
+
+
+@pytest.fixture()
+def folder(spark, tmp_path):
+    """Documents with a word beyond the engine's bound of tokens, with nulls, and without letters."""
+    rows = [(0, "a " * 10_500 + "the", "de", "s"), (1, "the end", None, "s"), (2, "1234 !", "en", None), (3, None, "es", "s"), (4, "the", "fr", "s")]
+    docs = spark.createDataFrame([(*r, len(r[1]) if r[1] else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def by_sql(name, folder):
+    """The rows of a registered query's SQL."""
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    return sorted(map(repr, db.sql(registry.ORACLES[name]).fetchall()))
+
+
+def rows(df):
+    return sorted(repr(tuple(r)) for r in df.collect())
+
+
+def test_facade_indexes_whole_texts(spark, folder):
+    assert rows(registry.QUERIES["facade"](spark, folder)) == by_sql("facade", folder)
