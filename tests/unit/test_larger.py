@@ -74,3 +74,11 @@ def test_facade_indexes_whole_texts(spark, folder):
 @pytest.mark.parametrize("name", ["norms", "field_length"])
 def test_fields_without_tokens(spark, folder, name):
     assert rows(registry.QUERIES[name](spark, folder)) == by_sql(name, folder)
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(0, "b a b A", ["x y", "y"]), (1, "", None), (2, None, []), (3, "c", ["z"])], "doc_id long, text string, tags array<string>")
+    index = SearchIndex.build(docs)
+    got = {(r["field"], r["term"], r["doc_id"]): (r["freq"], r["positions"]) for r in index.postings.collect()}
+    assert got == {("text", "a", 0): (2, [1, 3]), ("text", "b", 0): (2, [0, 2]), ("text", "c", 3): (1, [0]), ("tags", "x", 0): (1, [0]), ("tags", "y", 0): (2, [1, 2]), ("tags", "z", 3): (1, [0])}
+    assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
