@@ -11,6 +11,7 @@ from textloom.functions import analysis
 from textloom.functions.analysis import Analyzer, HyphenFilter, LowerCaseFilter, MappingFilter, StemFilter
 from textloom.operators.index import SearchIndex
 from textloom.plans import registry
+from textloom.sources import store
 
 
 def test_many_hyphens_in_one_text(spark):
@@ -82,3 +83,16 @@ def test_postings_are_made_without_a_shuffle(spark):
     got = {(r["field"], r["term"], r["doc_id"]): (r["freq"], r["positions"]) for r in index.postings.collect()}
     assert got == {("text", "a", 0): (2, [1, 3]), ("text", "b", 0): (2, [0, 2]), ("text", "c", 3): (1, [0]), ("tags", "x", 0): (1, [0]), ("tags", "y", 0): (2, [1, 2]), ("tags", "z", 3): (1, [0])}
     assert "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_unchanged_index_is_written_once(spark, tmp_path):
+    path, other = str(tmp_path / "a"), str(tmp_path / "b")
+    index = SearchIndex.build(spark.createDataFrame([(0, "one two"), (1, "two")], "doc_id long, text string"))
+    assert [store.save(index, path) for _ in range(2)] == [1, 2] and store.segments(spark, path, 1) == store.segments(spark, path, 2)
+    assert store.load(spark, path, index.analyzer).docs().count() == 2 and not store.is_latest(spark, path, 1)
+    fewer = index.delete_terms("text", "one")
+    assert [store.save(fewer, path) for _ in range(2)] == [3, 4] and store.segments(spark, path, 3) != store.segments(spark, path, 2)
+    assert [store.load(spark, path, index.analyzer, k).num_docs() for k in (2, 3, 4)] == [2, 1, 1]
+    assert store.save(index, path) == 5 and store.segments(spark, path) != store.segments(spark, path, 4) and store.load(spark, path, index.analyzer).num_docs() == 2
+    assert store.save(index, path, codec="zstd") == 6 and store.segments(spark, path) != store.segments(spark, path, 5)
+    assert store.save(index, other) == 1 and store.load(spark, other, index.analyzer).num_docs() == 2

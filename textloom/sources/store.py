@@ -117,16 +117,21 @@ def save(index: SearchIndex, path: str, codec: str = "lz4", partitions: int | No
     are, and that a frequent term has several, follows from their sizes
     (``partitions`` sets a number instead). The dictionary is counted from the
     postings that were written. The manifest is written last: readers see the
-    old version or the new one.
+    old version or the new one. An index that is the last version's already,
+    table by table, isn't written again: the new version shares its segment.
     """
     where = Directory(index.spark, path)
+    tables, how = (index.stored, index.postings, index.norms, index.deletes), (path, codec, partitions)
     with where.lock():
         now = version(where)
-        one = _segment(index, path, f"v{now + 1:08d}", codec, partitions)
-        deletes = None
-        if index.deletes is not None:
-            deletes = f"{one['data']}/deletes"
-            index.deletes.write.option("compression", codec).parquet(f"{path}/{deletes}")
+        was, one, deletes = index._memo.get("saved", {}).get(how, ((None,) * 4, None, None))
+        same = one is not None and now and all(a is b for a, b in zip(was, tables, strict=True))
+        if not same or [_manifest(where, now)[k] for k in ("segments", "deletes")] != [[one], deletes]:
+            one, deletes = _segment(index, path, f"v{now + 1:08d}", codec, partitions), None
+            if index.deletes is not None:
+                deletes = f"{one['data']}/deletes"
+                index.deletes.write.option("compression", codec).parquet(f"{path}/{deletes}")
+            index._memo["saved"] = index._memo.get("saved", {}) | {how: (tables, one, deletes)}
         _publish(where, now + 1, [one], deletes, index.max_doc, index.max_field_length, index.fields)
     return now + 1
 
