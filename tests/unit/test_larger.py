@@ -96,3 +96,20 @@ def test_an_unchanged_index_is_written_once(spark, tmp_path):
     assert store.save(index, path) == 5 and store.segments(spark, path) != store.segments(spark, path, 4) and store.load(spark, path, index.analyzer).num_docs() == 2
     assert store.save(index, path, codec="zstd") == 6 and store.segments(spark, path) != store.segments(spark, path, 5)
     assert store.save(index, other) == 1 and store.load(spark, other, index.analyzer).num_docs() == 2
+
+
+def test_an_index_is_written_without_a_shuffle_of_its_postings(spark, tmp_path):
+    path, each = str(tmp_path / "index"), 40
+    for k in range(2):
+        docs = spark.range(k * each, (k + 1) * each, numPartitions=4).select(F.col("id").alias("doc_id"), F.format_string("same d%d", "id").alias("text"))
+        part = SearchIndex.build(docs.withColumn("doc_id", F.col("doc_id") - k * each))
+        store.append(part, path, merge_factor=2 if k else 10)
+        if not k:
+            files = spark.read.parquet(f"{path}/{store.segments(spark, path)[0]['data']}/postings").withColumn("file", F.input_file_name())
+            found = [(r["file"], r["term"], r["doc_id"]) for r in files.collect()]
+            assert {f: sum(x[0] == f and x[1] == "same" for x in found) for f, _, _ in found} == dict.fromkeys({x[0] for x in found}, each / 4)
+            assert all(a[0] != b[0] or a[1:] < b[1:] for a, b in zip(found, found[1:], strict=False)) and len({x[0] for x in found}) == 4
+    one = store.segments(spark, path)
+    back = store.load(spark, path, SearchIndex.build(docs).analyzer)
+    assert len(one) == 1 and spark.read.parquet(f"{path}/{one[0]['data']}/postings").select(F.input_file_name()).distinct().count() == 1
+    assert [r["doc_id"] for r in back.term_docs("text", "same").collect()] == list(range(2 * each)) and back.doc_freq("text", "same") == 2 * each
