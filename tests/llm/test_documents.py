@@ -585,3 +585,16 @@ def test_null_ids(spark):
 
 def test_pattern_sources_agree():
     assert re.compile(brute.PII[0]).search("a@b.c")
+
+
+def test_lm_reads_each_text_once_to_score_it(spark):
+    """Each row gives its own sums and its rare words in one pass; rows that repeat stay apart."""
+    rows = [(1, "oak elm oak"), (2, "zzq zzq new"), (2, "zzq zzq new"), (3, ""), (3, None), (None, "oak"), (4, "y" * 60 + " elm")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = maxent_lm.fit(spark.createDataFrame([("oak elm",), ("elm ash",), ("y" * 60,)], "text string"))
+    out = maxent_lm.score(df, model, counts)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"]) for r in out.collect()))
+    assert got == [(-1, 2, 2), (1, 4, 4), (2, 4, 1), (2, 4, 1), (3, 1, 1), (3, 1, 1), (4, 3, 3)]
+    same = [(r["base_score"], r["score"]) for r in out.filter("doc_id = 2").collect()]
+    assert same[0] == pytest.approx(same[1])

@@ -376,50 +376,39 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                 own[again] = np.log10(10.0 ** own[again] + p_repeat[again])
                 base[~is_word] = m.base(np.array(float(m.docs)))
                 n_known = np.add.reduceat(in_table.astype(np.int64), offsets[:-1]) + (m.docs > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), pa.array(np.diff(offsets)), pa.array(n_known), pa.array(np.add.reduceat(base, offsets[:-1])), pa.array(np.add.reduceat(own, offsets[:-1]))],
-                    names=["id", "k1", "k2", "n_tokens", "n_known", "base", "own"],
-                )
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                w = words(part.column(1))
-                h = w.hashes()
-                which = np.flatnonzero(m.find(h) < 0)
+                # Words that aren't looked up, each once a text; a text that has none gets a word that no table has.
+                which = np.flatnonzero(~known)
                 of = np.searchsorted(w.of_text, which, side="right") - 1
                 order = np.lexsort((h[which], of))
                 which, of = which[order], of[order]
                 # Where such a word follows itself, "repeat" adds to its share, which isn't known here: how much more likely "repeat" is than the class, as log10.
-                every = m.classes(w, h)
-                token, kind, word, offsets = sequences(w, h, every)
-                before = preceding(token, offsets)
                 again = np.flatnonzero((word[which + of] >= 0) & (token[which + of] == before[which + of]))
                 at = (which + of)[again]
-                odds = np.empty(len(at))
-                for lo in range(0, len(at), BATCH):
-                    i = at[lo : lo + BATCH]
-                    p = class_probabilities(m.weights, contexts(token, offsets, i)[0], before[i] != 0)
-                    odds[lo : lo + BATCH] = np.log10(np.maximum(p[:, REPEAT], 1e-300)) - np.log10(np.maximum(p[np.arange(len(i)), kind[i]], 1e-300))
+                odds = np.log10(np.maximum(p_repeat[at], 1e-300)) - np.log10(np.maximum(p_class[at], 1e-300))
                 new = np.ones(len(which), dtype=bool)
                 new[1:] = (of[1:] != of[:-1]) | (h[which[1:]] != h[which[:-1]])
                 first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(which)))
-                which, of = which[first], of[first]
-                repeated = pa.ListArray.from_arrays(pa.array(np.searchsorted(again, np.append(first, len(order))).astype(np.int32)), pa.array(odds))
-                cls = every[which]
+                without = np.setdiff1d(np.arange(len(part)), of)
+                times = np.concatenate((np.diff(np.append(first, len(which))), np.zeros(len(without), np.int64)))
+                place = np.concatenate((np.searchsorted(again, np.append(first, len(order))), np.full(len(without), len(again))))
+                which, of = which[first], np.concatenate((of[first], without))
                 size = w.end[which] - w.begin[which]
                 spans = np.concatenate(([0], np.cumsum(size)))
                 text = w.data[np.arange(spans[-1]) + np.repeat(w.begin[which] - spans[:-1], size)]
-                word = pa.StringArray.from_buffers(len(which), pa.py_buffer(spans.astype(np.int32)), pa.py_buffer(text))
+                each = pa.StringArray.from_buffers(len(which), pa.py_buffer(spans.astype(np.int32)), pa.py_buffer(text))
+                each = pa.concat_arrays([each, pa.array([f" {k}" for k in part.column(2).take(pa.array(without)).to_pylist()], pa.string())])
+                lead = np.ones(len(of), dtype=bool)  # the row that has the text's own sums
+                lead[1:] = of[1:] != of[:-1]
                 owner = pa.array(of)
-                yield pa.RecordBatch.from_arrays([part.column(2).take(owner), part.column(3).take(owner), word, pa.array(times.astype(np.int32)), pa.array(cls.astype(np.int32)), repeated], names=["k1", "k2", "word", "times", "cls", "odds"])
+                sums = [np.where(lead, x[of], 0) for x in (np.diff(offsets), n_known, np.add.reduceat(base, offsets[:-1]), np.add.reduceat(own, offsets[:-1]))]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(of, mask=~lead)), part.column(2).take(owner), part.column(3).take(owner), each, pa.array(times.astype(np.int32)), pa.array(np.concatenate((cls[which], np.zeros(len(without), np.int64))).astype(np.int32)), pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), pa.array(odds)), pa.array(lead.astype(np.int32)), *map(pa.array, sums)],
+                    names=["id", "k1", "k2", "word", "times", "cls", "odds", "lead", "n_tokens", "n_known", "base", "own"],
+                )
 
-    found = rows.select("id", "t", "k1", "k2").mapInArrow(scan, f"id {id_type}, k1 long, k2 long, n_tokens long, n_known long, base double, own double")
-    rare = rows.select("id", "t", "k1", "k2").mapInArrow(others, "k1 long, k2 long, word string, times int, cls int, odds array<double>")
-    joined = rare.join(counts.filter((F.col("n") < frequent) | (F.octet_length("word") > FREQUENT_BYTES)), "word", "left")
+    found = rows.select("id", "t", "k1", "k2").mapInArrow(scan, f"id {id_type}, k1 long, k2 long, word string, times int, cls int, odds array<double>, lead int, n_tokens long, n_known long, base double, own double")
+    joined = found.join(counts.filter((F.col("n") < frequent) | (F.octet_length("word") > FREQUENT_BYTES)), "word", "left")
     c = F.coalesce("n", F.lit(0)) + F.lit(SMOOTH)
     shares = [float(t + SMOOTH * (d + 1)) for t, d in zip(model.class_tokens, model.class_words, strict=True)]
     share = F.element_at(F.array(*[F.lit(x) for x in shares]), F.col("cls") + 1)
@@ -432,13 +421,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         x = odds - F.col("inside")
         return total + F.when(x > 30, x).otherwise(F.log10(1 + F.pow(F.lit(10.0), x)))
 
-    each = joined.groupBy("k1", "k2", "word").agg(*[F.first(x).alias(x) for x in ("n", "times", "cls", "odds")])
-    each = each.withColumn("inside", inside)
-    added = each.groupBy("k1", "k2").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(c / whole)).alias("more_base"), F.sum(F.col("times") * F.col("inside") + F.aggregate("odds", F.lit(0.0), plus)).alias("more_own")
+    # A row that occurs so many times has all its words as often.
+    each = joined.withColumn("inside", inside).groupBy("k1", "k2").agg(
+        F.first("id", ignorenulls=True).alias("id"), F.sum("lead").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.sum(F.col("base") + F.col("times") * F.log10(c / whole)).alias("base"), F.sum(F.col("own") + F.col("times") * F.col("inside") + F.aggregate("odds", F.lit(0.0), plus)).alias("own"),
     )
-    out = found.join(added, ["k1", "k2"], "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("own") + F.coalesce("more_own", F.lit(0.0))).alias("score"),
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+        F.col("id").alias(id_col), *[(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")],
+        (F.col("base") / F.col("copies")).alias("base_score"), (F.col("own") / F.col("copies")).alias("score"),
     )
