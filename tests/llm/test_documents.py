@@ -294,6 +294,104 @@ def test_row_sums_of_short_and_long_lists():
         np.testing.assert_allclose(got, [g[owner[a : a + n]].astype(float).sum(axis=0) for a, n in zip(first, sizes, strict=True)], rtol=1e-5)
 
 
+def test_gradients_are_all_positions_sums():
+    """Each row of weights gets the sum over its positions once: short and long lists, and rows that features share."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, spread in ((1, 50), (127, 3), (128, 400), (300, maxent_lm.ROWS), (2048, 30), (2048, 300), (2048, maxent_lm.ROWS)):
+        g = rng.normal(size=(n, maxent_lm.CLASSES)).astype(np.float32)
+        rows = np.minimum(rng.zipf(1.2, (n, maxent_lm.FEATURES)), spread) * 37 % maxent_lm.ROWS
+        rows[: n // 3, 1] = maxent_lm.ALWAYS
+        rows[:, -2], rows[:, -1] = maxent_lm.SAME[rng.integers(0, 16, n)], maxent_lm.ALWAYS
+        expected, often = np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES)), np.bincount(rows.ravel(), minlength=maxent_lm.ROWS)
+        np.add.at(expected, rows, g[:, None].astype(float))
+        got = list(maxent_lm.gradients(g, rows))
+        row, times, total = (np.concatenate(x) for x in zip(*got, strict=True))
+        assert sorted(row) == np.flatnonzero(often).tolist() and (times == often[row]).all()
+        assert total.dtype == np.float32 and max(len(r) for r, _, _ in got) <= maxent_lm.BATCH
+        np.testing.assert_allclose(total, expected[row], rtol=1e-4, atol=1e-3)
+
+
+def test_training_moves_weights_as_plain_sgd_does():
+    """Weights and counts after some batches are those of sums over all positions and features, in doubles."""
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.llm._numpy import words
+
+    rng = random.Random(6)
+    texts = pa.array([" ".join(f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(n)) for n in (3000, 0, 1, 2500, 17)] + ["the the the the x"])
+    w = words(texts)
+    none = np.zeros(0, np.uint64)
+    start = np.random.default_rng(5).normal(0, 0.2, (maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
+    model = maxent_lm.Model(none, none, words(pa.array(["the w1 w2"])).hashes(), np.arange(maxent_lm.SUFFIXES) % maxent_lm.BUCKETS + maxent_lm.SINGLES, start)
+    token, kind, word, offsets = maxent_lm.sequences(w, w.hashes(), model.classes(w, w.hashes()))
+    rows, before = maxent_lm.contexts(token, offsets)
+    assert (rows[:, -1] == maxent_lm.ALWAYS).all() and set(rows[:, -2].tolist()) <= set(maxent_lm.SAME.tolist())
+    own = np.where((before != 0) & (token == before) & (word >= 0), maxent_lm.REPEAT, kind)
+    weights, seen = start.astype(float), np.zeros(maxent_lm.ROWS)
+    for at in range(0, len(token), maxent_lm.BATCH):
+        i = slice(at, at + maxent_lm.BATCH)
+        z = weights[rows[i]].sum(axis=1)
+        z[before[i] == 0, maxent_lm.REPEAT] = -np.inf
+        g = np.exp(z - z.max(axis=1, keepdims=True))
+        g /= g.sum(axis=1, keepdims=True)
+        g[np.arange(len(g)), own[i]] -= 1
+        moved = np.zeros_like(weights)
+        np.add.at(moved, rows[i], g[:, None])
+        seen += np.bincount(rows[i].ravel(), minlength=maxent_lm.ROWS)
+        weights -= maxent_lm.RATE * moved / np.sqrt(np.maximum(seen, 1))[:, None]
+    for b in maxent_lm._trained(model, iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        for r in b.to_pylist():
+            part, n = slice(r["block"] * maxent_lm.BLOCK, (r["block"] + 1) * maxent_lm.BLOCK), np.frombuffer(r["seen"])
+            assert (n == seen[part]).all()
+            got = np.frombuffer(r["w"], dtype=np.float32).reshape(-1, maxent_lm.CLASSES)[n > 0] / n[n > 0, None]
+            np.testing.assert_allclose(got, weights[part][n > 0], rtol=1e-4, atol=1e-4)
+
+
+def test_probabilities_gather_a_row_less_a_position_and_bear_large_weights():
+    """The rows of the last two features are added up before they are looked up; sums of weights may be far from 0."""
+    import numpy as np
+
+    class Counted(np.ndarray):
+        taken = 0
+
+        def take(self, at, *args, **kwargs):
+            Counted.taken += np.size(at)
+            return np.asarray(self).take(at, *args, **kwargs)
+
+    rng = np.random.default_rng(7)
+    token, offsets = rng.integers(1, 60, 1000).astype(np.uint64), np.array([0, 400, 1000])
+    rows, before = maxent_lm.contexts(token, offsets)
+    for size in (0.3, 40, 4000):
+        weights = rng.normal(0, size, (maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
+        Counted.taken = 0
+        got = maxent_lm.class_probabilities(weights.view(Counted), rows, before != 0)
+        assert 0 < Counted.taken <= (maxent_lm.FEATURES - 1) * len(token) + len(maxent_lm.SAME)
+        z = weights.astype(float)[rows].sum(axis=1)
+        z[before == 0, maxent_lm.REPEAT] = -np.inf
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        np.testing.assert_allclose(got, p / p.sum(axis=1, keepdims=True), rtol=1e-5 * max(1, size), atol=1e-6 * max(1, size))
+        assert np.isfinite(got).all() and (got[before == 0, maxent_lm.REPEAT] == 0).all()
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    """Spans shorter and longer than a piece, at its edges, have one hash whatever the size of pieces."""
+    import numpy as np
+
+    from textloom.llm import _numpy
+
+    data = np.random.default_rng(8).integers(0, 256, 100_000).astype(np.uint8)
+    cut = np.unique(np.random.default_rng(9).integers(0, 60_000, 4000))
+    begin, end = np.append(cut[:-1:2], 60_000), np.append(cut[1::2][: len(cut[:-1:2])], 100_000)
+    got = []
+    for piece in (1 << 20, _numpy.HASHED, 64, 7):
+        monkeypatch.setattr(_numpy, "HASHED", piece)
+        got.append(_numpy.span_hashes(data, begin, end))
+    assert all((x == got[0]).all() for x in got) and int(got[0][0]) == int(_numpy.span_hashes(data[begin[0] : end[0]], np.array([0]), np.array([end[0] - begin[0]]))[0])
+
+
 def test_memory_is_given_back_when_nothing_holds_it(monkeypatch):
     import weakref
 

@@ -25,13 +25,18 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Texts are taken in slices of about so many bytes, or one longer text. What needs many bytes for each byte of text goes in pieces.
 SLICE_BYTES = PIECE = 1 << 20
+#: Bytes are hashed so many at a time, which stay in the cache.
+HASHED = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (two rounds of xor-shift and multiply)."""
-    x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> U64(29))) * U64(0xA0761D6478BD642F)
-    return x ^ (x >> U64(32))
+    x = x ^ (x >> U64(32))
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0xA0761D6478BD642F)
+    x ^= x >> U64(32)
+    return x
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -75,25 +80,27 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mixed(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    x = _BYTE[data] + place.view(U64) * U64(0xE7037ED1A0B428DB)
+    x = place.view(U64) * U64(0xE7037ED1A0B428DB)
+    x += _BYTE.take(data)
     x ^= x >> U64(31)
     x *= U64(0xD6E8FEB86659FD93)
-    return x ^ (x >> U64(30))
+    x ^= x >> U64(30)
+    return x
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of the disjoint, ascending, non-empty spans of ``data``.
 
-    Works on about PIECE bytes at a time, however long a span is.
+    Works on about HASHED bytes at a time, however long a span is.
     """
     sums = np.zeros(len(begin), U64)
     i = 0
     while i < len(begin):
         low = int(begin[i])
-        j = max(i + 1, int(np.searchsorted(end, low + PIECE, side="right")))
+        j = max(i + 1, int(np.searchsorted(end, low + HASHED, side="right")))
         if j == i + 1:
-            for at in range(low, int(end[i]), PIECE):
-                to = min(at + PIECE, int(end[i]))
+            for at in range(low, int(end[i]), HASHED):
+                to = min(at + HASHED, int(end[i]))
                 sums[i : i + 1] += _mixed(data[at:to], np.arange(at - low, to - low)).sum(dtype=U64)
         else:
             part = data[low : int(end[j - 1])]

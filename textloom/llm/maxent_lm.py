@@ -33,12 +33,18 @@ END, REPEAT = SINGLES + BUCKETS, SINGLES + BUCKETS + 1
 CLASSES = REPEAT + 1
 ROWS, FEATURES, BLOCK = 1 << 14, 8, 256
 #: Training goes over every position of every training document once, in ROUNDS parts.
-ROUNDS, RATE, BATCH, PART = 2, 0.12, 2048, 1 << 17
+ROUNDS, RATE, BATCH = 2, 0.12, 2048
+#: Features are made for so many positions at a time, whole batches that stay in the cache.
+PART = BATCH * 8
 #: Suffixes are put into buckets by which singles stand up to so many words before them.
 SUFFIXES, NEAR = 1 << 12, 3
 SMOOTH = 0.1
 #: Rows of gradients are added so many at a time.
 STEP = 16
+#: So many positions are multiplied at a time: larger products would wake the library's threads.
+WIDE = 128
+#: Sums of weights up to here are safe to raise e to.
+FAR = 60
 
 
 @dataclass(frozen=True)
@@ -101,11 +107,23 @@ def contexts(token: np.ndarray, offsets: np.ndarray, where: np.ndarray | None =
     position = where - offsets[np.searchsorted(offsets, where, side="right") - 1]
     a, b, c, d = (np.where(position >= back, token[np.maximum(where - back, 0)], U64(0)) for back in range(1, 5))
     same = (a == b).astype(np.uint64) + U64(2) * (b == c).astype(np.uint64) + U64(4) * (a == c).astype(np.uint64) + U64(8) * (a == U64(0)).astype(np.uint64)
-    keys = [a, b * U64(3), c * U64(5), d * U64(7), mix(a) + b, mix(mix(a) + b) + c, same + U64(11), np.full_like(a, U64(13))]
-    rows = np.empty((len(where), FEATURES), dtype=np.int64)
-    for f, k in enumerate(keys):
-        rows[:, f] = mix(k + U64((f + 1) * 0x9E3779B97F4A7C15 % 2**64)) & U64(ROWS - 1)
-    return rows, a
+    two = mix(a) + b
+    rows = np.empty((FEATURES, len(where)), dtype=np.int64)  # each feature's rows are together
+    for f, k in enumerate((a, b * U64(3), c * U64(5), d * U64(7), two, mix(two) + c)):
+        rows[f] = _row(f, k)
+    rows[-2], rows[-1] = SAME.take(same.view(np.int64)), ALWAYS
+    return rows.T, a
+
+
+def _row(f: int, key: np.ndarray) -> np.ndarray:
+    return mix(key + U64((f + 1) * 0x9E3779B97F4A7C15 % 2**64)) & U64(ROWS - 1)
+
+
+#: The last two features have a few rows only: one for each way in which the words before repeat, and one for all positions.
+SAME = _row(FEATURES - 2, np.arange(16, dtype=U64) + U64(11)).astype(np.int64)
+ALWAYS = int(_row(FEATURES - 1, np.array([13], dtype=U64))[0])
+_SAME_AT = np.zeros(ROWS, dtype=np.int64)
+_SAME_AT[SAME] = np.arange(16)
 
 
 def preceding(token: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -122,14 +140,22 @@ def parts(n: int) -> Iterator[np.ndarray]:
         yield np.arange(at, min(n, at + PART))
 
 
-def class_probabilities(weights: np.ndarray, rows: np.ndarray, may_repeat: np.ndarray) -> np.ndarray:
-    z = weights.take(rows[:, 0], axis=0)
-    for f in range(1, FEATURES):
+def exponentials(weights: np.ndarray, rows: np.ndarray, may_repeat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What classes' probabilities are in proportion to, and the sum of each row."""
+    z = (weights.take(SAME, axis=0) + weights[ALWAYS]).take(_SAME_AT.take(rows[:, -2]), axis=0)
+    for f in range(FEATURES - 2):
         z += weights.take(rows[:, f], axis=0)
+    safe = not z.size or (z.max() < FAR and z.min() > -FAR)
     z[~may_repeat, REPEAT] = -1e9
-    z -= z.max(axis=1, keepdims=True)
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z, np.einsum("ij->i", z)
+
+
+def class_probabilities(weights: np.ndarray, rows: np.ndarray, may_repeat: np.ndarray) -> np.ndarray:
+    z, total = exponentials(weights, rows, may_repeat)
+    z /= total[:, None]
     return z
 
 
@@ -158,9 +184,58 @@ def row_sums(g: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(g: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of weights that ``g``'s positions have, how many positions have each, and their sums of ``g``; some rows at a time.
+
+    The row of all positions has one sum instead of a list. Rows go by the
+    lengths of their lists, the longest first, so that the j-th ones of all
+    lists are a slice; lists over STEP are counts times ``g``.
+    """
+    n = len(g)
+    blocks = n // WIDE + 1
+    g, own = np.zeros((blocks * WIDE, CLASSES), np.float32), g
+    g[:n], g[n] = own, own.sum(axis=0)
+    flat, owner = np.empty((FEATURES - 1) * n + 1, np.uint16), np.empty((FEATURES - 1) * n + 1, np.int64)  # numpy sorts uint16 by radix
+    flat[:-1].reshape(-1, n)[:], owner[:-1].reshape(-1, n)[:] = rows.T[:-1], np.arange(n)
+    flat[-1], owner[-1] = ALWAYS, n
+    order = np.argsort(flat, kind="stable")
+    ordered, owner = flat.take(order), owner.take(order)
+    edge = np.ones(len(flat) + 1, dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=edge[1:-1])
+    first = np.flatnonzero(edge)
+    first, sizes = first[:-1], first[1:] - first[:-1]
+    kept = np.minimum(sizes, STEP + 1)
+    by = np.argsort((STEP + 1 - kept).astype(np.uint8), kind="stable")
+    first, sizes = first.take(by), sizes.take(by)
+    longer = (len(by) - np.cumsum(np.bincount(kept, minlength=STEP + 2))).tolist()
+    long = longer[STEP]
+    row = ordered.take(first).astype(np.int64)
+    for a in range(0, len(by), BATCH):
+        b = min(a + BATCH, len(by))
+        total = g.take(owner.take(first[a:b]), axis=0)
+        for j in range(1, STEP):
+            if longer[j] <= max(a, long):
+                break
+            which = slice(max(a, long), min(b, longer[j]))
+            total[which.start - a : which.stop - a] += g.take(owner.take(first[which] + j), axis=0)
+        if a < long:
+            n_long = min(b, long) - a
+            n_listed = sizes[a : a + n_long]
+            head = np.cumsum(n_listed) - n_listed
+            listed = owner.take(np.arange(n_listed.sum()) + np.repeat(first[a : a + n_long] - head, n_listed))
+            if n_long > WIDE // 2:
+                total[:n_long] = row_sums(g, listed, head)
+            else:
+                cell = (listed // WIDE * n_long + np.repeat(np.arange(n_long), n_listed)) * WIDE + listed % WIDE
+                often = np.bincount(cell, minlength=blocks * n_long * WIDE).astype(np.float32).reshape(blocks, n_long, WIDE)
+                total[:n_long] = (often @ g.reshape(blocks, WIDE, CLASSES)).sum(axis=0)
+        yield row[a:b], sizes[a:b] + (row[a:b] == ALWAYS) * (n - 1), total
+
+
 def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Run over the texts once, from the model's weights; yield blocks of rows of weights, times the positions that moved them."""
     weights = model.weights.copy()
+    whole_rows = weights.view(np.dtype((np.void, weights.itemsize * CLASSES)))[:, 0]
     seen = np.zeros(ROWS, dtype=np.float32)
     for batch in batches:
         for p, q in slices(batch.column(0)):
@@ -175,15 +250,12 @@ def _trained(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
                     i = slice(at, at + BATCH)
                     g = class_probabilities(weights, rows[i], may_repeat[i])
                     g[np.arange(len(g)), own[i]] -= 1
-                    flat = rows[i].ravel().astype(np.uint16)  # numpy sorts these by radix
-                    order = np.argsort(flat, kind="stable")
-                    ordered = flat[order]
-                    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-                    row = ordered[first]
-                    total = row_sums(g, order // FEATURES, first)
-                    seen[row] += np.diff(np.append(first, len(flat)))
-                    total *= (np.float32(RATE) / np.sqrt(seen[row]))[:, None]
-                    weights[row] -= total
+                    for row, n, total in gradients(g, rows[i]):
+                        moved = seen.take(row) + n.astype(np.float32)
+                        seen[row] = moved
+                        total *= (np.float32(RATE) / np.sqrt(moved))[:, None]
+                        np.subtract(weights.take(row, axis=0), total, out=total)
+                        np.put(whole_rows, row, total.view(whole_rows.dtype)[:, 0])
     weights *= seen[:, None]
     for block in np.flatnonzero(seen.reshape(-1, BLOCK).any(axis=1)).tolist():
         part = slice(block * BLOCK, (block + 1) * BLOCK)
@@ -363,9 +435,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
                     context, _ = contexts(token, offsets, positions)
                     for at in range(0, len(positions), BATCH):
                         i = positions[at : at + BATCH]
-                        p = class_probabilities(m.weights, context[at : at + BATCH], repeats[i])
-                        p_class[i] = p[np.arange(len(p)), kind[i]]
-                        p_repeat[i] = p[:, REPEAT]
+                        p, total = exponentials(m.weights, context[at : at + BATCH], repeats[i])
+                        p_class[i] = p[np.arange(len(p)), kind[i]] / total
+                        p_repeat[i] = p[:, REPEAT] / total
                 base, own = np.zeros(len(token)), np.log10(np.maximum(p_class, 1e-300))
                 is_word = word >= 0
                 in_table = np.zeros(len(token), dtype=bool)
