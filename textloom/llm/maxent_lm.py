@@ -493,10 +493,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         x = odds - F.col("inside")
         return total + F.when(x > 30, x).otherwise(F.log10(1 + F.pow(F.lit(10.0), x)))
 
-    # A row that occurs so many times has all its words as often.
+    # A row that occurs so many times has all its words as often. Unknown words are counted, so that as many of them add the same, in any order.
+    is_known = F.col("n").isNotNull()
+    unknown = F.sum(F.when(is_known, 0).otherwise(F.col("times"))) * F.log10(F.lit(SMOOTH) / whole)
     each = joined.withColumn("inside", inside).groupBy("k1", "k2").agg(
-        F.first("id", ignorenulls=True).alias("id"), F.sum("lead").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("times") * F.log10(c / whole)).alias("base"), F.sum(F.col("own") + F.col("times") * F.col("inside") + F.aggregate("odds", F.lit(0.0), plus)).alias("own"),
+        F.first("id", ignorenulls=True).alias("id"), F.sum("lead").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(is_known, F.col("times")).otherwise(0)).alias("n_known"),
+        (F.sum(F.col("base") + F.when(is_known, F.col("times") * F.log10(c / whole)).otherwise(0.0)) + unknown).alias("base"), F.sum(F.col("own") + F.col("times") * F.col("inside") + F.aggregate("odds", F.lit(0.0), plus)).alias("own"),
     )
     return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         F.col("id").alias(id_col), *[(F.col(x) / F.col("copies")).cast("long").alias(x) for x in ("n_tokens", "n_known")],
